@@ -91,6 +91,8 @@ def links(prints: DataFrame, max_bits: int = 3, max_check: int | None = None) ->
         held = None
         for b in _and_end(batches):
             now = {n: np.asarray(b.column(n)) for n in b.schema.names} if b is not None else None
+            if now:  # bits of signed numbers are counted in their absolute value
+                now |= {n: now[n].view(np.uint64) for n in ("fp", "check")[: 1 + checked]}
             if held is not None:
                 now = held if now is None else {n: np.concatenate([held[n], now[n]]) for n in now}
             if not now or not len(now["sig"]):
