@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import table
 from ledgerline.llm.decontaminate import digests, find_passages
 from ledgerline.llm.simhash import near_duplicates
+from ledgerline.llm.url_filter import judge_urls, rule_frame
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ place AS (
   SELECT row_no, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS run
   FROM (SELECT row_no, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, sizes WHERE len(w) >= size)),
 found AS (SELECT row_no, i, size, item FROM place JOIN test USING (size, run)),
-hit AS (SELECT row_no, count(DISTINCT at) AS n_hit FROM (SELECT row_no, unnest(range(i, i + size)) AS at FROM found) GROUP BY row_no),
+hit AS (SELECT row_no, count(DISTINCT pos) AS n_hit FROM (SELECT row_no, unnest(range(i, i + size)) AS pos FROM found) GROUP BY row_no),
 own AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_no, item FROM found) GROUP BY row_no)
 SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
@@ -46,11 +47,40 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), rule_frame(spark, URL_RULES))
+
+
+OP8_SQL = """
+WITH rules(rule_host, rule_path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+page AS (
+  SELECT row_number() OVER () AS row_no, page_id,
+         translate(CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*') ELSE '' END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+ranked AS (
+  SELECT page.*, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY row_no ORDER BY length(rule_host) DESC NULLS LAST, length(rule_path) DESC) AS n
+  FROM page LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ranked WHERE n = 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op7_simhash": op7_simhash,
+    "op8_url_filter": op8_url_filter,
 }
 
 ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
+    "op8_url_filter": OP8_SQL,
 }
