@@ -10,7 +10,42 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import table
 from ledgerline.llm.decontaminate import digests, find_passages
 from ledgerline.llm.simhash import near_duplicates
+from ledgerline.llm.topk import quantised, top_k
 from ledgerline.llm.url_filter import judge_urls, rule_frame
+from ledgerline.llm.warc import capture_histories, page_captures
+
+
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = capture_histories(page_captures(table(spark, sf_dir, "pages")), least_bytes=1000)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+OP1_SQL = """
+WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS payload, url FROM pages),
+best AS (SELECT payload, max(page_id) AS keep FROM page WHERE octet_length(payload) >= 1000 GROUP BY payload)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to,
+       array_to_string(list_reverse(string_split(lower(regexp_extract(url, '://([^/?#]*)', 1)), '.')), ',') || ')' || regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS url_key,
+       1704067200 + page_id % 31536000 AS captured
+FROM page LEFT JOIN best USING (payload)
+"""
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +110,16 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ran
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index": op1_warc_index,
+    "op2_topk": op2_topk,
     "op5_decontaminate": op5_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_index": OP1_SQL,
+    "op2_topk": OP2_SQL,
     "op5_decontaminate": OP5_SQL,
     "op8_url_filter": OP8_SQL,
 }
