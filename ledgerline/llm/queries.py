@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import table
+from ledgerline.llm.common import in_fold, table
 from ledgerline.llm.decontaminate import digests, find_passages
+from ledgerline.llm.lm import score_texts
 from ledgerline.llm.simhash import near_duplicates
 from ledgerline.llm.topk import quantised, top_k
 from ledgerline.llm.url_filter import judge_urls, rule_frame
@@ -48,6 +49,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_texts(table(spark, sf_dir, "documents"), ~in_fold(F.col("doc_id"), 5, 1))
+    return out.select("doc_id", (~F.col("learnt_from")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
@@ -112,6 +118,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ran
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_topk": op2_topk,
+    "op3_lm_score": op3_lm_score,
     "op5_decontaminate": op5_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
