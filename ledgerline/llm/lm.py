@@ -232,7 +232,7 @@ def score_texts(docs: DataFrame, learn_from: Column, shape: Shape = Shape()) ->
     cls = F.lit(shape.own) + F.crc32(F.substring("word", 1, 3)) % shape.shared
     masses = {r.cls: (r.mass, r.types) for r in outside.groupBy(cls.alias("cls")).agg(F.sum("c").alias("mass"), F.count("*").alias("types")).collect()}
     if not any(bytes(r.word) == END for r in head):
-        head = [*head, Row(word=END, c=0)]
+        head += counts.where(F.col("word") == F.lit(END)).collect() or [Row(word=END, c=0)]
     vocabulary = spark.sparkContext.broadcast(Vocabulary(head, shape, total, kinds, masses))
     model = trained(learning, vocabulary, shape)
     shared = spark.sparkContext.broadcast((model, _normalisers(spark, model)))
