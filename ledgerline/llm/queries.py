@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import in_fold, table
 from ledgerline.llm.decontaminate import digests, find_passages
+from ledgerline.llm.langid import identify
 from ledgerline.llm.lm import score_texts
 from ledgerline.llm.simhash import near_duplicates
 from ledgerline.llm.topk import quantised, top_k
+from ledgerline.llm.toxicity import score_toxicity
 from ledgerline.llm.url_filter import judge_urls, rule_frame
 from ledgerline.llm.warc import capture_histories, page_captures
 
@@ -54,6 +56,11 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("learnt_from")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = identify(table(spark, sf_dir, "documents"), ~in_fold(F.col("doc_id"), 3, 1))
+    return out.select("doc_id", (~F.col("learnt_from")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
@@ -83,6 +90,11 @@ FROM doc LEFT JOIN hit USING (row_no) LEFT JOIN own USING (row_no)
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~in_fold(F.col("doc_id"), 5, 0))
+    return out.select("doc_id", (~F.col("learnt_from")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -119,7 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_topk": op2_topk,
     "op3_lm_score": op3_lm_score,
+    "op4_langid": op4_langid,
     "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
 }
