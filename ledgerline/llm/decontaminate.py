@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 #: A-Z to a-z, other ASCII but a-z and 0-9 to a space; bytes of non-ASCII characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -78,11 +79,12 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+_FOUND = StructType().add("n_words", "long").add("hits", ArrayType(StructType().add("start", "long").add("end", "long"))).add("items", ArrayType(StringType()))
+_HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = 200_000) -> DataFrame:
-    """(doc_id, n_words, hits, items) for every row of docs(doc_id, text), against benchmark(item_id, text).
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = 200_000, columns: list[str] | None = None) -> DataFrame:
+    """The given columns (doc_id) with n_words, hits and items, for every row of docs(doc_id, text), against benchmark(item_id, text).
 
     hits: disjoint word spans (start, end exclusive) that lie in occurrences of test strings; items: sorted ids, as strings, of the items
     those strings come from. Null and empty texts have no words; items without words or without id have no strings; repeated
@@ -116,21 +118,22 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
                     counts.append(len(words))
                     hits.append([{"start": s, "end": e} for s, e in merged(spans)])
                     found.append(sorted(own))
-                out = [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hits, _SCHEMA.field("hits").type), pa.array(found, _SCHEMA.field("items").type)]
-                names = ["doc_id", "n_words", "hits", "items"]
-                if not last:
-                    out.append(b.column("text"))
-                    names.append("text")
-                yield pa.RecordBatch.from_arrays(out, names)
+                out = [pa.array(counts, pa.int64()), pa.array(hits, _HITS), pa.array(found, pa.list_(pa.string()))]
+                if last:
+                    yield pa.RecordBatch.from_arrays([*b.column("kept").flatten(), *out], [*kept, "n_words", "hits", "items"])
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column("kept"), b.column("text"), *out], ["kept", "text", "n_words", "hits", "items"])
 
         return run
 
-    at = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    kind = f"doc_id {at.schema['doc_id'].dataType.simpleString()}, n_words long, hits array<struct<start:bigint,end:bigint>>, items array<string>"
+    kept = columns or ["doc_id"]
+    at = docs.select(F.struct(*kept).alias("kept"), F.col("text").cast("binary").alias("text"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    between = at.drop("hits", "items").schema
     all_tables = [spark.sparkContext.broadcast(t) for t in tables()]
     for i, shared in enumerate(all_tables):
         last = i == len(all_tables) - 1
-        at = at.mapInArrow(pass_over(shared, last), kind + ", text binary" * (not last))
+        fields = docs.select(*kept).schema.fields if last else between.fields
+        at = at.mapInArrow(pass_over(shared, last), StructType([*fields, *_FOUND.fields]))
     return at
 
 

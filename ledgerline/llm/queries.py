@@ -11,6 +11,8 @@ from ledgerline.llm.common import in_fold, table
 from ledgerline.llm.decontaminate import digests, find_passages
 from ledgerline.llm.langid import identify
 from ledgerline.llm.lm import score_texts
+from ledgerline.llm.mixing import mix
+from ledgerline.llm.pii import find_pii, written_out
 from ledgerline.llm.simhash import near_duplicates
 from ledgerline.llm.topk import quantised, top_k
 from ledgerline.llm.toxicity import score_toxicity
@@ -127,6 +129,25 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ran
 """
 
 
+MIX_WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def labelled_languages(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): the language of the documents that labels has."""
+    return documents.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = mix(docs.select("doc_id", "text"), labelled_languages(docs, table(spark, sf_dir, "labels")), MIX_WEIGHTS, ["doc_id"])
+    return out.select("doc_id", F.col("mix_tokens").alias("n_tokens"), F.col("mix_domain").alias("domain"), F.col("mix_posterior").alias("posterior"), F.col("mix_rate").alias("rate"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written_out("base"), 256).alias("base_sha256"), written_out("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_topk": op2_topk,
@@ -136,6 +157,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_url_filter": op8_url_filter,
+    "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {

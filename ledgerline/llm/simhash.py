@@ -13,7 +13,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import components, written
@@ -59,40 +59,44 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, check_seed: in
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp long" + ", check long" * (check_seed is not None))
 
 
-def variant_masks(max_bits: int) -> list[int]:
+def variant_masks(segments: int) -> list[int]:
     """One mask per bit: the bit's segment without the bit, as a signed 64-bit integer."""
-    segments = max_bits // 2 + 1
     cuts = [64 * s // segments for s in range(segments + 1)]
     masks = [sum(1 << j for j in range(lo, hi) if j != i) for lo, hi in zip(cuts, cuts[1:], strict=False) for i in range(lo, hi)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _forest(fp: np.ndarray, check: np.ndarray | None, max_bits: int, max_check: int) -> Iterator[tuple[int, np.ndarray]]:
+def _differing(prints: list[np.ndarray], i, j) -> np.ndarray:
+    """Differing bits of rows i and j, over all fingerprints."""
+    return sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int16) for p in prints)
+
+
+def _forest(prints: list[np.ndarray], max_bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Edges of a spanning forest of the link graph within one variant's members: each member is compared with those not yet reached."""
-    rest = np.arange(len(fp))
+    rest = np.arange(len(prints[0]))
     while rest.size:
         stack, rest = [rest[0]], rest[1:]
         while stack and rest.size:
             u = stack.pop()
-            near = np.bitwise_count(fp[rest] ^ fp[u]) <= max_bits
-            if check is not None:
-                near &= np.bitwise_count(check[rest] ^ check[u]) <= max_check
+            near = _differing(prints, rest, u) <= max_bits
             if near.any():
                 yield u, rest[near]
                 stack.extend(rest[near])
                 rest = rest[~near]
 
 
-def links(prints: DataFrame, max_bits: int = 3, max_check: int | None = None) -> DataFrame:
-    """Edges (a, b) between node numbers of prints(node, fp[, check]): those of a spanning forest of all pairs within max_bits (and max_check)."""
-    checked = max_check is not None
+def links(prints: DataFrame, max_bits: int = 3, segments: int | None = None) -> DataFrame:
+    """Edges (a, b) between rows of prints(fp[, check]), as xxhash64 of both: those of a spanning forest of all pairs found.
+
+    Without check, all pairs within max_bits are found, if each fingerprint has max_bits // 2 + 1 segments (the default). With check, a pair
+    counts if both fingerprints together differ in at most max_bits, and is found if some segment of either differs in at most one bit.
+    """
+    names = [n for n in ("fp", "check") if n in prints.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in _and_end(batches):
             now = {n: np.asarray(b.column(n)) for n in b.schema.names} if b is not None else None
-            if now:  # bits of signed numbers are counted in their absolute value
-                now |= {n: now[n].view(np.uint64) for n in ("fp", "check")[: 1 + checked]}
             if held is not None:
                 now = held if now is None else {n: np.concatenate([held[n], now[n]]) for n in now}
             if not now or not len(now["sig"]):
@@ -102,23 +106,28 @@ def links(prints: DataFrame, max_bits: int = 3, max_check: int | None = None) ->
             held = {n: v[last:] for n, v in now.items()}
             sizes = np.diff(np.r_[starts, len(now["sig"])])[: len(starts) if b is None else -1]
             starts = starts[: len(sizes)]
-            fp, node, check = now["fp"], now["node"], now.get("check")
+            bits = [now[n].view(np.uint64) for n in names]  # bits of signed numbers are counted in their absolute value
             two = starts[sizes == 2]
-            ok = np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits
-            if checked:
-                ok &= np.bitwise_count(check[two] ^ check[two + 1]) <= max_check
-            a, z = [node[two[ok]]], [node[two[ok] + 1]]
+            two = two[_differing(bits, two, two + 1) <= max_bits]
+            a, z = [two], [two + 1]
             for s, m in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                own = node[s : s + m]
-                for u, found in _forest(fp[s : s + m], check[s : s + m] if checked else None, max_bits, max_check):
-                    a.append(np.full(len(found), own[u]))
-                    z.append(own[found])
-            yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(z)})
+                for u, found in _forest([p[s : s + m] for p in bits], max_bits):
+                    a.append(np.full(len(found), s + u))
+                    z.append(s + found)
+            a, z = np.concatenate(a), np.concatenate(z)
+            yield pa.RecordBatch.from_pydict({f"{side}_{n}": now[n][at] for side, at in (("a", a), ("b", z)) for n in names})
+
+    masks = variant_masks(segments or max_bits // 2 + 1)
+    which = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("mask")) for k in range(len(names)) for m in masks]))
+    index = prints.select(*names, which.alias("v"))
+    own = F.when(F.col("v.k") == 0, F.col("fp")).otherwise(F.col(names[-1]))
+    index = index.select(F.xxhash64("v.k", "v.mask", own.bitwiseAND(F.col("v.mask"))).alias("sig"), *names)
+    found = index.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, ", ".join(f"{side}_{n} long" for side in "ab" for n in names))
+    return found.select(_node([f"a_{n}" for n in names]).alias("a"), _node([f"b_{n}" for n in names]).alias("b")).distinct()
+
 
-    mask = F.explode(F.array(*[F.lit(m) for m in variant_masks(max_bits)]))
-    index = prints.select("node", "fp", *["check"] * checked, mask.alias("mask"))
-    index = index.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("sig"), "node", "fp", *["check"] * checked)
-    return index.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
+def _node(names: list[str]) -> Column:
+    return F.xxhash64(*names) if len(names) > 1 else F.col(names[0])
 
 
 def _and_end(batches: Iterator) -> Iterator:
@@ -126,22 +135,20 @@ def _and_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, max_check: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs(doc_id, text).
+def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, checked: bool = False, segments: int | None = None) -> DataFrame:
+    """(doc_id, fp[, check], component_id) of every row of docs(doc_id, text).
 
-    Two rows link where their fingerprints differ in at most max_bits bits (and, with max_check, second fingerprints
-    in at most so many). component_id is the smallest doc_id that can be reached, the row's own included; null
+    Two rows link where their fingerprints differ in at most max_bits bits; checked: where both of two fingerprints under different seeds together
+    do, which tells similarities apart more sharply. component_id is the smallest doc_id that can be reached, the row's own included; null
     only where all ids of the component are null. Equal texts have equal fingerprints and so always link; texts without
     words have fingerprint 0. Repeated rows are returned as often as they occur.
     """
-    checked = max_check is not None
     key = ["fp", "check"] if checked else ["fp"]
     prints = written(fingerprints(docs, words, check_seed=43 if checked else None), "simhash")
-    # exact copies meet here, summed up before the shuffle; node numbers stand for (fp, check)
-    nodes = prints.groupBy(*key).agg(F.min("doc_id").alias("low"))
-    nodes = written(nodes.select((F.xxhash64(*key) if checked else F.col("fp")).alias("node"), *key, "low"), "simhash-nodes")
-    of = components(links(nodes, max_bits, max_check), "simhash-links")
+    # exact copies meet here, summed up before the shuffle
+    nodes = written(prints.groupBy(*key).agg(F.min("doc_id").alias("low")).withColumn("node", _node(key)), "simhash-nodes")
+    of = components(links(nodes.select(*key), max_bits, segments), "simhash-links")
     grouped = nodes.join(of, "node", "left").select(*key, "low", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
     final = grouped.join(least, "component").select(*key, "component_id")
-    return prints.join(final, key).select("doc_id", "fp", "component_id")
+    return prints.join(final, key).select("doc_id", *key, "component_id")
