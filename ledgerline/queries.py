@@ -54,7 +54,7 @@ def sides(spark, d) -> tuple[DataFrame, DataFrame]:
 def gaps(orders: DataFrame) -> DataFrame:
     """orders in whole prices, with missing values put in."""
     k = F.col("o_orderkey")
-    return orders.withColumns({"o_orderpriority": F.when(k % 11 == 0, None).when(k % 13 == 0, " ").otherwise(F.col("o_orderpriority")), "o_totalprice": F.when(k % 7 == 0, None).when(k % 17 == 0, float("nan")).otherwise(F.col("o_totalprice"))})
+    return orders.withColumns({"o_orderpriority": F.when(k % 11 == 0, None).when(k % 13 == 0, " ").otherwise(F.col("o_orderpriority")), "o_totalprice": F.when(k % 7 == 0, None).when(k % 17 == 0, float("nan")).otherwise(F.round("o_totalprice"))})
 
 
 GAPS = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN ' ' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 17 = 0 THEN NULL ELSE round(o_totalprice) END AS o_totalprice FROM orders)"
