@@ -1,7 +1,7 @@
 """Training-data pipeline over documents: each stage reads what the one before has written, and what it decides takes effect.
 
-1. toxicity: documents scored as toxic go. 2. near_duplicates: of each group of near copies (five-word shingles, similarity of about 0.8 or
-more) one document stays. 3. decontamination: documents that hold a passage of the benchmark go. 4. personal_data: spans are
+1. toxicity: documents scored as toxic go. 2. near_duplicates: of each group of near copies (linked by a similarity of five-word
+shingles of 0.8 or more, checked on the texts) one document stays. 3. decontamination: documents that hold a passage of the benchmark go. 4. personal_data: spans are
 replaced by their kind. 5. mixing: every document that is left gets its domain and its rate. Stages 1 to 4 return the columns of
 documents; nulls in any of them pass through, and an empty table stays empty.
 """
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import table, written
 from ledgerline.llm.decontaminate import find_passages
 from ledgerline.llm.mixing import mix
+from ledgerline.llm.near import near_texts
 from ledgerline.llm.pii import redacted
 from ledgerline.llm.queries import MIX_WEIGHTS, labelled_languages
-from ledgerline.llm.simhash import near_duplicates
 from ledgerline.llm.toxicity import score_toxicity
 
 
@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group. Rows without an id count under a number made from their text; of rows that repeat an id one stays."""
     number = F.coalesce(F.col("doc_id"), F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
-    groups = near_duplicates(docs.select(number.alias("doc_id"), "text"), words=5, max_bits=24, checked=True, segments=4)
+    groups = near_texts(docs.select(number.alias("doc_id"), "text"), words=5, least=0.8)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__number")).distinct()
     left = docs.withColumn("__number", number).join(kept, "__number", "left_semi")
     return left.dropDuplicates(["__number"]).select(*docs.columns)
