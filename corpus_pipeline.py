@@ -27,12 +27,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group. Rows without an id count under a number made from their text; of rows that repeat an id one stays."""
+    """The document of the smallest id of each group. Rows without an id count under a number made from their text; rows that repeat an id are told apart by their texts."""
     number = F.coalesce(F.col("doc_id"), F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
-    groups = near_texts(docs.select(number.alias("doc_id"), "text"), words=5, least=0.8)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__number")).distinct()
-    left = docs.withColumn("__number", number).join(kept, "__number", "left_semi")
-    return left.dropDuplicates(["__number"]).select(*docs.columns)
+    row = F.struct(number.alias("number"), F.xxhash64("text").alias("hash"))
+    groups = near_texts(docs.select(row.alias("doc_id"), "text"), words=5, least=0.8)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id.number").alias("__number"), F.col("doc_id.hash").alias("__hash")).distinct()
+    left = docs.withColumn("__number", number).withColumn("__hash", F.xxhash64("text")).join(kept, ["__number", "__hash"], "left_semi")
+    return left.dropDuplicates(["__number", "__hash"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,13 @@ def test_stage_keeps_what_is_less_alike(spark):
     rows = [(d, t) for d, t in sample() if d]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies(spark, docs, "").collect()) == sorted({low for _, low in plain(rows)})
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    from corpus_pipeline import near_copies
+
+    rng = random.Random(8)
+    one, two, three = (" ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    docs = spark.createDataFrame([(1, one), (1, two), (2, two + " end"), (3, three), (3, three), (3, three + " end"), (None, "a b"), (None, "c d")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in near_copies(spark, docs, "").collect())
+    assert len(got) == 5 and got[:2] == sorted([("1", one), ("1", two)]) and got[2][1].startswith(three) and [t for _, t in got[3:]] == ["a b", "c d"]
