@@ -26,16 +26,23 @@ def dictionaries(labelled: DataFrame, dict_bytes: int = 100_000, piece: int = 20
     """Raw content per language of labelled(text, lang), the most frequent language first.
 
     A bounded sample: texts fall into `slots` slots by their hash, so that copies share one; each slot gives at most `piece` characters of
-    one text. A dictionary has at most dict_bytes, all together at most total_bytes. Rows with a null in text or lang are left out.
+    one text. Hashes choose the text and where it is cut, so that what it says has no part in it. A dictionary has at most dict_bytes, all together at
+    most total_bytes, and the driver holds no more than that and one partition. Rows with a null in text or lang are left out.
     """
-    rows = labelled.where("text is not null and lang is not null").select("lang", F.pmod(F.xxhash64("text"), F.lit(slots)).alias("slot"), F.substring("text", 1, piece).alias("piece"))
-    pieces: dict[str, list] = {}
+    labelled = labelled.where("text is not null and lang is not null")
+    size = min(dict_bytes, total_bytes // max(1, labelled.agg(F.countDistinct("lang")).first()[0]))
+    start = F.pmod(F.xxhash64("text", F.lit(11)), F.greatest(F.length("text") - piece, F.lit(0)) + 1).cast("int") + 1
+    rows = labelled.select("lang", F.pmod(F.xxhash64("text"), F.lit(slots)).alias("slot"), F.xxhash64("text", F.lit(7)).alias("rank"), F.substring("text", start, F.lit(piece)).alias("piece"))
+    chosen = rows.groupBy("lang", "slot").agg(F.max_by("piece", "rank").alias("piece"), F.count("*").alias("n"))
+    contents: dict[str, bytes] = {}
     counts: dict[str, int] = {}
-    for r in rows.groupBy("lang", "slot").agg(F.max("piece").alias("piece"), F.count("*").alias("n")).collect():
-        pieces.setdefault(r.lang, []).append((r.slot, plain_letters(r.piece)))
+    for r in chosen.repartition("lang").sortWithinPartitions("lang", "slot").toLocalIterator():
         counts[r.lang] = counts.get(r.lang, 0) + r.n
-    size = min(dict_bytes, total_bytes // max(1, len(pieces)))
-    return {lang: b" ".join(p for _, p in sorted(pieces[lang]))[:size] for lang in sorted(pieces, key=lambda x: (-counts[x], x))}
+        before = contents.get(r.lang)
+        if before is None or len(before) < size:
+            now = plain_letters(r.piece)
+            contents[r.lang] = (now if before is None else before + b" " + now)[:size]
+    return {lang: contents[lang] for lang in sorted(contents, key=lambda x: (-counts[x], x))}
 
 
 class Classifier:

@@ -40,3 +40,11 @@ def test_nothing_learnt_and_empty(spark):
 
 def test_plain_letters():
     assert plain_letters("Ab1-É!c") == "ab é c".encode()
+
+
+def test_dictionaries_hold_common_texts_and_all_of_a_text(spark):
+    rows = [(f"{'ÿ odd' if i % 20 == 0 else 'plain'} number{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}", "aa") for i in range(800)]
+    rows += [("head " * 1000 + "tail " * 3000 + "x" * i, "bb") for i in range(60)]
+    out = dictionaries(spark.createDataFrame(rows, "text string, lang string"), slots=16)
+    assert out["aa"].count(b"number") == 16 and out["aa"].count(b"odd") <= 4
+    assert out["bb"].count(b"tail") > out["bb"].count(b"head") > 0
