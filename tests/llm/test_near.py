@@ -1,6 +1,8 @@
 import random
 
-from ledgerline.llm.near import near_texts
+import numpy as np
+
+from ledgerline.llm.near import Cell, near_texts, one_of_each
 
 
 def shingles(text, k=5):
@@ -45,18 +47,66 @@ def plain(rows):
     return sorted((str(d), low[root(i)]) for i, (d, _) in enumerate(rows))
 
 
-def test_components_are_those_of_exact_similarity(spark):
+def test_links_are_exact_and_few_are_missed(spark):
     rows = sample()
-    got = near_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    assert sorted((str(r.doc_id), r.component_id) for r in got) == plain(rows)
+    got = near_texts(spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, node string, component_id int").repartition(5)).collect()
+    sets = {(str(d), t): shingles(t) for d, t in rows}
+    of = {(str(r.kept.doc_id), r.kept.text): r.component_id for r in got}
+    assert len(got) == len(rows)
+    true = dict(plain(rows))
+    groups = {}
+    for (d, t), low in of.items():
+        groups.setdefault(low, set()).add(true[d])
+    assert all(len(g) == 1 for g in groups.values())  # nothing is merged that exact links keep apart
+    keys = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if alike(sets[a], sets[b])]
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) < 0.85 * len(sets[a] | sets[b])]
+    assert len(near) > 30
+    for some in (pairs, near):
+        assert sum(of[a] == of[b] for a, b in some) >= 0.95 * len(some)
+
+
+def test_recall_by_similarity(spark):
+    """Pairs alone, at similarities of 0.80 to 0.83, long and short: what is found without help of chains."""
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(400):
+        text = new(196 if i % 2 else 54)
+        n = 16 if i % 2 else 1
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:25] + new(n) + text[25 + n :]))]
+    sets = {d: shingles(t) for d, t in rows}
+    got = {r.kept.doc_id: r.component_id for r in near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for part in (0, 1):
+        pairs = [2 * i for i in range(400) if i % 2 == part and alike(sets[2 * i], sets[2 * i + 1])]
+        assert len(pairs) == 200 and sum(got[d] == got[d + 1] for d in pairs) >= 0.93 * len(pairs)
+
+
+def test_cells_give_the_components_of_all_pairs():
+    rng = random.Random(2)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    sets = [np.unique(np.array(base[: rng.randint(20, 40)] + [rng.getrandbits(63) for _ in range(rng.randint(0, 8))], np.uint64)) for _ in range(60)]
+    rows = [(i, i, s.tobytes()) for i, s in enumerate(sets)]
+    edges = list(Cell(rows, rows, 0.8).edges())
+    group = list(range(60))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
 
+    true = [(i, j) for i in range(60) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert all((max(e), min(e)) in true for e in edges)
+    for a, b in edges:
+        group[root(a)] = root(b)
+    assert len(edges) < len(true) and all(root(a) == root(b) for a, b in true)
 
-def test_stage_keeps_what_is_less_alike(spark):
-    from corpus_pipeline import near_copies
 
+def test_one_of_each(spark):
     rows = [(d, t) for d, t in sample() if d]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in near_copies(spark, docs, "").collect()) == sorted({low for _, low in plain(rows)})
+    of = {r.kept.doc_id: r.component_id for r in near_texts(docs).collect()}
+    assert sorted(r.doc_id for r in one_of_each(docs).collect()) == sorted(set(of.values()))
 
 
 def test_rows_of_one_id_are_told_apart(spark):
