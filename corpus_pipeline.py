@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import table, written
 from ledgerline.llm.decontaminate import find_passages
 from ledgerline.llm.mixing import mix
-from ledgerline.llm.near import near_texts
+from ledgerline.llm.near import one_of_each
 from ledgerline.llm.pii import redacted
 from ledgerline.llm.queries import MIX_WEIGHTS, labelled_languages
 from ledgerline.llm.toxicity import score_toxicity
@@ -27,13 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group. Rows without an id count under a number made from their text; rows that repeat an id are told apart by their texts."""
-    number = F.coalesce(F.col("doc_id"), F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
-    row = F.struct(number.alias("number"), F.xxhash64("text").alias("hash"))
-    groups = near_texts(docs.select(row.alias("doc_id"), "text"), words=5, least=0.8)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id.number").alias("__number"), F.col("doc_id.hash").alias("__hash")).distinct()
-    left = docs.withColumn("__number", number).withColumn("__hash", F.xxhash64("text")).join(kept, ["__number", "__hash"], "left_semi")
-    return left.dropDuplicates(["__number", "__hash"]).select(*docs.columns)
+    """The document of the smallest id of each group. Every row counts for itself: rows that share an id, or have none, are told apart by their texts."""
+    return one_of_each(docs, words=5, least=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
