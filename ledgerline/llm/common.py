@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, where all is one machine, may leave it unset."""
     context = spark.sparkContext
     at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='ledgerline-')}")
         at = context.getCheckpointDir()
     return at.rstrip("/")
@@ -53,6 +55,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows whose hashes of key are least (all, if there are fewer). Rows that can't be among them are left out before any are sorted in one place."""
+    total = rows.count()
+    share = (most + 20 * most**0.5 + 100) / max(1, total)
+    low = rows if share >= 1 else rows.where(F.xxhash64(key) < F.lit(int(share * 2**64) - 2**63))
+    return low.orderBy(F.xxhash64(key), key).limit(most)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): component is the smallest node reachable.
 

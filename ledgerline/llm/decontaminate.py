@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
+from ledgerline.llm.common import drop_written, written
+
 #: A-Z to a-z, other ASCII but a-z and 0-9 to a space; bytes of non-ASCII characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -83,28 +85,32 @@ _FOUND = StructType().add("n_words", "long").add("hits", ArrayType(StructType().
 _HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def window_table(benchmark: DataFrame, window: int) -> DataFrame:
+    """(words binary, items array<string>): the distinct test strings of benchmark(item_id, text), words joined by spaces, with the ids of their items. An item without id has test strings, but no id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(b" ".join(w), item.as_py()) for item, text in zip(b.column("item"), b.column("text"), strict=True) for w in windows(word_list(text.as_py()), window)]
+            words, items = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_pydict({"words": pa.array(words, pa.binary()), "item": pa.array(items, pa.string())})
+
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    return items.mapInArrow(run, "words binary, item string").groupBy("words").agg(F.collect_set("item").alias("items"))
+
+
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_windows: int = 200_000, columns: list[str] | None = None) -> DataFrame:
-    """The given columns (doc_id) with n_words, hits and items, for every row of docs(doc_id, text), against benchmark(item_id, text).
+    """(kept, n_words, hits, items) for every row of docs(doc_id, text, ...), against benchmark(item_id, text); kept holds the given columns (doc_id).
 
     hits: disjoint word spans (start, end exclusive) that lie in occurrences of test strings; items: sorted ids, as strings, of the items
-    those strings come from. Null and empty texts have no words; items without words or without id have no strings; repeated
-    rows are all returned. No task holds more than max_windows test strings: a larger benchmark is searched
-    in several passes, which hand the text on within the same task.
+    those strings come from. Null and empty texts have no words; items without words have no strings; those of an item without id are hits of no listed item; repeated
+    rows are all returned, long texts are searched whole. No task and not the driver hold more than about max_windows test strings: those of a larger benchmark are dealt
+    out by a hash, and each share is searched for in a pass of its own, whose result is written before the next.
     """
     spark = docs.sparkSession
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
-
-    def tables() -> Iterator[Searcher]:
-        patterns: dict = defaultdict(set)
-        for row in items.toLocalIterator():
-            for w in windows(word_list(bytes(row.text)), window):
-                patterns[w].add(row.item)
-                if len(patterns) >= max_windows:
-                    yield Searcher(patterns)
-                    patterns = defaultdict(set)
-        yield Searcher(patterns)
-
-    def pass_over(shared, last: bool):
+    strings = written(window_table(benchmark, window), "test-strings")
+    parts = max(1, -(-strings.count() // max_windows))
+
+    def pass_over(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             search = shared.value
             for b in batches:
@@ -119,28 +125,31 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
                     hits.append([{"start": s, "end": e} for s, e in merged(spans)])
                     found.append(sorted(own))
                 out = [pa.array(counts, pa.int64()), pa.array(hits, _HITS), pa.array(found, pa.list_(pa.string()))]
-                if last:
-                    yield pa.RecordBatch.from_arrays([*b.column("kept").flatten(), *out], [*kept, "n_words", "hits", "items"])
-                else:
-                    yield pa.RecordBatch.from_arrays([b.column("kept"), b.column("text"), *out], ["kept", "text", "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(n) for n in kept] + out, [*kept, "n_words", "hits", "items"])
 
         return run
 
-    kept = columns or ["doc_id"]
-    at = docs.select(F.struct(*kept).alias("kept"), F.col("text").cast("binary").alias("text"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    between = at.drop("hits", "items").schema
-    all_tables = [spark.sparkContext.broadcast(t) for t in tables()]
-    for i, shared in enumerate(all_tables):
-        last = i == len(all_tables) - 1
-        fields = docs.select(*kept).schema.fields if last else between.fields
-        at = at.mapInArrow(pass_over(shared, last), StructType([*fields, *_FOUND.fields]))
+    at = docs.select(F.struct(*(columns or ["doc_id"])).alias("kept"), F.col("text").cast("binary").alias("text"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    for i in range(parts):
+        last = i == parts - 1
+        kept = ["kept"] if last else ["kept", "text"]
+        own = strings.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == i)
+        shared = spark.sparkContext.broadcast(Searcher({tuple(bytes(r.words).split(b" ")): set(r.items) for r in own.collect()}))
+        now = at.mapInArrow(pass_over(shared), StructType([*at.select(*kept).schema.fields, *_FOUND.fields]))
+        if not last:
+            now = written(now, "passages")
+            if i:
+                drop_written(spark, at)
+            shared.unpersist()
+        at = now
+    drop_written(spark, strings)
     return at
 
 
 def digests(found: DataFrame) -> DataFrame:
     """The counts and the item digest of find_passages()."""
     return found.select(
-        "doc_id",
+        "kept.doc_id",
         "n_words",
         F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"]).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

@@ -1,16 +1,18 @@
 """Personal data by gradient boosting over candidate spans, in DataFrame operations only.
 
-Generators propose spans, which may overlap: the base patterns, whose matches that pass their checks stay whatever the model says, and wider ones for
-written-around forms. Every span gets a few small integer features of its format and its context. Base matches that pass
-their checks are examples of personal data, those that fail are examples of the contrary. Their table of distinct feature vectors, counted over all
-documents, is all the boosting needs, and its size is bounded by the features' ranges. Trees become nested CASE expressions.
+Generators propose spans, which may overlap: the base patterns, whose matches that pass their checks stay whatever the model says; and wider ones for
+written-around forms, of which the model selects. Every span gets a few small integer features of its shape and its context, none of which takes part in the base checks. Base matches that pass
+their checks are examples of personal data; those that fail, and addresses without a dot, are examples of the contrary. The table of distinct feature vectors, counted over all
+documents, is all the boosting needs, and its size is bounded by the features' ranges. Two thirds of the documents give the examples the trees are fitted to, the others those the threshold is
+calibrated on. Trees become nested CASE expressions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import exp, log
+from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +20,18 @@ from ledgerline.llm.common import written
 
 KINDS = ["email", "ip", "card", "phone"]
 
-#: (kind, is base, pattern, what a text must hold for the pattern to be tried). Runs are taken whole from their first character
+#: (kind, role, pattern, what a text must hold for the pattern to be tried). Runs are taken whole from their first character
 #: (\G: or from the last match's end), so that long runs without a match cost linear time.
 GENERATORS = [
-    ("email", True, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
-    ("ip", True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]\\."),
-    ("card", True, r"[0-9](?:[\x20-]?[0-9])++", "[0-9]"),
-    ("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]"),
-    ("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[(\[](?:at|AT|@)[)\]])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[](?:dot|DOT|\.)[)\]])\x20?[A-Za-z0-9-]++)++", "@|[(\\[](?:at|AT)"),
-    ("ip", False, r"(?<![0-9.])[0-9]{1,3}+(?:[(\[]\.[)\]]|\x20\.\x20?|\.\x20)[0-9]{1,3}+(?:[(\[]\.[)\]]|\x20\.\x20?|\.\x20)[0-9]{1,3}+(?:[(\[]\.[)\]]|\x20\.\x20?|\.\x20)[0-9]{1,3}+(?![0-9.])", "[0-9][(\\[\\x20]?\\."),
-    ("card", False, r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,3}[0-9]{4}){3}(?![0-9])", "[0-9]{4}"),
-    ("phone", False, r"(?<![0-9A-Za-z+(.-])(?:00[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])", "[0-9]{3}[\x20.-][0-9]{4}"),
+    ("email", "base", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
+    ("ip", "base", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]\\."),
+    ("card", "base", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]"),
+    ("phone", "base", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]"),
+    ("email", "wider", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[(\[](?:at|AT|@)[)\]])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[](?:dot|DOT|\.)[)\]])\x20?[A-Za-z0-9-]++)++", "@|[(\\[](?:at|AT)"),
+    ("email", "not", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?@\x20?[A-Za-z0-9-]++(?!\x20?\.[A-Za-z0-9-])", "@"),
+    ("ip", "wider", r"(?<![0-9.])[0-9]{1,3}+(?:[(\[]\.[)\]]|\x20\.\x20?|\.\x20)[0-9]{1,3}+(?:[(\[]\.[)\]]|\x20\.\x20?|\.\x20)[0-9]{1,3}+(?:[(\[]\.[)\]]|\x20\.\x20?|\.\x20)[0-9]{1,3}+(?![0-9.])", "[0-9][(\\[\\x20]?\\."),
+    ("card", "wider", r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,3}[0-9]{4}){3}(?![0-9])", "[0-9]{4}"),
+    ("phone", "wider", r"(?<![0-9A-Za-z+(.-])(?:00[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])", "[0-9]{3}[\x20.-][0-9]{4}"),
 ]
 
 #: Words near a span that speak of such data.
@@ -62,10 +65,10 @@ def _with_found(docs: DataFrame) -> DataFrame:
 
 
 def _per_generator(value) -> Column:
-    """value(kind, is_base) by the generator that found a span."""
+    """value(kind, role) by the generator that found a span."""
     out = F.lit(None)
-    for g, (kind, base, *_) in enumerate(GENERATORS):
-        out = F.when(F.col("g") == g, F.lit(value(kind, base))).otherwise(out)
+    for g, (kind, role, *_) in enumerate(GENERATORS):
+        out = F.when(F.col("g") == g, F.lit(value(kind, role))).otherwise(out)
     return out
 
 
@@ -75,38 +78,50 @@ def _luhn(digits: Column) -> Column:
 
 
 def spans(found: DataFrame) -> DataFrame:
-    """One row per span of found(row, found): row, kind (number), base, valid (passes the base checks), start, end, and the features f_*."""
+    """One row per span of found(row, found): row, kind (number), role, valid (a base match that passes its checks), start, end, and the features f_*."""
     rows = found.select("row", F.explode("found").alias("s")).select("row", "s.*")
     m, digits = F.col("m"), F.regexp_replace("m", "[^0-9]", "")
     n = F.length(digits)
     octets = ~m.rlike(r"(?:^|[^0-9])0*(?:25[6-9]|2[6-9][0-9]|[3-9][0-9][0-9]|[1-9][0-9]{3,})(?:$|[^0-9])")
     card = F.when(n.between(16, 19), _luhn(digits)).otherwise(False)
-    kind = _per_generator(lambda k, _: KINDS.index(k))
-    valid = F.when(kind == 0, True).when(kind == 1, octets).when(kind == 2, card).otherwise(n.between(8, 15))
+    kind, role = _per_generator(lambda k, _: KINDS.index(k)), _per_generator(lambda _, r: r)
+    valid = (role == "base") & F.when(kind == 0, True).when(kind == 1, octets).when(kind == 2, card).otherwise(n.between(8, 15))
 
     def beside(c: Column) -> Column:
         return F.when(c.rlike(r"^[0-9]"), 3).when(c.rlike(r"^\p{L}"), 2).when(c.rlike(r"^[._@/=-]"), 1).otherwise(0)
 
+    groups = F.filter(F.split(m, "[^0-9]+"), lambda g: F.length(g) > 0)
+    sizes = F.transform(groups, lambda g: F.length(g))
+    sign = F.regexp_extract(m, r"[0-9]([^0-9]+)[0-9]", 1)
     features = {
-        "kind": kind, "digits": F.least(F.lit(20), n), "groups": F.least(F.lit(6), F.size(F.split(m, "[^0-9]+"))), "octets": octets.cast("int"), "luhn": card.cast("int"),
-        "before": beside(F.right("before", F.lit(1))), "after": beside(F.substring("after", 1, 1)), "hint": (F.col("before").rlike(_KEYWORDS) | F.col("after").rlike(_KEYWORDS)).cast("int"),
-    }
+        "kind": kind,
+        "groups": F.least(F.lit(6), F.size(groups)),
+        "longest": F.least(F.lit(7), F.coalesce(F.array_max(sizes), F.lit(0))),
+        "equal": (F.size(F.array_distinct(sizes)) == 1).cast("int"),
+        "sign": F.when(sign == "", 0).when(sign == " ", 1).when(sign == "-", 2).when(sign == ".", 3).otherwise(4),
+        "before": beside(F.right("before", F.lit(1))),
+        "after": beside(F.substring("after", 1, 1)),
+        "hint": (F.col("before").rlike(_KEYWORDS) | F.col("after").rlike(_KEYWORDS)).cast("int"),
+    }
     running = Window.partitionBy("row", "g").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length(m)).over(running)
-    rows = rows.withColumns({"kind": kind, "base": _per_generator(lambda _, b: b), "valid": valid, "end": end, "start": end - F.length(m)} | {f"f_{k}": v.cast("int") for k, v in features.items()})
-    return rows.select("row", "kind", "base", "valid", "start", "end", *[f"f_{k}" for k in features])
+    rows = rows.withColumns({"kind": kind, "role": role, "valid": valid, "end": end, "start": end - F.length(m)} | {f"f_{k}": v.cast("int") for k, v in features.items()})
+    return rows.select("row", "kind", "role", "valid", "start", "end", *[f"f_{k}" for k in features])
 
 
-FEATURES = ["f_kind", "f_digits", "f_groups", "f_octets", "f_luhn", "f_before", "f_after", "f_hint"]
+FEATURES = ["f_kind", "f_groups", "f_longest", "f_equal", "f_sign", "f_before", "f_after", "f_hint"]
 
 
 @dataclass
 class Boosted:
-    """Boosted trees of depth 2: (feature, cut, (feature, cut, left, right) below, the same above); and the threshold of selection."""
+    """Boosted trees of depth 2: (feature, cut, (feature, cut, left, right) below, the same above); and the threshold of selection, with the precision and the recall that the
+    examples it was calibrated on have there."""
 
     trees: list
     start: float
     threshold: float
+    precision: float = 0.0
+    recall: float = 0.0
 
     def score(self) -> Column:
         def leaf(side) -> Column:
@@ -119,58 +134,61 @@ class Boosted:
         return 1 / (1 + F.exp(-total))
 
 
-def boost(table: list[tuple[tuple[int, ...], int, int]], rounds: int = 40, rate: float = 0.3, precision: float = 0.99) -> Boosted:
-    """Fit to (feature values, positives, negatives). The threshold is the least score from which on the examples' precision is at least `precision`.
-    Without examples of both kinds nothing is selected."""
-    pos, neg = sum(p for _, p, _ in table), sum(n for *_, n in table)
-    if not pos or not neg:
+def boost(table: list[tuple[tuple[int, ...], int, int, int, int]], rounds: int = 40, rate: float = 0.3, precision: float = 0.99) -> Boosted:
+    """Fit to (feature values, positives, negatives, and the same of the documents held out). The threshold is the least score from which on the held-out examples' precision
+    is at least `precision`. Without examples of both kinds, or where that precision isn't reached, nothing is selected."""
+    x = np.array([r[0] for r in table], np.int64).reshape(len(table), len(FEATURES))
+    pos, neg, held_pos, held_neg = (np.array([r[k] for r in table], float) for k in (1, 2, 3, 4))
+    if not pos.sum() or not neg.sum():
         return Boosted([], 0.0, 2.0)
-    start = log(pos / neg)
-    logit = [start] * len(table)
-    cuts = [(j, c) for j in range(len(FEATURES)) for c in sorted({x[j] for x, *_ in table})[:-1]]
-    trees = []
+    start = log(pos.sum() / neg.sum())
+    logit, trees = np.full(len(table), start), []
 
-    def best(rows: list[int], grad: list[float], hess: list[float]) -> tuple:
-        def worth(g: float, h: float) -> float:
-            return g * g / (h + 1)
-
-        g, h = sum(grad[i] for i in rows), sum(hess[i] for i in rows)
+    def best(rows: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[float, int, int, float, float]:
+        """(gain, feature, cut, value up to the cut, value above)."""
+        g, h = grad[rows].sum(), hess[rows].sum()
         top = (0.0, 0, 1 << 30, rate * g / (h + 1), 0.0)
-        for j, c in cuts:
-            gl = sum(grad[i] for i in rows if table[i][0][j] <= c)
-            hl = sum(hess[i] for i in rows if table[i][0][j] <= c)
-            gain = worth(gl, hl) + worth(g - gl, h - hl) - worth(g, h)
-            if gain > top[0] + 1e-9:
-                top = (gain, j, c, rate * gl / (hl + 1), rate * (g - gl) / (h - hl + 1))
+        for j in range(x.shape[1]):
+            low_g, low_h = (np.cumsum(np.bincount(x[rows, j], of[rows]))[:-1] for of in (grad, hess))
+            gain = low_g**2 / (low_h + 1) + (g - low_g) ** 2 / (h - low_h + 1) - g * g / (h + 1)
+            if gain.size and gain.max() > top[0] + 1e-9:
+                c = int(gain.argmax())
+                top = (float(gain[c]), j, c, float(rate * low_g[c] / (low_h[c] + 1)), float(rate * (g - low_g[c]) / (h - low_h[c] + 1)))
         return top
 
+    every = np.arange(len(table))
     for _ in range(rounds):
-        p = [1 / (1 + exp(-max(-30.0, min(30.0, z)))) for z in logit]
-        grad = [a - (a + b) * q for (_, a, b), q in zip(table, p, strict=True)]
-        hess = [(a + b) * q * (1 - q) for (_, a, b), q in zip(table, p, strict=True)]
-        every = list(range(len(table)))
+        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        grad, hess = pos - (pos + neg) * p, (pos + neg) * p * (1 - p)
         _, j, c, *_ = best(every, grad, hess)
         sides = []
-        for side in ([i for i in every if table[i][0][j] <= c], [i for i in every if table[i][0][j] > c]):
+        for side in (every[x[:, j] <= c], every[x[:, j] > c]):
             _, k, d, low, high = best(side, grad, hess)
-            sides.append((FEATURES[k], d, low, high))
-            for i in side:
-                logit[i] += low if table[i][0][k] <= d else high
+            sides.append((FEATURES[k], d, float(low), float(high)))
+            logit[side] += np.where(x[side, k] <= d, low, high)
         trees.append((FEATURES[j], c, *sides))
-    threshold, good, bad = 2.0, 0, 0
-    for z, a, b in sorted(((z, a, b) for z, (_, a, b) in zip(logit, table, strict=True)), reverse=True):
-        good, bad = good + a, bad + b
-        if good >= precision * (good + bad):
-            threshold = 1 / (1 + exp(-z)) - 1e-9
-    return Boosted(trees, start, threshold)
+    out, good, bad = Boosted(trees, start, 2.0), 0.0, 0.0
+    for z in np.unique(logit)[::-1]:  # vectors of one score are selected together
+        at = logit == z
+        good, bad = good + held_pos[at].sum(), bad + held_neg[at].sum()
+        if good and good >= precision * (good + bad):
+            out.threshold, out.precision, out.recall = float(1 / (1 + np.exp(-z)) - 1e-9), good / (good + bad), good / held_pos.sum()
+    return out
+
+
+def learnt(every: DataFrame, precision: float = 0.99) -> Boosted:
+    """The model of spans(): a third of the rows, by a hash of their number, is held out for the threshold."""
+    held = F.pmod(F.xxhash64("row"), F.lit(3)) == 0
+    count = lambda c: F.sum(c.cast("long"))
+    examples = every.where("role <> 'wider'").groupBy(*FEATURES).agg(*[count(c).alias(n) for n, c in (("p", F.col("valid") & ~held), ("n", ~F.col("valid") & ~held), ("hp", F.col("valid") & held), ("hn", ~F.col("valid") & held))])
+    return boost(sorted((tuple(r[f] for f in FEATURES), r.p, r.n, r.hp, r.hn) for r in examples.collect()), precision=precision)
 
 
 def selected_spans(found: DataFrame, precision: float = 0.99) -> DataFrame:
     """(row, kind, base, start, end) of all redactions: base matches that pass their checks, and what the model selects beside them."""
     every = spans(found)
-    labelled = every.where("base").groupBy(*FEATURES).agg(F.sum(F.col("valid").cast("long")).alias("p"), F.sum((~F.col("valid")).cast("long")).alias("n"))
-    model = boost(sorted((tuple(r[f] for f in FEATURES), r.p, r.n) for r in labelled.collect()), precision=precision)
-    kept = every.withColumn("sure", F.col("base") & F.col("valid")).where(F.col("sure") | (~F.col("base") & (model.score() >= model.threshold)))
+    model = learnt(every, precision)
+    kept = every.withColumn("sure", F.col("valid")).where(F.col("sure") | ((F.col("role") == "wider") & (model.score() >= model.threshold)))
     # a span beside the base ones goes where it overlaps one of them
     earlier = Window.partitionBy("row").orderBy("start", F.desc("sure")).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy("row").orderBy(F.desc("start"), "sure").rowsBetween(Window.unboundedPreceding, -1)
@@ -179,12 +197,10 @@ def selected_spans(found: DataFrame, precision: float = 0.99) -> DataFrame:
     return kept.where(F.col("sure") | free).select("row", "kind", F.col("sure").alias("base"), "start", "end").distinct()
 
 
-def _scanned(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs, written once with numbered rows and all generators' matches: the texts are searched once."""
-    names = [c for c in columns if c != "text"]
-    numbered = docs.select("text", F.struct(*names).alias("__rest") if names else F.lit(0).alias("__rest"), F.monotonically_increasing_id().alias("row"))
-    kept = [F.col("text") if c == "text" else F.col(f"__rest.{c}") for c in columns]
-    return written(_with_found(numbered).select(*kept, F.col("row").alias("row"), "found"), "pii")
+def _scanned(docs: DataFrame) -> DataFrame:
+    """(kept, row, found): docs, written once with numbered rows and all generators' matches: the texts are searched once."""
+    numbered = docs.select("text", F.struct(*docs.columns).alias("kept"), F.monotonically_increasing_id().alias("row"))
+    return written(_with_found(numbered).select("kept", "row", "found"), "pii")
 
 
 def find_pii(docs: DataFrame, precision: float = 0.99) -> DataFrame:
@@ -193,7 +209,8 @@ def find_pii(docs: DataFrame, precision: float = 0.99) -> DataFrame:
     base and spans: arrays of (kind, start, end) in code points, end exclusive, in order of kind and start; the counts are those of base.
     Null and empty texts have none; repeated rows are all returned; long texts are searched whole.
     """
-    found = _scanned(docs.select("doc_id", "text"), ["doc_id"])
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    found = written(_with_found(numbered).select("doc_id", "row", "found"), "pii")
     marks = selected_spans(found, precision).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "base"))).alias("spans"))
     out = found.select("row", "doc_id").join(marks, "row", "left").withColumn("spans", F.coalesce("spans", F.expr("filter(array(struct(0 kind,0L start,0L end,true base)), x -> false)")))
     base = F.filter("spans", lambda s: s["base"])
@@ -213,18 +230,17 @@ def written_out(spans_column: str) -> Column:
 def redacted(docs: DataFrame, precision: float = 0.99) -> DataFrame:
     """docs with <EMAIL>, <IP>, <CARD> or <PHONE> in place of every span found in text; overlapping spans become one. Rows without a
     span are unchanged, and their texts are not shuffled."""
-    columns = docs.columns
-    found = _scanned(docs, columns)
+    found = _scanned(docs)
     far = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
     cuts = selected_spans(found, precision).withColumn("since", F.coalesce(F.max("end").over(far), F.lit(0))).where("end > since")
     cuts = cuts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "since", "kind"))).alias("cuts"))
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def part(c: Column) -> Column:
-        gap = F.col("text").substr((c["since"] + 1).cast("int"), F.greatest(F.lit(0), c["start"] - c["since"]).cast("int"))
+        gap = F.col("kept.text").substr((c["since"] + 1).cast("int"), F.greatest(F.lit(0), c["start"] - c["since"]).cast("int"))
         return F.concat(gap, F.when(c["start"] >= c["since"], F.get(tags, c["kind"])).otherwise(""))
 
     last = F.element_at("cuts", -1)["end"]
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("cuts", part), ""), F.col("text").substr((last + 1).cast("int"), F.length("text"))))
-    some = found.where("size(found) > 0").drop("found").join(cuts, "row", "left").withColumn("text", text).select(*columns)
-    return found.where("size(found) = 0").select(*columns).unionByName(some)
+    text = F.when(F.col("cuts").isNull(), F.col("kept.text")).otherwise(F.concat(F.array_join(F.transform("cuts", part), ""), F.col("kept.text").substr((last + 1).cast("int"), F.length("kept.text"))))
+    some = found.where("size(found) > 0").join(cuts, "row", "left").select(F.col("kept").withField("text", text).alias("kept"))
+    return found.where("size(found) = 0").select("kept").unionAll(some).select("kept.*")

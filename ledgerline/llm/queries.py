@@ -75,7 +75,7 @@ WITH doc AS (
 item AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 test AS (
   SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS run
   FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM item WHERE len(w) > 0)),
@@ -85,7 +85,7 @@ place AS (
   FROM (SELECT row_no, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, sizes WHERE len(w) >= size)),
 found AS (SELECT row_no, i, size, item FROM place JOIN test USING (size, run)),
 hit AS (SELECT row_no, count(DISTINCT pos) AS n_hit FROM (SELECT row_no, unnest(range(i, i + size)) AS pos FROM found) GROUP BY row_no),
-own AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_no, item FROM found) GROUP BY row_no)
+own AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_no, item FROM found WHERE item IS NOT NULL) GROUP BY row_no)
 SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit USING (row_no) LEFT JOIN own USING (row_no)
@@ -94,7 +94,7 @@ FROM doc LEFT JOIN hit USING (row_no) LEFT JOIN own USING (row_no)
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~in_fold(F.col("doc_id"), 5, 0))
-    return out.select("doc_id", (~F.col("learnt_from")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("kept.doc_id", (~F.col("learnt_from")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerline.llm.decontaminate import windows, word_list
 
@@ -32,3 +34,19 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, DATA)
     assert at.collect() == []
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    """Nulls, empty texts, repeated ids and rows, and columns with the names that the operators use themselves."""
+    names = ["score", "hits", "items", "row", "found", "kept", "learnt_from", "node", "low", "least", "mix", "text_2", "n_words", "cuts", "component_id", "at"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7_000_001, "kept as it is", None, None, None), (7_000_001, "another text of that id", "en", "s", 3), (7_000_002, "said twice", "en", "s", 1), (7_000_002, "said twice", "en", "s", 1), (7_000_003, "a" + "-" * 200_000 + "b", "xx", "s", 2)], docs.schema)
+    at = docs.unionAll(odd).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.written(stage(spark, at, DATA), name)
+        assert out.columns[: len(at.columns)] == at.columns
+        at = out
+    got = [(r.doc_id, r.text) for r in at.where("doc_id >= 7000000 or doc_id is null").collect()]
+    assert sorted(t for d, t in got if d in (7_000_001, 7_000_002)) == ["another text of that id", "kept as it is", "said twice"]
+    assert len(got) == 5 and sum(d is None for d, _ in got) == 1  # the rows without words are copies of each other
+    assert at.select(*names).distinct().collect() == [tuple(range(len(names)))]
