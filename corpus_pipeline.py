@@ -23,7 +23,7 @@ from ledgerline.llm.toxicity import score_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below 0.5, learnt from all labels."""
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"), F.lit(True), docs.columns)
-    return scored.where("score < 0.5").select(*docs.columns)
+    return scored.where("score < 0.5").select("kept.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of ten words of the benchmark."""
     found = find_passages(docs, table(spark, sf_dir, "benchmark"), 10, columns=docs.columns)
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    return found.where(F.size("hits") == 0).select("kept.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
