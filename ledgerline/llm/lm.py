@@ -3,7 +3,8 @@
 Words fall into classes: each of the most frequent words is a class of its own, all others share classes by their first letters.
 A token's probability is that of its class after the two classes before it (the neural model) times the word's smoothed share of its class.
 Word counts come from the whole training fold and never meet in one place: a bounded head is broadcast, the tail is joined.
-Training runs where the texts are; every task follows the whole of its texts, and the parameters are averaged by token counts.
+Texts are turned into class numbers once. Training deals them out by a hash into blocks of about equal numbers of tokens, so that it does not matter how files are split; the blocks are gone through in
+rounds, each of which starts from the average that the round before has left. More texts make more blocks in every round.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import written
@@ -27,7 +29,8 @@ END = b" "
 
 @dataclass(frozen=True)
 class Shape:
-    """own: words with a class of their own; shared: classes of the others; head: words broadcast with their counts, the bound of what tasks hold of the vocabulary."""
+    """own: words with a class of their own; shared: classes of the others; head: words broadcast with their counts, the bound of what tasks hold of the vocabulary.
+    rounds: how often blocks are averaged; block: tokens of one; least: blocks in each round at least, where the corpus has so many (a small corpus is gone through again)."""
 
     own: int = 768
     shared: int = 256
@@ -36,6 +39,9 @@ class Shape:
     noise: int = 32
     batch: int = 2048
     rate: float = 0.3
+    rounds: int = 6
+    block: int = 500_000
+    least: int = 4
 
     @property
     def classes(self) -> int:
@@ -78,7 +84,8 @@ class Vocabulary:
         for cls, (mass, types) in masses.items():
             n[cls], self.types[cls] = mass, types
         self.mass = n
-        self.prior = (n + 0.5) / (n + 0.5).sum()
+        used = (n + 0.5) * ((np.arange(shape.classes) < len(rows)) | (np.arange(shape.classes) >= shape.own))  # no word, no share
+        self.prior = used / used.sum()
         self.base = np.log10((self.count + 0.5) / (total + 0.5 * (kinds + 1)))
         inside = (self.count + 0.5) / (n + 0.5 * (self.types + 1))[self.known]
         inside[: min(shape.own, len(rows))] = 1.0  # the word is its class
@@ -102,7 +109,7 @@ class LogBilinear:
         rng = np.random.default_rng(seed)
         self.r, self.o = (rng.normal(0, 0.1, (shape.classes, shape.dims)).astype(np.float32) for _ in range(2))
         self.mix = np.ones((2, shape.dims), np.float32)
-        self.bias = np.log(prior).astype(np.float32)
+        self.bias = np.log(np.maximum(prior, 1e-30)).astype(np.float32)
         self.shape, self.prior = shape, prior
 
     def rows(self) -> np.ndarray:
@@ -122,7 +129,7 @@ class LogBilinear:
         k, n = self.shape.noise, len(c)
         noise = np.searchsorted(np.cumsum(self.prior), rng.random(k) * (1 - 1e-9)).clip(0, self.shape.classes - 1)
         q = self.predict(a, b)
-        floor = np.log(k * self.prior).astype(np.float32)
+        floor = np.log(k * np.maximum(self.prior, 1e-30)).astype(np.float32)
         hit = 1 / (1 + np.exp((q * self.o[c]).sum(1) + self.bias[c] - floor[c]))  # 1 - sigmoid: the pull towards the data
         miss = -1 / (1 + np.exp(-(q @ self.o[noise].T + self.bias[noise] - floor[noise])))  # the push from the noise
         step = np.float32(rate / n)
@@ -150,55 +157,72 @@ class LogBilinear:
         return out
 
 
-def trained(texts: DataFrame, vocabulary, shape: Shape) -> LogBilinear:
-    """The model after one pass over all texts: tasks start from the same parameters; the results are averaged by tokens."""
-    spark = texts.sparkSession
-    start = LogBilinear(shape, vocabulary.value.prior)
-    shared = spark.sparkContext.broadcast(start.rows())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, rng = vocabulary.value, np.random.default_rng(TaskContext.get().partitionId())
-        model = LogBilinear(shape, v.prior)
-        model.set_rows(shared.value)
-        held: list[np.ndarray] = []
-        size = seen = steps = 0
-
-        def learn(last: bool) -> None:
-            nonlocal held, size, seen, steps
-            t = np.concatenate(held)
-            at = rng.permutation(len(t))
-            for i in range(0, len(at) if last else len(at) - len(at) % shape.batch, shape.batch):
-                part = t[at[i : i + shape.batch]]
-                model.train(part[:, 0], part[:, 1], part[:, 2], rng, shape.rate / (1 + steps / 2000) ** 0.5)
-                steps += 1
-            seen += len(t)
-            held, size = [], 0
-
-        end = int(v.known[v.number[END]])
-        for b in batches:
-            for text in b.column("text"):
-                c = v.lookup(text.as_py())[1]
-                before = np.concatenate([[end, end], c[:-1]]).astype(np.int32)
-                held.append(np.stack([before[:-1], before[1:], c], 1))
-                size += len(c)
-                if size >= 64 * shape.batch:
-                    learn(False)
-        if size:
-            learn(True)
-        if seen:
-            yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(shared.value)), pa.int64()), "values": pa.array(model.rows().astype(np.float64).tolist(), pa.list_(pa.float64())), "weight": pa.array([float(seen)] * len(shared.value))})
-
-    parts = texts.select("text").mapInArrow(run, "at long, values array<double>, weight double")
-    sums = parts.groupBy("at").agg(F.sum("weight").alias("weight"), *[F.sum(F.col("values")[d] * F.col("weight")).alias(f"v{d}") for d in range(shape.dims + 1)]).collect()
-    if sums:
-        rows = np.zeros_like(shared.value)
-        for r in sums:
-            rows[r.at] = np.array(r[2:]) / r.weight
-        start.set_rows(rows)
-    return start
-
-
-def _normalisers(spark, model: LogBilinear) -> np.ndarray:
+def _train_block(model: LogBilinear, texts: Iterator[np.ndarray], end: int, seed: int, steps: int) -> tuple[np.ndarray, int]:
+    """One pass over a block's texts (class numbers); how often each class occurred, and the steps taken so far."""
+    rng, seen = np.random.default_rng(seed), np.zeros(model.shape.classes)
+    held: list[np.ndarray] = []
+    size, batch = 0, model.shape.batch
+
+    def learn(last: bool) -> None:
+        nonlocal held, size, steps
+        t = np.concatenate(held)
+        at = rng.permutation(len(t))
+        stop = len(at) if last else len(at) - len(at) % batch
+        for i in range(0, stop, batch):
+            part = t[at[i : i + batch]]
+            model.train(part[:, 0], part[:, 1], part[:, 2], rng, model.shape.rate / (1 + steps / 1000) ** 0.5)
+            steps += 1
+        held = [t[at[stop:]]] if stop < len(at) else []
+        size = len(at) - stop
+
+    for c in texts:
+        before = np.concatenate([[end, end], c[:-1]]).astype(np.int32)
+        held.append(np.stack([before[:-1], before[1:], c], 1))
+        seen += np.bincount(c, minlength=model.shape.classes)
+        size += len(c)
+        if size >= 64 * batch:
+            learn(False)
+    if size:
+        learn(True)
+    return seen, steps
+
+
+def trained(encoded: DataFrame, blocks: int, vocabulary, shape: Shape) -> LogBilinear:
+    """The model after all rounds over encoded(block, order, cls). In a round all blocks start from the same parameters; a class's rows are averaged by how often it occurred in each block."""
+    spark = encoded.sparkSession
+    model = LogBilinear(shape, vocabulary.value.prior)
+    each = min(blocks, max(shape.least, -(-blocks // shape.rounds)))
+    names = [f"v{d}" for d in range(shape.dims + 1)]
+    for turn in range(shape.rounds):
+        shared = spark.sparkContext.broadcast(model.rows())
+        steps = turn * shape.block // shape.batch
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn, steps=steps) -> Iterator[pa.RecordBatch]:
+            v = vocabulary.value
+            end = int(v.known[v.number[END]])
+            rows = ((i, c) for b in batches for i, c in zip(b.column("block").to_pylist(), b.column("cls"), strict=True))
+            for block, own in groupby(rows, key=lambda r: r[0]):
+                own_model = LogBilinear(shape, v.prior)
+                own_model.set_rows(shared.value)
+                seen, _ = _train_block(own_model, (c.values.to_numpy(zero_copy_only=False).astype(np.int32) for _, c in own), end, block * 1000 + turn, steps)
+                out = own_model.rows().astype(np.float64)
+                weight = np.concatenate([seen + 1e-3, seen + 1e-3, [seen.sum()] * 2])
+                yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(out)), pa.int64()), "weight": pa.array(weight)} | {n: pa.array(out[:, d] * weight) for d, n in enumerate(names)})
+
+        chosen = F.pmod(F.col("block") - turn * each, F.lit(blocks)) < each
+        dealt = encoded.where(chosen).select("block", "order", "cls").repartition("block").sortWithinPartitions("block", "order").select("block", "cls")
+        parts = dealt.mapInArrow(run, ", ".join(["at long", "weight double", *(f"{n} double" for n in names)]))
+        sums = parts.groupBy("at").agg(*[F.sum(n).alias(n) for n in ("weight", *names)]).collect()
+        if sums:
+            rows = np.zeros_like(shared.value)
+            for r in sums:
+                rows[r.at] = np.array(r[2:]) / r.weight
+            model.set_rows(rows)
+        shared.unpersist()
+    return model
+
+
+def _normalisers(spark: SparkSession, model: LogBilinear) -> np.ndarray:
     shared, classes = spark.sparkContext.broadcast(model), model.shape.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,21 +236,40 @@ def _normalisers(spark, model: LogBilinear) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, learn_from: Column, shape: Shape = Shape()) -> DataFrame:
-    """(doc_id, learnt_from, n_tokens, n_known, train_tokens, base_score, score) of every row of docs(doc_id, text).
+def head_of(counts: DataFrame, most: int) -> tuple[list[Row], int]:
+    """The words of counts(word, c) that occur at least so often that there are at most `most` of them, the most frequent first, and that least count: a power of two, found from a histogram."""
+    sizes = {r.size: r.n for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("size")).agg(F.count("*").alias("n")).collect()}
+    least, total = max(sizes, default=-1) + 1, 0
+    while least > 0 and total + sizes.get(least - 1, 0) <= most:
+        least -= 1
+        total += sizes.get(least, 0)
+    return sorted(counts.where(F.col("c") >= (1 << least)).collect(), key=lambda r: (-r.c, bytes(r.word))), 1 << least
 
-    learn_from tells the rows that the counts and the model come from. Scores are log10 probabilities of whole texts with their end: base_score
-    under smoothed word counts, score under the model. Null and empty texts have the end only. Nothing to learn
-    from: base_score is 0 and score that of an untrained model. Repeated rows are all returned.
-    """
+
+@dataclass(frozen=True)
+class Fitted:
+    """What scoring needs: the encoded texts, all word counts, and the model with its normalisers."""
+
+    encoded: DataFrame
+    counts: DataFrame
+    least: int
+    total: int
+    kinds: int
+    masses: dict[int, tuple[int, int]]
+    vocabulary: object
+    model: LogBilinear
+    normalisers: np.ndarray
+
+
+def fitted(docs: DataFrame, learn_from: Column, shape: Shape = Shape()) -> Fitted:
+    """Count, encode and train over docs(doc_id, text); learn_from tells the rows that are learnt from."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), learn_from.alias("learnt_from"))
-    learning = rows.where("learnt_from")
-    counts = written(word_counts(learning), "lm-counts")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), learn_from.alias("learnt_from"), F.xxhash64("doc_id", "text").alias("order"))
+    counts = written(word_counts(rows.where("learnt_from")), "lm-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(shape.head).collect()
+    blocks = max(1, round(total / shape.block))
+    head, least = head_of(counts, shape.head)
     own = [bytes(r.word) for r in head[: shape.own]]
-    least = head[-1] if len(head) == shape.head else None
     # the shared classes' masses are counted over all words that have no class of their own
     outside = counts.where(~F.col("word").isin(own)) if own else counts
     cls = F.lit(shape.own) + F.crc32(F.substring("word", 1, 3)) % shape.shared
@@ -234,44 +277,68 @@ def score_texts(docs: DataFrame, learn_from: Column, shape: Shape = Shape()) ->
     if not any(bytes(r.word) == END for r in head):
         head += counts.where(F.col("word") == F.lit(END)).collect() or [Row(word=END, c=0)]
     vocabulary = spark.sparkContext.broadcast(Vocabulary(head, shape, total, kinds, masses))
-    model = trained(learning, vocabulary, shape)
-    shared = spark.sparkContext.broadcast((model, _normalisers(spark, model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (m, z) = vocabulary.value, shared.value
-        end, row, log = int(v.known[v.number[END]]), TaskContext.get().partitionId() << 33, np.log(10)
+        v, row = vocabulary.value, TaskContext.get().partitionId() << 33
+        tail_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         for b in batches:
-            out: dict = {n: [] for n in ("row", "n_tokens", "n_known", "base_score", "score", "tail")}
+            out: dict = {n: [] for n in ("row", "n_tokens", "n_known", "base", "inside", "tail", "cls")}
             for text in b.column("text"):
                 at, c, tail = v.lookup(text.as_py())
+                known = at[at >= 0]
+                for n, x in zip(out, (row, len(at), int((v.count[known] > 0).sum()), float(v.base[known].sum()), float(v.inside[known].sum()), [{"word": w, "n": n} for w, n in Counter(tail).items()], c.astype(np.int32)), strict=True):
+                    out[n].append(x)
+                row += 1
+            kinds_of = {"base": pa.float64(), "inside": pa.float64(), "tail": tail_kind, "cls": pa.list_(pa.int32())}
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "learnt_from", "order")), *(pa.array(x, kinds_of.get(n, pa.int64())) for n, x in out.items())], ["doc_id", "learnt_from", "order", *out])
+
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, learnt_from boolean, order long, row long, n_tokens long, n_known long, base double, inside double, tail array<struct<word:binary,n:bigint>>, cls array<int>"
+    encoded = rows.select("doc_id", "text", "learnt_from", "order").mapInArrow(run, schema).withColumn("block", F.pmod("order", F.lit(blocks)).cast("int"))
+    encoded = written(encoded, "lm-encoded")
+    model = trained(encoded.where("learnt_from"), blocks, vocabulary, shape)
+    return Fitted(encoded, counts, least, total, kinds, masses, vocabulary, model, _normalisers(spark, model))
+
+
+def score_texts(docs: DataFrame, learn_from: Column, shape: Shape = Shape()) -> DataFrame:
+    """(doc_id, learnt_from, n_tokens, n_known, train_tokens, base_score, score) of every row of docs(doc_id, text).
+
+    learn_from tells the rows that the counts and the model come from. Scores are log10 probabilities of whole texts, however long, with their end: base_score
+    under smoothed word counts, score under the model; over all known words and one unknown the model's probabilities after any two words sum to one. Null and empty texts have the end only. Nothing to learn
+    from: base_score is 0 and score that of an untrained model. Repeated rows are all returned.
+    """
+    fit = fitted(docs, learn_from, shape)
+    spark, total, kinds, masses = docs.sparkSession, fit.total, fit.kinds, fit.masses
+    vocabulary, shared = fit.vocabulary, spark.sparkContext.broadcast((fit.model, fit.normalisers))
+    kept = ["doc_id", "learnt_from", "row", "n_tokens", "n_known", "base", "inside"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, (m, z) = vocabulary.value, shared.value
+        end, log = int(v.known[v.number[END]]), np.log(10)
+        for b in batches:
+            sums = []
+            for x in b.column("cls"):
+                c = x.values.to_numpy(zero_copy_only=False)
                 before = np.concatenate([[end, end], c[:-1]])
                 first, second = before[:-1], before[1:]
                 s = (m.predict(first, second) * m.o[c]).sum(1) + m.bias[c] - z[first, second]
-                head = at[at >= 0]
-                out["row"].append(row)
-                out["n_tokens"].append(len(at))
-                out["n_known"].append(int((v.count[head] > 0).sum()))
-                out["base_score"].append(float(v.base[head].sum()))
-                out["score"].append(float(s.sum(dtype=np.float64)) / log + float(v.inside[head].sum()))
-                out["tail"].append([{"word": w, "n": n} for w, n in Counter(tail).items()])
-                row += 1
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("learnt_from"), *(pa.array(out[n], kind if n == "tail" else pa.float64() if "score" in n else pa.int64()) for n in out)], ["doc_id", "learnt_from", *out])
-
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, learnt_from boolean, row long, n_tokens long, n_known long, base_score double, score double, tail array<struct<word:binary,n:bigint>>"
-    scored = written(rows.mapInArrow(run, schema), "lm-heads")
-    tails = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
-    rest = counts if least is None else counts.where((F.col("c") < least.c) | ((F.col("c") == least.c) & (F.col("word") > F.lit(bytes(least.word)))))
-    joined = tails.join(rest, "word", "left") if least is not None else tails.withColumn("c", F.lit(None).cast("long"))
+                sums.append(float(s.sum(dtype=np.float64)) / log)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(sums, pa.float64())], [*kept, "neural"])
+
+    scored = fit.encoded.select(*kept, "cls").mapInArrow(run, fit.encoded.select(*kept).schema.add("neural", "double"))
+    tails = fit.encoded.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
+    joined = tails.join(fit.counts.where(F.col("c") < fit.least), "word", "left")
     # the share of a class that a word has: looked up in a table of one row per shared class
     table = F.array(*[F.lit(float(masses.get(shape.own + i, (0, 0))[0] + 0.5 * (masses.get(shape.own + i, (0, 0))[1] + 1))) for i in range(shape.shared)])
     of_class = F.element_at(table, (F.crc32(F.substring("word", 1, 3)) % shape.shared + 1).cast("int"))
     c = F.coalesce("c", F.lit(0))
     per_row = joined.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * F.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))).alias("base"),
-        F.sum(F.col("n") * F.log10((c + 0.5) / of_class)).alias("inside"),
+        F.sum(F.col("n") * F.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))).alias("tail_base"),
+        F.sum(F.col("n") * F.log10((c + 0.5) / of_class)).alias("tail_inside"),
     )
-    full = scored.drop("tail").join(per_row, "row", "left")
+    full = scored.join(per_row, "row", "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return full.select("doc_id", "learnt_from", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + zero("base")).alias("base_score"), (F.col("score") + zero("inside")).alias("score"))
+    return full.select(
+        "doc_id", "learnt_from", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + zero("tail_base")).alias("base_score"), (F.col("neural") + F.col("inside") + zero("tail_inside")).alias("score"),
+    )
