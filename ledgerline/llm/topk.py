@@ -1,7 +1,7 @@
 """Exact top-k inner products by impact-ordered, score-at-a-time search.
 
 Rows are indexed in blocks. Within a block each dimension is a posting list ordered by value and cut into segments of equal
-quantised impact. A query takes the segments of all dimensions by descending impact and adds them to
+quantised impact. A query takes the segments of all dimensions by descending impact, in groups that halve, and adds them to
 accumulators; what is still to come bounds every row from above. Rows below the k-th exact score so far are out, and processing stops
 once the few rows left are worth scoring: those, all possible members, are rescored exactly.
 """
@@ -9,17 +9,22 @@ once the few rows left are worth scoring: those, all possible members, are resco
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import drop_written, written
+
 #: Components are cut into segments of 2**_SHIFT values.
 _SHIFT = 4
 
 
+#: Segments are taken in groups of falling impact: those of at least so many halves of the largest impact, then the rest.
+_HALVES = 6
+
+
 class ImpactIndex:
     """Posting lists of one block of integer vectors (rows x dimensions)."""
 
@@ -28,12 +33,15 @@ class ImpactIndex:
         level = vectors >> _SHIFT
         self.low, self.high = level.min(0), level.max(0)
         self.order = np.argsort(level, axis=0, kind="stable").T.copy()
-        self.level = np.take_along_axis(level.T, self.order, axis=1)
-        self.steps = (self.level - self.low[:, None]).astype(np.float64)
+        steps = np.take_along_axis(level.T, self.order, axis=1) - self.low[:, None]
+        self.steps = steps.astype(np.float64)
+        # ends[d, j]: how many postings of a dimension lie below step j: where its segments begin
+        every = np.arange(int((self.high - self.low).max(initial=0)) + 2)
+        self.ends = np.stack([np.searchsorted(s, every) for s in steps]) if len(steps) else np.zeros((0, 2), np.int64)
 
     def search(self, query: np.ndarray, k: int, least: float) -> np.ndarray:
         """Rows that hold every one of the block's members of the top k, given that k rows with a score of at least least are known."""
-        rows, dims = self.exact.shape
+        rows, _ = self.exact.shape
         q = query.astype(np.float64)
         up, size = q > 0, np.abs(q) * (1 << _SHIFT)
         span = self.high - self.low
@@ -41,27 +49,20 @@ class ImpactIndex:
         base = np.where(up, q * ((self.low << _SHIFT) + (1 << _SHIFT) - 1), q * (self.high << _SHIFT)).sum()
         upper, done = np.full(rows, base), np.where(up, rows, 0)
         possible, use = np.arange(rows), np.flatnonzero((size > 0) & (span > 0))
-        impact = (size * span)[use].max(initial=0.0)
-        for share in (0.3, 0.1, 0.0):
-            floor = impact * share
+        up, size, span = up[use], size[use], span[use]
+        impact = (size * span).max(initial=0.0)
+        for halves in range(1, _HALVES + 2):
+            floor = impact / 2**halves if halves <= _HALVES else 0.0
+            step = np.minimum(np.maximum(1, np.ceil(floor / size)).astype(np.int64), span + 1)  # segments of fewer steps wait
+            cut = np.where(up, self.ends[use, step], self.ends[use, np.maximum(0, span - step + 1)])
             which, gains = [], []
-            rest = 0.0
-            for d in use:
-                step = max(1, int(np.ceil(floor / size[d])))  # segments of fewer steps wait
-                level, was = self.level[d], done[d]
-                if up[d]:
-                    cut = min(was, int(np.searchsorted(level, self.low[d] + step)))
-                    part = slice(cut, was)
-                    gain = self.steps[d][part] * size[d]
-                else:
-                    cut = max(was, int(np.searchsorted(level, self.high[d] - step, side="right")))
-                    part = slice(was, cut)
-                    gain = (span[d] - self.steps[d][part]) * size[d]
-                if cut != was:
-                    which.append(self.order[d][part])
-                    gains.append(gain)
-                    done[d] = cut
-                rest += min(step - 1, span[d]) * size[d]
+            for i in np.flatnonzero(cut != done[use]):
+                d = use[i]
+                part = slice(cut[i], done[d]) if up[i] else slice(done[d], cut[i])
+                which.append(self.order[d, part])
+                gains.append((self.steps[d, part] if up[i] else span[i] - self.steps[d, part]) * size[i])
+            done[use] = cut
+            rest = float((np.minimum(step - 1, span) * size).sum())
             if which:
                 upper += np.bincount(np.concatenate(which), np.concatenate(gains), rows)
             if len(possible) > k:  # the k foremost, scored exactly, raise what a member must reach
@@ -116,19 +117,27 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, chunk: int = 65_536,
     """(query_id, rank, vec_id, score): the k rows of the largest inner product with each query, the query's own id left out.
 
     rows and queries: (vec_id, v array<bigint>). Ties go to the smaller vec_id; of repeated rows each counts; queries that share an id
-    count once. Scores are exact up to 2**53. Queries are sent out in chunks of at most chunk vectors, a bound on what is broadcast; every chunk
-    passes over the rows where they lie, and only each task's k best of each query are shuffled.
+    count once. Scores are exact up to 2**53. Queries are dealt by a hash into chunks of about chunk vectors, the most that the driver holds or sends out at a time; every chunk
+    passes over the rows where they lie, and only each task's k best of each query are shuffled. With several chunks what one has found is written before the next begins.
     """
     spark = rows.sparkSession
-    distinct = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    found, source = [], distinct.toLocalIterator()
-    while part := list(islice(source, chunk)):
-        dims = max(1, *(len(r.v) for r in part)) if len(part) > 1 else max(1, len(part[0].v))
-        matrix = np.zeros((len(part), dims), np.int64)
-        for i, r in enumerate(part):
-            matrix[i, : len(r.v)] = r.v
+    distinct = written(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
+    total = distinct.count()
+    parts, found = -(-total // chunk), []
+    for i in range(parts):
+        part = distinct.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i).collect()
+        if not part:
+            continue
+        matrix = np.zeros((len(part), max(1, *(len(r.v) for r in part), 1)), np.int64)
+        for j, r in enumerate(part):
+            matrix[j, : len(r.v)] = r.v
         shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in part], np.int64), matrix))
-        found.append(rows.select("vec_id", "v").mapInArrow(_searcher(shared, k, block), "query_id long, vec_id long, score long"))
+        own = rows.select("vec_id", "v").mapInArrow(_searcher(shared, k, block), "query_id long, vec_id long, score long")
+        if parts > 1:
+            own = written(own, "topk")
+            shared.unpersist()
+        found.append(own)
+    drop_written(spark, distinct)
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = found[0]

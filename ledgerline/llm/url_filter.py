@@ -1,9 +1,9 @@
 """URL filtering by a sort-merge range join, in DataFrame operations only.
 
-A host is written label by label from its end (``www.example.com`` as ``com,example,www,``), so that a rule's host and all its
-subdomains are one interval of sorted keys. Intervals nest or are disjoint. One sweep over rules and urls in key order
-carries the stack of the nested rules opened last; those of them whose interval still holds the url are active, and the longest one whose
-path fits decides.
+A host is written label by label from its end (``www.example.com`` as ``com,example,www,``), followed by a slash and the path. A rule's key is then an
+interval of sorted keys: all that begin with it. A url is looked up once for each host it lies in (``com``, ``example.com``, ...), under that host's key and its own path.
+Intervals nest or are disjoint. One sweep over rules and lookups in key order carries the stack of the nested rules opened last; of those the deepest whose interval still holds
+the lookup is its rule, and of a url's lookups that of the longest host decides.
 """
 
 from __future__ import annotations
@@ -39,46 +39,45 @@ def rule_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 
 
 def _stacks(rules: DataFrame) -> DataFrame:
-    """(key, stack): for each rule host, its rules and those of all hosts it lies in, as an array of (key, path, rule, verdict)."""
-    rules = rules.where("host is not null and path is not null").select(
-        host_key(ascii_lower(F.col("host"))).alias("key"), "path", F.concat(ascii_lower(F.col("host")), "path").alias("rule"), "verdict"
-    )
+    """(key, stack): for each rule the rules that its interval lies in, itself included, as an array of (key, host_length, rule, verdict). A stack is no longer than its rule's path."""
+    host = ascii_lower(F.col("host"))
+    rules = rules.where("host is not null and path is not null").select(host_key(host).alias("host"), "path", F.concat(host, "path").alias("rule"), "verdict")
     # where one host and path has several verdicts, block holds
-    rules = rules.groupBy("key", "path", "rule").agg(F.max("verdict").alias("verdict"))
-    own = rules.groupBy("key").agg(F.collect_list(F.struct("key", "path", "rule", "verdict")).alias("own"))
-    labels = F.split("key", ",", -1)
-    outer = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), ","), F.lit(",")))
-    opened = own.select("key", F.explode(outer).alias("outer")).join(own.select(F.col("key").alias("outer"), "own"), "outer")
-    return opened.groupBy("key").agg(F.flatten(F.collect_list("own")).alias("stack"))
+    rules = rules.groupBy("host", "path", "rule").agg(F.max("verdict").alias("verdict"))
+    rules = rules.select(F.concat("host", F.lit("/"), "path").alias("key"), "path", F.length("host").alias("host_length"), "rule", "verdict")
+    outer = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substr(F.col("key"), F.lit(1), F.col("host_length") + 1 + n))
+    opened = rules.select("key", F.explode(outer).alias("outer"))
+    return opened.join(rules.select(F.col("key").alias("outer"), F.struct("key", "host_length", "rule", "verdict").alias("own")), "outer").groupBy("key").agg(F.collect_list("own").alias("stack"))
 
 
-def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", partitions: int | None = None) -> DataFrame:
+def judge_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", partitions: int | None = None, range_rows: int = 2_000_000) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of urls(page_id, url), under rules(host, path, verdict).
 
     A rule fits its host and all subdomains where the url's path starts with the rule's path. Of those that fit, the one with the
-    longest host wins, then the one with the longest path. No rule: rule is null and verdict is default. A url that is null or has
-    no :// has empty host and path. Repeated rows are all returned. Rules with a null host or path fit nothing.
+    longest host wins, then the one with the longest path; where one host and path has several verdicts, the last in order (block). No rule: rule is null and verdict is default. A url that is null or has
+    no :// has empty host and path. Repeated rows are all returned, long urls are read whole. Rules with a null host or path fit nothing.
 
-    Urls are dealt out by ranges of (key, page_id), so that one host may fill any number of partitions; every
-    partition starts with the stack that was open at the end of those before it.
+    Lookups are dealt out by ranges of (key, hash), so that one key may fill any number of partitions, of about range_rows rows; every
+    partition starts with the stack that was open at the end of those before it: one short array for each.
     """
     spark = urls.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     stacks = _stacks(rules)
     stack_type = stacks.schema["stack"].dataType
-    url = F.col("url")
-    pages = urls.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    pages = pages.select(host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast(stack_type).alias("stack"), F.xxhash64("page_id", "path").alias("spread"))
-    opened = stacks.select("key", F.lit(0).alias("kind"), F.lit(None).cast(urls.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack", F.lit(0).cast("long").alias("spread"))
-    dealt = pages.unionByName(opened).repartitionByRange(n, "key", "kind", "spread")
+    pages = written(urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.monotonically_increasing_id().alias("row")), "url-rows")
+    labels = F.split(host_key(F.col("host")), ",", -1)
+    hosts = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), ","), F.lit(",")))
+    lookups = pages.select(F.explode(hosts).alias("own"), "path", "row").select(F.concat("own", F.lit("/"), "path").alias("key"), F.lit(1).alias("kind"), "row", F.lit(None).cast(stack_type).alias("stack"), F.xxhash64("row").alias("spread"))
+    opened = stacks.select("key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row"), "stack", F.lit(0).cast("long").alias("spread"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * pages.count() // range_rows)
     # written, so that partition numbers stand still
-    dealt = written(dealt.withColumn("part", F.spark_partition_id()), "url-sweep")
+    dealt = written(lookups.unionByName(opened).repartitionByRange(n, "key", "kind", "spread").withColumn("part", F.spark_partition_id()), "url-sweep")
     # a partition begins with the last stack opened in any part before it: one row per part
     ends = dealt.where("kind = 0").groupBy("part").agg(F.max_by("stack", "key").alias("stack"))
     parts = spark.range(n).select(F.col("id").cast("int").alias("part")).join(ends, "part", "left")
     carried = parts.select("part", F.last("stack", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = dealt.withColumn("open", F.last("stack", True).over(sweep)).where("kind = 1").join(F.broadcast(carried), "part", "left")
-    active = F.filter(F.coalesce("open", "carried"), lambda r: F.col("key").startswith(r["key"]) & F.col("path").startswith(r["path"]))
-    best = F.array_max(F.transform(active, lambda r: F.struct(F.length(r["key"]).alias("host_length"), F.length(r["path"]).alias("path_length"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    return swept.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    swept = dealt.withColumn("open", F.last("stack", True).over(sweep)).where("kind = 1").join(carried, "part", "left")
+    active = F.filter(F.coalesce("open", "carried"), lambda r: F.col("key").startswith(r["key"]))
+    deepest = F.array_max(F.transform(active, lambda r: F.struct(r["host_length"].alias("host_length"), F.length(r["key"]).alias("length"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
+    best = swept.select("row", deepest.alias("best")).where("best is not null").groupBy("row").agg(F.max("best").alias("best"))
+    return pages.join(best, "row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -13,6 +13,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -68,11 +69,12 @@ def decided(captures: DataFrame, least_bytes: int = 1000) -> DataFrame:
     return rows.join(groups, "digest", "left")
 
 
-def write_archives(captures: DataFrame, least_bytes: int = 1000, per_file: int = 2000, level: int = 6) -> str:
+def write_archives(captures: DataFrame, least_bytes: int = 1000, per_file: int = 2000, level: int = 6, file_bytes: int = 128 << 20) -> str:
     """Write a record for every row of captures(page_id, url, captured, payload); returns the folder of the archives.
 
     Of rows with equal payloads of at least least_bytes the one with the largest page_id is a response, others revisit it. Rows
-    that share that page_id are all responses. captured is in seconds since 1970; null payloads are empty, null urls too.
+    that share that page_id are all responses. captured is in seconds since 1970; null payloads are empty, null urls too. An archive has at most per_file records, fewer where
+    payloads are large, so that it holds about file_bytes before compression; a longer payload is written whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +89,8 @@ def write_archives(captures: DataFrame, least_bytes: int = 1000, per_file: int =
             yield pa.RecordBatch.from_pydict({"member": pa.array(out, pa.binary())})
 
     path = new_path(captures.sparkSession, "warc")
+    mean = captures.agg(F.avg(F.octet_length("payload"))).first()[0] or 1.0
+    per_file = max(1, min(per_file, int(file_bytes / max(mean, 1.0))))
     rows = decided(captures.withColumn("payload", F.coalesce("payload", F.lit(b""))), least_bytes)
     members = rows.select("page_id", "url", "captured", "payload", "digest", "keep").mapInArrow(run, "member binary")
     members.select(F.col("member").cast("string")).write.options(lineSep=_EMPTY_MEMBER.decode("latin-1"), encoding="ISO-8859-1", maxRecordsPerFile=per_file).text(path)
@@ -179,26 +183,34 @@ class LoserTree:
             self._play(w)
 
 
-def merge_indexes(entries: DataFrame, partitions: int | None = None) -> DataFrame:
+def merge_indexes(entries: DataFrame, partitions: int | None = None, range_entries: int = 200_000) -> DataFrame:
     """All index entries in global order of (url_key, captured, page_id), with the numbers of their range and of their place in it.
 
     The order holds within a range and from one range to the next. Ranges are cut by the whole key, so that captures of one
-    url may fill several of them. A task holds the entries of its range, not their payloads.
+    url may fill several of them, and so small that one has about range_entries entries: as many a task holds, without their payloads. The merged entries leave the task as the tree gives them out.
     """
-    n = partitions or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // range_entries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not held:
             return
         rows = pa.Table.from_batches(held).combine_chunks()
-        archive = rows.column("run").to_pylist()
-        starts = [i for i in range(len(archive)) if i == 0 or archive[i] != archive[i - 1]]
-        keys = list(zip(rows.column("url_key").to_pylist(), rows.column("captured").to_pylist(), ((x is not None, x or 0) for x in rows.column("page_id").to_pylist()), range(len(archive)), strict=True))
-        merged = LoserTree([iter(keys[a:z]) for a, z in zip(starts, [*starts[1:], len(keys)], strict=True)])
-        out = rows.take([key[-1] for _, key in merged])
-        out = out.append_column("range", pa.array([TaskContext.get().partitionId()] * len(out), pa.int64())).append_column("place", pa.array(range(len(out)), pa.int64()))
-        yield from out.to_batches(10_000)
+        archive = rows.column("run").to_numpy(zero_copy_only=False)
+        starts = [0, *(i for i in range(1, len(archive)) if archive[i] != archive[i - 1]), len(archive)] if len(archive) else [0]
+        url, captured, page = (rows.column(n) for n in ("url_key", "captured", "page_id"))
+
+        def entries_of(a: int, z: int) -> Iterator[tuple]:
+            for i in range(a, z):
+                p = page[i].as_py()
+                yield url[i].as_py(), captured[i].as_py(), p is not None, p or 0, i
+
+        merged = (key[-1] for _, key in LoserTree([entries_of(a, z) for a, z in zip(starts, starts[1:], strict=False)]))
+        place = 0
+        while some := list(islice(merged, 10_000)):
+            out = rows.take(some).append_column("range", pa.array([TaskContext.get().partitionId()] * len(some), pa.int64()))
+            yield from out.append_column("place", pa.array(range(place, place + len(some)), pa.int64())).combine_chunks().to_batches()
+            place += len(some)
 
     dealt = entries.repartitionByRange(n, "url_key", "captured", "page_id").sortWithinPartitions("run", "pos")
     return dealt.mapInArrow(run, f"{_ENTRY}, range long, place long")

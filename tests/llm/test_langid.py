@@ -48,3 +48,28 @@ def test_dictionaries_hold_common_texts_and_all_of_a_text(spark):
     out = dictionaries(spark.createDataFrame(rows, "text string, lang string"), slots=16)
     assert out["aa"].count(b"number") == 16 and out["aa"].count(b"odd") <= 4
     assert out["bb"].count(b"tail") > out["bb"].count(b"head") > 0
+
+
+def test_sizes_are_those_of_plain_compression(spark):
+    """Every prediction against the sizes of fresh compressors, one language at a time."""
+    import zstandard
+
+    docs = spark.createDataFrame(texts(60) + [(900, "der", "bb"), (901, "the " * 5000, "aa")], "doc_id long, text string, lang string")
+    contents = dictionaries(docs)
+
+    def sizes(data, level, **more):
+        out = []
+        for c in contents.values():
+            how = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=0, write_checksum=0, write_dict_id=0, **more)
+            out.append(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how).compress(data)))
+        return out
+
+    langs = list(contents)
+    text = {i: t for i, t, _ in texts(60)} | {900: "der", 901: "the " * 5000}
+    for r in identify(docs, F.lit(True)).collect():
+        data = plain_letters(text[r.doc_id])
+        quick = sizes(data, 3)
+        a, b = sorted(quick)[:2]
+        last = quick if b / a - 1 >= 0.06 else sizes(data, 12, min_match=3)
+        a, b = sorted(last)[:2]
+        assert r.lang_pred == langs[last.index(a)] and r.rejected == (b / a - 1 < 0.01)

@@ -56,3 +56,12 @@ def test_no_rules_and_no_urls(spark):
     pages = spark.createDataFrame(urls()[:20], "page_id long, url string")
     assert {r.verdict for r in judge_urls(pages, none).collect()} == {"allow"}
     assert judge_urls(pages.limit(0), rule_frame(spark, URL_RULES)).collect() == []
+
+
+def test_one_host_with_many_nested_paths(spark):
+    rng = random.Random(4)
+    paths = {"".join(rng.choices(["/a", "/b", "/", "c"], k=rng.randrange(0, 7))) for _ in range(500)}
+    rules = [(h, p, rng.choice(["allow", "block"])) for p in paths for h in ("big.org", "org")] + [("x.big.org", "/a", "allow")]
+    rows = [(i, f"http://{rng.choice(['big.org', 'x.big.org', 'y.z.big.org', 'org', 'small.org', 'gorg'])}{''.join(rng.choices(['/a', '/b', '/', 'c'], k=rng.randrange(0, 9)))}") for i in range(600)]
+    for partitions in (2, 11):
+        assert judged(spark, rows, rules, partitions) == expected(rows, rules)
