@@ -63,6 +63,13 @@ def hashed_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     return low.orderBy(F.xxhash64(key), key).limit(most)
 
 
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, in which each u and its smaller neighbours are joined to the smallest of those."""
+    low = edges.groupBy("u").agg(F.min("v").alias("low"))
+    both = edges.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))).alias("e"))
+    return both.select("e.u", "e.v").where("u <> v").distinct()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): component is the smallest node reachable.
 
@@ -72,14 +79,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     spark = edges.sparkSession
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    before, edges = edges, written(_small_star(edges), name)  # many edges within one component become few before the first round
+    drop_written(spark, before)
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))).alias("e"))
-        new = written(small.select("e.u", "e.v").where("u <> v").distinct(), name)
+        new = written(_small_star(large), name)
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_written(spark, edges)
         edges = new

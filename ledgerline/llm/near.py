@@ -1,7 +1,7 @@
 """Near copies by shingle sets: SimHash deletion variants propose, the shingle sets themselves decide.
 
 Rows with equal sets of shingles are one node. Nodes whose fingerprints meet under a variant and are close make up families (simhash.py). Within a
-family every node is first compared, by exact Jaccard similarity, with the one that most others lie close to; nodes that this leaves
+family every node is first compared, by exact Jaccard similarity, with the one by which most others were reached; nodes that this leaves
 apart are compared with all the rest, block by block. So a family of copies costs about its size, a pair that links is never left out
 within a family, and no task holds more than two blocks of sets.
 """
@@ -118,8 +118,8 @@ def _linked(prints: DataFrame, nodes: DataFrame, words: int, least: float) -> Da
     others = [[s for s in segments if s is not own] for own in segments]
     close = links(nodes.where("node <> 0").select("node", *names), MAX_BITS, segments, others)
     family = components(close, "near-families")
-    near = close.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    members = family.withColumnRenamed("component", "family").join(near, "node")
+    reached = close.groupBy(F.col("via").alias("node")).agg(F.count("*").alias("n"))
+    members = family.withColumnRenamed("component", "family").join(reached, "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     members = written(members.join(_sets(prints, nodes.select("node", F.col("low.row").alias("row")), words), "node"), "near-members")
     leads = written(members.groupBy("family").agg(F.count("*").alias("size"), F.max_by("node", F.struct("n", "node")).alias("lead")), "near-leads")
     both = members.join(leads, "family")

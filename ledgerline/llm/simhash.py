@@ -100,26 +100,28 @@ def _differing(prints: list[np.ndarray], i, j) -> np.ndarray:
     return sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int16) for p in prints)
 
 
-def _forest(prints: list[np.ndarray], max_bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Edges of a spanning forest of the link graph within one variant's members: each member is compared with those not yet reached."""
+def _forest(prints: list[np.ndarray], max_bits: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first member, member, those that it reaches) of the components of the link graph within one variant's members: each member is compared with those not yet reached."""
     rest = np.arange(len(prints[0]))
     while rest.size:
-        stack, rest = [rest[0]], rest[1:]
+        root, rest = rest[0], rest[1:]
+        stack = [root]
         while stack and rest.size:
             u = stack.pop()
             near = _differing(prints, rest, u) <= max_bits
             if near.any():
-                yield u, rest[near]
+                yield root, u, rest[near]
                 stack.extend(rest[near])
                 rest = rest[~near]
 
 
-def _edges(sig: np.ndarray, prints: list[np.ndarray], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges, as row numbers, within runs of equal sig. Small runs are compared all at once; only those with a link are gone through one by one."""
+def _edges(sig: np.ndarray, prints: list[np.ndarray], max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, within runs of equal sig: the first member of a component, another, and the one that reached it. Small runs are compared all at once; only those with a link
+    are gone through one by one."""
     starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     sizes = np.diff(np.r_[starts, len(sig)])
     linked = sizes > SMALL
-    a, z = [], []
+    a, z, via = [], [], []
     run = np.repeat(np.arange(len(starts)), sizes)
     inside = np.flatnonzero(~linked[run])
     for step in range(1, min(SMALL, int(sizes.max(initial=1)))):
@@ -131,16 +133,18 @@ def _edges(sig: np.ndarray, prints: list[np.ndarray], max_bits: int) -> tuple[np
         pairs = sizes[run[at]] == 2
         a.append(at[pairs])
         z.append(at[pairs] + step)
+        via.append(at[pairs])
         linked[run[at[~pairs]]] = True
     for s, m in zip(starts[linked], sizes[linked], strict=True):
-        for u, found in _forest([p[s : s + m] for p in prints], max_bits):
-            a.append(np.full(len(found), s + u))
+        for root, u, found in _forest([p[s : s + m] for p in prints], max_bits):
+            a.append(np.full(len(found), s + root))
             z.append(s + found)
-    return np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *z])
+            via.append(np.full(len(found), s + u))
+    return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in (a, z, via))
 
 
 def _met(index: DataFrame, names: list[str], max_bits: int, hot: int | None) -> DataFrame:
-    """(a, b, sig, node, words...) of index(sig, node, words...): edges (a, b) of nodes that meet under a sig, or, with a sig, the rows of those that more than hot share."""
+    """(a, b, via, sig, node, words...) of index(sig, node, words...): what links() returns of the nodes that meet under a sig, or, with a sig, the rows of those that more than hot share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -148,7 +152,7 @@ def _met(index: DataFrame, names: list[str], max_bits: int, hot: int | None) ->
 
         def passed(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
             none = pa.nulls(len(rows["sig"]), pa.int64())
-            return pa.RecordBatch.from_pydict({"a": none, "b": none} | {n: pa.array(rows[n]) for n in rows})
+            return pa.RecordBatch.from_pydict({"a": none, "b": none, "via": none} | {n: pa.array(rows[n]) for n in rows})
 
         for b in _and_end(batches):
             now = {n: np.asarray(b.column(n)) for n in b.schema.names} if b is not None else {}
@@ -171,12 +175,12 @@ def _met(index: DataFrame, names: list[str], max_bits: int, hot: int | None) ->
                 yield passed(held)
                 held = {}
             if last:
-                a, z = _edges(done["sig"], [done[n].view(np.uint64) for n in names], max_bits)  # bits of signed numbers are counted in their absolute value
+                a, z, via = _edges(done["sig"], [done[n].view(np.uint64) for n in names], max_bits)  # bits of signed numbers are counted in their absolute value
                 none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_pydict({"a": pa.array(done["node"][a]), "b": pa.array(done["node"][z]), "sig": none, "node": none} | dict.fromkeys(names, none))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(done["node"][a]), "b": pa.array(done["node"][z]), "via": pa.array(done["node"][via]), "sig": none, "node": none} | dict.fromkeys(names, none))
 
-    dealt = index.repartition("sig").sortWithinPartitions("sig")
-    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in ("a", "b", "sig", "node", *names)))
+    dealt = index.repartition("sig").sortWithinPartitions("sig", "node")
+    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in ("a", "b", "via", "sig", "node", *names)))
 
 
 def _and_end(batches: Iterator) -> Iterator:
@@ -191,7 +195,8 @@ def _signed(rows: DataFrame, names: list[str], kept: list[str], masks: list[tupl
 
 
 def links(prints: DataFrame, max_bits: int, segments: list[list[int]], rest: list[list[list[int]]], hot: int | None = HOT) -> DataFrame:
-    """Edges (a, b) between nodes of prints(node, and a long for each word of the fingerprints): a spanning forest of what meets and is within max_bits.
+    """(a, b, via) of nodes of prints(node, and a long for each word of the fingerprints): the components of what meets under a variant and is within max_bits. a is a component's smallest node, b another one of
+    it, and via the node within max_bits of b that it was reached by; so the pairs (a, b) of a family under all its variants are few different ones.
 
     segments: bit positions; two nodes meet where they differ in at most one bit of a segment. rest: for each segment further segments outside of it, by whose variants
     its variants are dealt out where more than hot nodes share one. If that cuts off no pair (as by cut() of all other bits into
@@ -203,7 +208,7 @@ def links(prints: DataFrame, max_bits: int, segments: list[list[int]], rest: lis
     found = written(_met(index, names, max_bits, hot), "simhash-links")
     crowded = found.where("sig is not null")
     if hot is None or crowded.isEmpty():
-        return found.where("sig is null").select("a", "b")
+        return found.where("sig is null").select("a", "b", "via")
     # the segment that a crowded variant belongs to is found again from the node: its variants have that sig
     own = F.lit(None).cast("int")
     for i, (s, mask) in enumerate(first):
@@ -217,7 +222,7 @@ def links(prints: DataFrame, max_bits: int, segments: list[list[int]], rest: lis
     for p in parts[1:]:
         more = more.unionAll(p)
     again = written(_met(more, names, max_bits, None), "simhash-links")
-    return found.where("sig is null").select("a", "b").unionAll(again.select("a", "b"))
+    return found.where("sig is null").select("a", "b", "via").unionAll(again.select("a", "b", "via"))
 
 
 def with_least(nodes: DataFrame, of: DataFrame, salts: int = 64) -> DataFrame:
