@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.dates import write_date
-
 #: More dates than this are joined instead of listed.
 LISTED = 1000
 
@@ -29,10 +30,11 @@ def between_dates(column: Column, first: str | None = None, last: str | None = N
     return out
 
 
-def between_written(column: Column, label: str, first: str, last: str) -> Column:
-    """The same for a column that holds dates in a spelling that sorts by time (YYYYMMDD, YYYY-MM-DD, YYYYMM), as text or number."""
-    low, high = (write_date(F.lit(x).cast("date"), label) for x in (first, last))
-    return column.cast("string").between(low, high)
+def between_written(column: Column, label: str, first: str, last: str, number: bool = False) -> Column:
+    """The same for a column that holds dates in a spelling that sorts by time (YYYYMMDD, YYYY-MM-DD, YYYYMM), as text or number: typed literals, which the scan can use."""
+    pattern = {"YYYYMMDD": "%Y%m%d", "YYYY-MM-DD": "%Y-%m-%d", "YYYYMM": "%Y%m"}[label]
+    low, high = (date.fromisoformat(x).strftime(pattern) for x in (first, last))
+    return column.between(F.lit(int(low)), F.lit(int(high))) if number else column.between(low, high)
 
 
 def in_dates(rows: DataFrame, column: str, dates: list[str] | DataFrame) -> DataFrame:
@@ -47,8 +49,12 @@ def in_dates(rows: DataFrame, column: str, dates: list[str] | DataFrame) -> Data
 
 
 def except_dates(rows: DataFrame, column: str, dates: list[str]) -> DataFrame:
-    """Rows whose day is not in dates; rows without a day stay."""
-    return rows.where(~F.coalesce(F.col(column).cast("date").isin([date.fromisoformat(d) for d in dates]), F.lit(False))) if dates else rows
+    """Rows whose day is not in dates, by a list or, for a long one, an anti-join; rows without a day stay."""
+    day = F.col(column).cast("date")
+    if len(dates) <= LISTED:
+        return rows.where(~F.coalesce(day.isin([date.fromisoformat(d) for d in dates]), F.lit(False))) if dates else rows
+    listed = rows.sparkSession.createDataFrame([(date.fromisoformat(d),) for d in dates], "__day date").distinct()
+    return rows.join(listed, day == F.col("__day"), "left_anti")
 
 
 def canonical_range(dt: Column, first: str | None = None, last: str | None = None) -> Column:
@@ -65,22 +71,33 @@ def canonical_range(dt: Column, first: str | None = None, last: str | None = Non
     return out
 
 
+#: What a condition can begin with, and what then holds between the column and the rest of the text. The first that fits counts.
+_OPERATORS: list[tuple[str, Callable[[Column, str], Column]]] = [
+    ("!~=", lambda c, x: ~c.like(x)),
+    ("~=", lambda c, x: c.like(x)),
+    ("!=", lambda c, x: c != x),
+    ("=", lambda c, x: c == x),
+]
+
+
+def _one_of(c: Column, text: str) -> Column:
+    """Values set apart by commas; a value in single quotes is taken as it is, commas and percent signs included. A single value with a percent sign is a pattern."""
+    pieces = [(quoted is not None, quoted if quoted is not None else bare.strip()) for quoted, bare in ((m["quoted"], m["bare"]) for m in _VALUE.finditer(text))]
+    if len(pieces) == 1 and not pieces[0][0] and "%" in pieces[0][1]:
+        return c.like(pieces[0][1])
+    return c.isin([value for _, value in pieces])
+
+
+_VALUE = re.compile(r"(?:^|(?<=,))\s*(?:'(?P<quoted>[^']*)'|(?P<bare>[^,]*))\s*(?=,|$)")
+
+
 def conditions(where: dict[str, str]) -> Column:
-    """All of: `value`, `!=value`, `~=pattern`, `!~=pattern` (LIKE), `a,b` (one of), `%x%` (LIKE)."""
-    out = F.lit(True)
-    for name, v in where.items():
-        c = F.col(name)
-        if v.startswith("!~="):
-            out = out & ~c.like(v[3:])
-        elif v.startswith("~="):
-            out = out & c.like(v[2:])
-        elif v.startswith("!="):
-            out = out & (c != v[2:])
-        elif "," in v and not v.startswith("'"):
-            out = out & c.isin([x.strip() for x in v.split(",")])
-        else:
-            out = out & (c.like(v) if "%" in v else c == v)
-    return out
+    """All of the conditions on columns: `value` or `=value`, `!=value`, `~=pattern`, `!~=pattern` (LIKE), `a,b` (one of), `%x%` (LIKE); `'a,b'` is one value."""
+    tests = []
+    for name, text in where.items():
+        operator, test = next(((o, t) for o, t in _OPERATORS if text.startswith(o)), ("", _one_of))
+        tests.append(test(F.col(name), text[len(operator) :]))
+    return reduce(Column.__and__, tests, F.lit(True))
 
 
 @dataclass(frozen=True)
@@ -91,12 +108,16 @@ class DateFilter:
     dates: list[str] = field(default_factory=list)
     excluded: list[str] = field(default_factory=list)
 
-    def apply(self, rows: DataFrame, column: str) -> DataFrame:
+    def apply(self, rows: DataFrame, column) -> DataFrame:
+        """column: a name, of dates or timestamps, or a DateColumn."""
+        from ledgerline.functions.datetypes import DateColumn
+
+        column = DateColumn(column) if isinstance(column, str) else column
         if self.kind == "in_list":
-            return in_dates(rows, column, self.dates)
+            return column.within(rows, self.dates)
         if self.kind == "between" and self.dates:
-            rows = rows.where(between_dates(F.col(column), min(self.dates), max(self.dates)))
-        return except_dates(rows, column, self.excluded)
+            rows = rows.where(column.between(min(self.dates), max(self.dates)))
+        return column.without(rows, self.excluded)
 
 
 def plan_filter(matching: list[str], vintage: str, sample: list[str] | None = None) -> DateFilter:

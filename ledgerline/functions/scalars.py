@@ -37,7 +37,7 @@ def numbers_match(left: Column, right: Column) -> Column:
     return F.round(F.nanvl(left, F.lit(None)), PLACES) == F.round(F.nanvl(right, F.lit(None)), PLACES)
 
 
-def normalize(value: Column, dates: bool = True) -> Column:
+def normalize(value: Column, dates: bool = False) -> Column:
     """Trimmed text in one normal form: dates canonical (if asked for), numbers without trailing zeros, else as it is; null becomes empty."""
     bare = F.trim(F.coalesce(value.cast("string"), F.lit("")))
     number = to_number(bare)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType, StringType
 
 
 @dataclass(frozen=True)
@@ -16,6 +18,17 @@ class KeyedDiff:
     keys: list[str]
     columns: list[str]
     skipped: dict[str, str]
+    left: DataFrame
+    right: DataFrame
+
+    def warnings(self) -> DataFrame:
+        """(side, kind, n): records without any key, which match nothing, and keys that occur more than once, whose records all pair with each other."""
+        parts = []
+        for side, df in (("left", self.left), ("right", self.right)):
+            blank = _blank(df, self.keys)
+            parts.append(df.where(blank).agg(F.lit(side).alias("side"), F.lit("no key").alias("kind"), F.count("*").alias("n")))
+            parts.append(repeated_keys(df.where(~blank), self.keys).agg(F.lit(side).alias("side"), F.lit("repeated key").alias("kind"), F.count("*").alias("n")))
+        return reduce(DataFrame.unionByName, parts).where("n > 0")
 
     def summary(self) -> DataFrame:
         """One row (matched, only_left, only_right, total_mismatches, cols_with_mismatches)."""
@@ -45,9 +58,9 @@ class KeyedDiff:
 
 
 def keyed_diff(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> KeyedDiff:
-    """Match records on keys and compare columns as exact text; null is the empty text. Repeated keys pair with each other.
+    """Match records on keys and compare columns as exact text; null is the empty text. Repeated keys pair with each other; records whose keys are all null or blank match nothing.
 
-    Columns that a side lacks or that are keys are skipped, with the reason; a key that a side lacks is an error.
+    Keys of the same type are joined as they are, others as text. Columns that a side lacks or that are keys are skipped, with the reason; a key that a side lacks is an error.
     """
     for side, df in (("left", left), ("right", right)):
         if gone := [k for k in keys if k not in df.columns]:
@@ -62,10 +75,24 @@ def keyed_diff(left: DataFrame, right: DataFrame, keys: list[str], columns: list
         elif c not in compared:
             compared.append(c)
     text = lambda df, c: F.coalesce(df[c].cast("string"), F.lit(""))
-    lhs = left.select(*[text(left, k).alias(k) for k in keys], *[text(left, c).alias(f"l_{c}") for c in compared], F.lit(True).alias("__l"))
-    rhs = right.select(*[text(right, k).alias(k) for k in keys], *[text(right, c).alias(f"r_{c}") for c in compared], F.lit(True).alias("__r"))
+    same = {k: left.schema[k].dataType == right.schema[k].dataType and not isinstance(left.schema[k].dataType, StringType | FractionalType) for k in keys}
+
+    def side_of(df: DataFrame, name: str) -> DataFrame:
+        # records without a key are told apart by a number of their own, so that they neither meet nor gather in one task
+        lone = F.when(_blank(df, keys), F.concat(F.lit(f"{name} "), F.monotonically_increasing_id().cast("string")))
+        own = [(df[k] if same[k] else text(df, k)).alias(f"__k{i}") for i, k in enumerate(keys)]
+        return df.select(*own, F.coalesce(lone, F.lit("")).alias("__lone"), *[text(df, c).alias(f"{name}_{c}") for c in compared], F.lit(True).alias(f"__{name}"))
+
+    lhs, rhs = side_of(left, "l").alias("l"), side_of(right, "r").alias("r")
+    on = [F.col(f"l.__k{i}").eqNullSafe(F.col(f"r.__k{i}")) for i in range(len(keys))] + [F.col("l.__lone") == F.col("r.__lone")]
     side = F.when(F.col("__r").isNull(), "left_only").when(F.col("__l").isNull(), "right_only").otherwise("both")
-    return KeyedDiff(lhs.join(rhs, keys, "full_outer").withColumn("side", side).drop("__l", "__r"), list(keys), compared, skipped)
+    shown = [F.coalesce(F.when(F.col("__l"), F.col(f"l.__k{i}")).otherwise(F.col(f"r.__k{i}")).cast("string"), F.lit("")).alias(k) for i, k in enumerate(keys)]
+    joined = lhs.join(rhs, reduce(lambda a, b: a & b, on), "full_outer").select(*shown, *[f"{s}_{c}" for c in compared for s in "lr"], side.alias("side"))
+    return KeyedDiff(joined, list(keys), compared, skipped, left, right)
+
+
+def _blank(df: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.length(F.trim(F.coalesce(df[k].cast("string"), F.lit("")))) == 0 for k in keys])
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:

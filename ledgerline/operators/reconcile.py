@@ -146,6 +146,22 @@ def column_summary(compared: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("has_diff"), "left_col")
 
 
+def pair_summary(compared: DataFrame, left_columns: list[str], right_columns: list[str]) -> DataFrame:
+    """One row on a pair: n_matched and n_diff columns, left_only and right_only (names that no comparison has), type_mismatches, n_vintages."""
+    columns = column_summary(compared)
+    sums = columns.agg(F.count("*").alias("n_matched"), F.count(F.when(F.col("has_diff"), 1)).alias("n_diff"), F.count(F.when(F.col("type_mismatch"), 1)).alias("type_mismatches"), F.collect_set("left_col").alias("__l"), F.collect_set("right_col").alias("__r"))
+    only = lambda names, used: F.array_sort(F.array_except(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"), used))
+    out = sums.select("n_matched", "n_diff", only(left_columns, "__l").alias("left_only"), only(right_columns, "__r").alias("right_only"), "type_mismatches")
+    return out.crossJoin(compared.agg(F.count_distinct("dt").alias("n_vintages")))  # one row each
+
+
+def pass_fail(compared: DataFrame) -> DataFrame:
+    """One row per column, one field per vintage: PASS, or the worst statistic of what differs; buckets in order of time."""
+    labels = [r.vintage_label for r in compared.groupBy("vintage_label").agg(F.min("dt").alias("dt")).orderBy("dt").collect()]
+    cell = F.first(F.when(F.col("has_diff"), F.concat(F.lit("FAIL "), "worst")).otherwise("PASS"))
+    return compared.groupBy("left_col").pivot("vintage_label", labels).agg(cell)
+
+
 def latest_stats(profile: DataFrame) -> DataFrame:
     """Each column's profile of its last bucket."""
     return profile.groupBy("column_name").agg(F.max_by(F.struct(*[c for c in profile.columns if c != "column_name"]), "dt").alias("s")).select("column_name", "s.*")

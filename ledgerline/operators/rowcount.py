@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import bucket, parse_date
+from ledgerline.functions.datetypes import DateColumn
 from ledgerline.functions.predicates import canonical_range
 
 
-def row_counts(rows: DataFrame, date_column: str | None, vintage: str = "day") -> DataFrame:
-    """(dt, row_count) per bucket; without a date column or for `all` one row. Rows without a date are counted under null."""
-    dt = F.lit("all") if date_column is None or vintage == "all" else bucket(F.col(date_column), vintage)
+def row_counts(rows: DataFrame, date_column: str | DateColumn | None, vintage: str = "day") -> DataFrame:
+    """(dt, row_count) per bucket; without a date column or for `all` one row. Rows without a date are counted under null. date_column: a name, of dates or timestamps, or a DateColumn."""
+    if date_column is None or vintage == "all":
+        dt = F.lit("all")
+    else:
+        dt = date_column.bucket(vintage) if isinstance(date_column, DateColumn) else bucket(F.col(date_column), vintage)
     return rows.groupBy(dt.alias("dt")).agg(F.count("*").alias("row_count"))
 
 
@@ -50,6 +52,6 @@ def latest_snapshot(rows: DataFrame, column: str) -> DataFrame:
 
 
 def sample_dates(series: DataFrame, n: int, seed: int = 2025) -> list[str]:
-    """n of a series' days, picked by a seeded generator over the sorted days; a series has one row per day."""
-    days = sorted(r.dt for r in series.select("dt").where("length(dt) = 10").distinct().collect())
-    return sorted(random.Random(seed).sample(days, min(n, len(days))))
+    """n of a series' days: those whose hash with the seed is least, whatever the order of rows; in order."""
+    days = series.select("dt").where("length(dt) = 10").distinct()
+    return sorted(r.dt for r in days.orderBy(F.md5(F.concat(F.lit(f"{seed} "), "dt").cast("binary")), "dt").limit(n).collect())

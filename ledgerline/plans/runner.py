@@ -3,62 +3,146 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.predicates import between_dates, plan_filter
+from ledgerline.functions.dates import bucket, vintage_label
+from ledgerline.functions.datetypes import DateColumn
+from ledgerline.functions.predicates import plan_filter
 from ledgerline.operators.mapping import filter_columns, match_columns
-from ledgerline.operators.profile import profile
+from ledgerline.operators.profile import missing_buckets, profile
 from ledgerline.operators.reconcile import compare_profiles, compare_rows
 from ledgerline.operators.rowcount import row_counts, sample_dates
-from ledgerline.plans.spec import Pair
+from ledgerline.plans.spec import Pair, Project
 from ledgerline.sources.readers import Side, read_side
+from ledgerline.sources.store import Store
 
 
 @dataclass(frozen=True)
 class Outcome:
+    """rows and columns: the comparisons; matching: days on which both sides agree; release() frees what the comparisons hold in memory."""
+
     pair: Pair
     rows: DataFrame
     columns: DataFrame | None
     left_profile: DataFrame | None
     right_profile: DataFrame | None
     seconds: dict[str, float]
+    matching: list[str] = field(default_factory=list)
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+def _dated(side: Side) -> DateColumn | None:
+    return DateColumn(side.date_col, side.date_type) if side.date_col else None
 
 
-def bounded(spark: SparkSession, side: Side, pair: Pair) -> DataFrame:
-    rows = read_side(spark, side)
-    return rows.where(between_dates(F.col(side.date_col), pair.first, pair.last)) if side.date_col and (pair.first or pair.last) else rows
+def bounded(rows: DataFrame, side: Side, pair: Pair) -> DataFrame:
+    """A side's rows within the pair's days, filtered in the spelling that its dates are stored in."""
+    dated = _dated(side)
+    return rows.where(dated.between(pair.first, pair.last)) if dated and (pair.first or pair.last) else rows
 
 
-def run_pair(spark: SparkSession, pair: Pair, seed: int = 2025) -> Outcome:
-    """Both comparisons of a pair. Days that don't match are left out of the profiles; sample@N profiles N matching days together."""
+def run_pair(spark: SparkSession, pair: Pair, seed: int = 2025, store: Store | None = None, tables: dict[tuple[str, str], DataFrame] | None = None) -> Outcome:
+    """Both comparisons of a pair. Days that don't match, or are in exclude_dates or ignore_rows, are left out of the profiles; sample@N profiles N matching days together.
+
+    store: where series, profiles, matching days and samples go; a sample that is there already is used again, and only buckets without a stored profile are profiled. tables: what has been read already.
+    """
     took, began = {}, time.monotonic()
-    left, right = (bounded(spark, s, pair) for s in (pair.left, pair.right))
-    daily = [row_counts(rows, s.date_col) for rows, s in ((left, pair.left), (right, pair.right))]
+    sides = (pair.left, pair.right)
+    read = lambda s: tables[s.source, s.name] if tables and (s.source, s.name) in tables else read_side(spark, s)
+    left, right = (bounded(read(s), s, pair) for s in sides)
+    daily = [row_counts(rows, _dated(s)) for rows, s in ((left, pair.left), (right, pair.right))]
     compared = compare_rows(*daily).persist()
-    matching = [r.dt for r in compared.where("status = 'match'").select("dt").collect() if r.dt not in pair.exclude_dates]
+    ignored = {*pair.exclude_dates, *pair.ignore_rows}
+    matching = sorted(r.dt for r in compared.where("status = 'match'").select("dt").collect() if r.dt not in ignored)
     took["rows"] = time.monotonic() - began
+    if store:
+        for s, n in ((pair.left, "left"), (pair.right, "right")):
+            own = compared.where(F.col(f"{n}_count").isNotNull()).select(F.lit(s.qualified).alias("source_table"), "dt", F.col(f"{n}_count").alias("row_count"))
+            store.replace("row_counts", s.qualified, own)
+        store.replace("matching", pair.name, compared.where(F.col("dt").isNotNull()).select(F.lit(pair.name).alias("source_table"), "dt", F.when(F.col("dt").isin(sorted(ignored)), "excluded").otherwise(F.col("status")).alias("state")))
     mapping = pair.col_map or match_columns(left.columns, right.columns).mapping
     picked = [c for c in filter_columns(list(mapping), pair.include, pair.exclude) if c not in pair.ignore_columns and c != pair.left.date_col]
     if not picked:
-        return Outcome(pair, compared, None, None, None, took)
+        return Outcome(pair, compared, None, None, None, took, matching)
     sampled, n = pair.vintage.startswith("sample@"), int(pair.vintage.partition("@")[2] or 0)
     vintage = "all" if sampled else pair.vintage
-    sample = sample_dates(compared.where(F.col("dt").isin(matching)), n, seed) if sampled else None
+    sample = _sample(compared.where(F.col("dt").isin(matching)), n, seed, pair, store) if sampled else None
     chosen = plan_filter(matching, vintage, sample)
     profiles = []
     for rows, side, columns in ((left, pair.left, picked), (right, pair.right, [mapping[c] for c in picked])):
-        rows = chosen.apply(rows, side.date_col) if side.date_col else rows
-        profiles.append(profile(rows, side.date_col if vintage != "all" else None, vintage, columns, pair.overrides))
+        dated = _dated(side)
+        rows = chosen.apply(rows, dated) if dated else rows
+        by = dated is not None and vintage != "all"
+        rows = rows.select(*columns, *([dated.day().alias("__day")] if by else []))
+        if store and by:
+            profiles.append(_resumed(store, rows, side, columns, vintage, pair))
+        else:
+            profiles.append(profile(rows, "__day" if by else None, vintage, columns, pair.overrides))
     took["columns"] = time.monotonic() - began - took["rows"]
-    return Outcome(pair, compared, compare_profiles(*profiles, {c: mapping[c] for c in picked}, vintage, None, pair.overrides), *profiles, took)
+    return Outcome(pair, compared, compare_profiles(*profiles, {c: mapping[c] for c in picked}, vintage, None, pair.overrides), *profiles, took, matching)
+
+
+def _sample(days: DataFrame, n: int, seed: int, pair: Pair, store: Store | None) -> list[str]:
+    """The pair's stored sample of that size, or a new one, which is stored."""
+    if store:
+        stored = [r.dt for r in store.read("samples").where((F.col("source_table") == pair.name) & (F.col("vintage") == pair.vintage)).collect()]
+        if stored:
+            return sorted(stored)
+    sample = sample_dates(days, n, seed)
+    if store and sample:
+        store.upsert("samples", days.sparkSession.createDataFrame([(pair.name, pair.vintage, d) for d in sample], "source_table string, vintage string, dt string"))
+    return sample
+
+
+def _resumed(store: Store, rows: DataFrame, side: Side, columns: list[str], vintage: str, pair: Pair) -> DataFrame:
+    """The side's profile, of which only the buckets that the store lacks for some column are computed."""
+    own = (F.col("source_table") == f"{side.qualified}/{vintage}") & F.col("column_name").isin(columns)
+    there = store.read("col_stats").where(own)
+    whole = there.groupBy("dt").agg(F.count_distinct("column_name").alias("n")).where(F.col("n") == len(columns)).select("dt")
+    new = profile(missing_buckets(rows, whole, "__day", vintage), "__day", vintage, columns, pair.overrides)
+    store.upsert("col_stats", new.withColumn("source_table", F.lit(f"{side.qualified}/{vintage}")).withColumn("vintage_label", vintage_label(F.col("dt"), vintage)))
+    dated = rows.select(bucket(F.col("__day"), vintage).alias("dt")).distinct()
+    return store.read("col_stats").where(own).join(dated, "dt", "left_semi").drop("source_table", "vintage_label").select(*new.columns)
+
+
+def run_project(spark: SparkSession, project: Project, store: Store | None = None, seed: int = 2025) -> dict[str, Outcome]:
+    """All pairs but those to be skipped, by name. A table that several pairs share is read as one plan with the columns of all; steps and their seconds go to the store's timing."""
+    tables = {(s.source, s.name): read_side(spark, s) for s in project.sides()}
+    out: dict[str, Outcome] = {}
+    for pair in project.pairs:
+        if pair.skip:
+            continue
+        began = datetime.now(UTC)
+        out[pair.name] = run_pair(spark, pair, seed, store, tables)
+        if store:
+            rows = [(pair.name, step, began.replace(tzinfo=None), seconds, "ok") for step, seconds in out[pair.name].seconds.items()]
+            store.append("timing", spark.createDataFrame(rows, "source_table string, step string, start timestamp, elapsed_sec double, status string"))
+    return out
+
+
+def only_reads(spark: SparkSession, sql: str) -> bool:
+    """Whether a query's parsed plan holds no command and no statement that writes; those that show or describe are allowed."""
+    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{n}") for n in ("Command", "ParsedStatement")]
+
+    def fine(plan) -> bool:
+        name = plan.getClass().getSimpleName()
+        if any(k.isInstance(plan) for k in kinds) and not name.startswith(("Show", "Describe", "Explain")):
+            return False
+        children = plan.children()
+        return all(fine(children.apply(i)) for i in range(children.size()))
+
+    return fine(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
 
 
 def timed_sql(spark: SparkSession, sql: str, limit: int = 200) -> tuple[list, float]:
-    """At most `limit` rows of a query that only reads, and its seconds; anything else is an error."""
-    if sql.split(None, 1)[0].lower() not in ("select", "with", "show", "describe", "explain", "values"):
+    """At most `limit` rows of a query that only reads, and its seconds; anything else, an empty text too, is an error."""
+    if not sql.strip() or not only_reads(spark, sql):
         raise ValueError("only queries that read are run")
     began = time.monotonic()
     return spark.sql(sql).limit(limit).collect(), time.monotonic() - began

@@ -22,6 +22,7 @@ class Pair:
     first: str | None = None
     last: str | None = None
     exclude_dates: list[str] = field(default_factory=list)
+    ignore_rows: list[str] = field(default_factory=list)
     ignore_columns: list[str] = field(default_factory=list)
     overrides: dict[str, str] = field(default_factory=dict)
     skip: bool = False
@@ -71,5 +72,5 @@ def _pair(name: str, d: dict) -> Pair:
     chosen = d.get("col_filter", {})
     return Pair(
         name, _side(name, "left", d.get("left", {})), _side(name, "right", d.get("right", {})), d.get("col_map", {}), chosen.get("include", []), chosen.get("exclude", []), vintage,
-        d.get("fromDate"), d.get("toDate"), d.get("excludeDates", []), d.get("ignore_columns", []), d.get("col_type_overrides", {}), bool(d.get("skip")),
+        d.get("fromDate"), d.get("toDate"), d.get("excludeDates", []), d.get("ignore_rows", []), d.get("ignore_columns", []), d.get("col_type_overrides", {}), bool(d.get("skip")),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import dates as D
 from ledgerline.functions import predicates as P
 from ledgerline.functions import scalars as S
+from ledgerline.functions.datetypes import DateColumn
 from ledgerline.operators import diff, mapping, profile, reconcile, rowcount
 from ledgerline.sources import readers
 from ledgerline.streaming.increments import daily_counts
@@ -52,12 +53,12 @@ def sides(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 def gaps(orders: DataFrame) -> DataFrame:
-    """orders in whole prices, with missing values put in."""
+    """orders with missing values put in."""
     k = F.col("o_orderkey")
-    return orders.withColumns({"o_orderpriority": F.when(k % 11 == 0, None).when(k % 13 == 0, " ").otherwise(F.col("o_orderpriority")), "o_totalprice": F.when(k % 7 == 0, None).when(k % 17 == 0, float("nan")).otherwise(F.round("o_totalprice"))})
+    return orders.withColumns({"o_orderpriority": F.when(k % 11 == 0, None).when(k % 13 == 0, " ").otherwise(F.col("o_orderpriority")), "o_totalprice": F.when(k % 7 == 0, None).when(k % 17 == 0, float("nan")).otherwise(F.col("o_totalprice"))})
 
 
-GAPS = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN ' ' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 17 = 0 THEN NULL ELSE round(o_totalprice) END AS o_totalprice FROM orders)"
+GAPS = "(SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN ' ' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders)"
 
 # --- row counts ---
 
@@ -85,6 +86,19 @@ def numeric_sql(source: str, columns: list[str], dt: str, places: int = 4) -> st
     return " UNION ALL ".join(one.format(c=c, dt=dt, source=source, places=places) for c in columns)
 
 
+#: Means of real prices can lie on a rounding tie, their sums cannot: the mean times the number of values, in cents.
+_SUMMED = ["column_name", "dt", "n_total", "n_missing", "n_unique"]
+
+
+def summed_out(p: DataFrame) -> DataFrame:
+    return p.select(*_SUMMED, F.round(F.col("mean") * (F.col("n_total") - F.col("n_missing")), 2).alias("total"), F.round("std", 4).alias("std"))
+
+
+def summed_sql(source: str, columns: list[str], dt: str) -> str:
+    one = "SELECT '{c}' AS column_name, {dt} AS dt, count(*) AS n_total, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_unique, round(sum(CAST({c} AS DOUBLE)), 2) AS total, round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std FROM {source} GROUP BY ALL"
+    return " UNION ALL ".join(one.format(c=c, dt=dt, source=source) for c in columns)
+
+
 def categorical_out(p: DataFrame) -> DataFrame:
     return p.select(*_STATS, F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min_val", "max_val", "top_10")
 
@@ -105,7 +119,8 @@ FROM k GROUP BY 1, 2"""
 
 _MONTH = _trunc("o_orderdate", "month")
 _FLAGS = ["o_orderstatus", "o_orderpriority"]
-query("p_numeric_month", numeric_sql(GAPS, ["o_totalprice", "o_custkey"], _MONTH, 6))(lambda spark, d: numeric_out(profile.numeric_profile(gaps(table(spark, d, "orders")), ["o_totalprice", "o_custkey"], "o_orderdate", "month"), 6))
+query("p_numeric_month", summed_sql(GAPS, ["o_totalprice", "o_custkey"], _MONTH))(lambda spark, d: summed_out(profile.numeric_profile(gaps(table(spark, d, "orders")), ["o_totalprice", "o_custkey"], "o_orderdate", "month")))
+query("p_numeric_extremes", "SELECT column_name, dt, min_val, max_val FROM (" + numeric_sql(GAPS, ["o_totalprice", "o_custkey"], _MONTH) + ")")(lambda spark, d: numeric_out(profile.numeric_profile(gaps(table(spark, d, "orders")), ["o_totalprice", "o_custkey"], "o_orderdate", "month")).select("column_name", "dt", "min_val", "max_val"))
 query("p_numeric_all", numeric_sql("lineitem", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "'all'"))(lambda spark, d: numeric_out(profile.numeric_profile(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"])))
 query("p_numeric_by_day", numeric_sql("lineitem", ["l_quantity", "l_linenumber"], "strftime(l_shipdate, '%Y-%m-%d')", 6))(lambda spark, d: numeric_out(profile.numeric_profile(table(spark, d, "lineitem"), ["l_quantity", "l_linenumber"], "l_shipdate", "day"), 6))
 query("p_categorical_month", categorical_sql(GAPS, _FLAGS, _MONTH))(lambda spark, d: categorical_out(profile.categorical_profile(gaps(table(spark, d, "orders")), _FLAGS, "o_orderdate", "month")))
@@ -119,8 +134,15 @@ query("p_top10", f"SELECT column_name, dt, top_10 FROM ({categorical_sql('custom
 query("p_top10_rows", f"SELECT * FROM (SELECT dt, 'o_custkey' AS column_name, value, n, CAST(row_number() OVER (PARTITION BY dt ORDER BY n DESC, value) AS INTEGER) AS place FROM (SELECT {_MONTH} AS dt, CAST(o_custkey AS VARCHAR) AS value, count(*) AS n FROM orders GROUP BY 1, 2)) WHERE place <= 10")(
     lambda spark, d: profile.top_values(table(spark, d, "orders"), ["o_custkey"], "o_orderdate", "month")
 )
-_BOTH_SQL = f"SELECT column_name, dt, n_total, n_missing, n_unique, mean, std FROM ({numeric_sql(GAPS, ['o_orderkey', 'o_custkey', 'o_totalprice'], _trunc('o_orderdate', 'year'))}) UNION ALL SELECT column_name, dt, n_total, n_missing, n_unique, mean, std FROM ({categorical_sql(GAPS, _FLAGS, _trunc('o_orderdate', 'year'))})"
-query("p_profile_table", _BOTH_SQL)(lambda spark, d: profile.profile(gaps(table(spark, d, "orders")), "o_orderdate", "year").select(*_STATS, F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std")))
+_BOTH_SQL = f"SELECT * FROM ({summed_sql(GAPS, ['o_orderkey', 'o_custkey', 'o_totalprice'], _trunc('o_orderdate', 'year'))}) UNION ALL SELECT column_name, dt, n_total, n_missing, n_unique, round(mean * (n_total - n_missing), 0) AS total, round(std, 3) AS std FROM ({categorical_sql(GAPS, _FLAGS, _trunc('o_orderdate', 'year'))})"
+
+
+@query("p_profile_table", _BOTH_SQL)
+def p_profile_table(spark, d):
+    p = profile.profile(gaps(table(spark, d, "orders")), "o_orderdate", "year")
+    numeric = F.col("col_type") == "numeric"
+    rounded = p.withColumns({"mean": F.when(numeric, F.col("mean")).otherwise(F.round("mean", 4)), "std": F.when(numeric, F.col("std")).otherwise(F.round(F.round("std", 4), 3))})
+    return summed_out(rounded).withColumn("total", F.when(F.col("column_name").isin(_FLAGS), F.round("total", 0)).otherwise(F.col("total")))
 
 
 @query("p_profile_raw", f"SELECT column_name, dt, n_total, n_missing, n_unique, mean FROM ({numeric_sql('(SELECT o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP ' + chr(39) + '1996-03-05' + chr(39) + ' AND o_orderdate < TIMESTAMP ' + chr(39) + '1996-07-21' + chr(39) + ')', ['o_totalprice'], _trunc('o_orderdate', 'month'))})")
@@ -132,7 +154,7 @@ def p_profile_raw(spark, d):
     return numeric_out(profile.numeric_profile(rows, ["o_totalprice"], "day", "month")).select("column_name", "dt", "n_total", "n_missing", "n_unique", "mean")
 
 
-query("p_inferred_types", "SELECT 'numeric' AS o_totalprice, 'categorical' AS o_orderpriority, CASE WHEN avg(CASE WHEN o_orderkey % 11 = 0 THEN 0.0 ELSE 1.0 END) > 0.9 THEN 'numeric' ELSE 'categorical' END AS mostly FROM orders")(
+query("p_inferred_types", "SELECT CASE WHEN avg(CASE WHEN try_cast(CAST(o_totalprice AS VARCHAR) AS DOUBLE) IS NULL THEN 0.0 ELSE 1.0 END) > 0.9 THEN 'numeric' ELSE 'categorical' END AS o_totalprice, CASE WHEN avg(CASE WHEN try_cast(o_orderpriority AS DOUBLE) IS NULL THEN 0.0 ELSE 1.0 END) > 0.9 THEN 'numeric' ELSE 'categorical' END AS o_orderpriority, CASE WHEN avg(CASE WHEN o_orderkey % 11 = 0 THEN 0.0 ELSE 1.0 END) > 0.9 THEN 'numeric' ELSE 'categorical' END AS mostly FROM orders")(
     lambda spark, d: table(spark, d, "orders").select(F.col("o_totalprice").cast("string").alias("o_totalprice"), "o_orderpriority", F.when(F.col("o_orderkey") % 11 == 0, "n/a").otherwise(F.col("o_orderkey").cast("string")).alias("mostly")).agg(*[profile.inferred_type(F.col(c)).alias(c) for c in ("o_totalprice", "o_orderpriority", "mostly")])
 )
 
@@ -169,7 +191,9 @@ row_query("u_date_union", "SELECT DISTINCT dt FROM (SELECT dt FROM l UNION SELEC
 row_query("u_date_intersect", "SELECT dt FROM l INTERSECT SELECT dt FROM r", lambda c: c.where("left_count is not null").select("dt").intersect(c.where("right_count is not null").select("dt")))
 row_query("u_date_except", "SELECT dt FROM l EXCEPT SELECT dt FROM r", lambda c: c.where("left_count is not null").select("dt").exceptAll(c.where("right_count is not null").select("dt")))
 row_query("t_limit", "SELECT dt, left_count FROM c ORDER BY dt DESC LIMIT 20", lambda c: c.select("dt", "left_count").orderBy(F.desc("dt")).limit(20))
-query("u_sample_dates", None)(lambda spark, d: spark.createDataFrame([(x,) for x in rowcount.sample_dates(rowcount.row_counts(table(spark, d, "orders"), "o_orderdate"), 15)], "dt string"))
+query("u_sample_dates", "SELECT dt FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS dt FROM orders WHERE o_orderdate IS NOT NULL) ORDER BY md5('2025 ' || dt), dt LIMIT 15")(
+    lambda spark, d: spark.createDataFrame([(x,) for x in rowcount.sample_dates(rowcount.row_counts(table(spark, d, "orders"), "o_orderdate"), 15)], "dt string")
+)
 
 
 @query("r_bucket_check", f"WITH {_COMPARED} SELECT CASE WHEN count(*) FILTER (WHERE status LIKE '%only') = 0 THEN 'PASS' ELSE 'WARNING' END AS result, min(dt) FILTER (WHERE status LIKE '%only') AS first_divergence, count(*) FILTER (WHERE status = 'left_only') AS n_left_only, count(*) FILTER (WHERE status = 'right_only') AS n_right_only FROM c")
@@ -185,12 +209,12 @@ def r_new_updated(spark, d):
 
 def spellings(spark, d) -> DataFrame:
     """Daily counts in which every date comes in two spellings with different counts."""
-    days = rowcount.row_counts(table(spark, d, "orders").where("o_orderdate >= timestamp_ntz'1997-01-01'"), "o_orderdate")
+    days = rowcount.row_counts(table(spark, d, "orders"), "o_orderdate")
     day = F.to_date("dt")
     return days.select(F.explode(F.array(F.struct(D.write_date(day, "DDMONYYYY").alias("dt"), F.col("row_count")), F.struct(D.write_date(day, "YYYYMMDD").alias("dt"), (F.col("row_count") + F.dayofmonth(day) % 3 - 1).alias("row_count")))).alias("s")).select("s.*")
 
 
-_SPELLED = "d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1)"
+_SPELLED = "d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)"
 query("r_dedup_max", f"WITH {_SPELLED} SELECT strftime(day, '%Y-%m-%d') AS dt, greatest(n, n + day(day) % 3 - 1) AS row_count FROM d")(lambda spark, d: rowcount.canonical(spellings(spark, d)))
 query("r_range_filtered", f"WITH {_SPELLED} SELECT strftime(day, '%Y-%m-%d') AS dt, greatest(n, n + day(day) % 3 - 1) AS row_count FROM d WHERE day BETWEEN DATE '1998-02-03' AND DATE '1998-11-30'")(lambda spark, d: rowcount.canonical(spellings(spark, d), "1998-02-03", "1998-11-30"))
 query("r_dedup_last", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS dt, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(lambda spark, d: rowcount.keep_last(table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("dt"), "o_orderkey"), ["dt"], F.col("o_orderkey")))
@@ -229,8 +253,27 @@ column_query("r_diff_map", "SELECT vintage_label, left_col, worst FROM h WHERE h
 column_query("r_col_summary", "SELECT left_col, left_col AS right_col, count(*) AS n_vintages, count(*) FILTER (WHERE has_diff) AS n_diff, max(has_diff) AS has_diff, FALSE AS type_mismatch FROM h GROUP BY 1", reconcile.column_summary)
 column_query("r_diff_first", "SELECT left_col, CAST(row_number() OVER (ORDER BY max(has_diff) DESC, left_col) AS INTEGER) AS place FROM h GROUP BY 1", lambda c: reconcile.column_summary(c).select("left_col", F.row_number().over(Window.orderBy(F.desc("has_diff"), "left_col")).alias("place")))
 query("r_latest_stat", f"SELECT column_name, dt, n_total, n_unique FROM ({profiles_sql('orders')}) WHERE dt = (SELECT max({_MONTH}) FROM orders)")(lambda spark, d: reconcile.latest_stats(profile.profile(table(spark, d, "orders"), "o_orderdate", "month")).select("column_name", "dt", "n_total", "n_unique"))
-query("r_type_resolution", "SELECT * FROM (VALUES ('a', 'numeric'), ('b', 'categorical'), ('c', 'numeric')) t(c, resolved)")(
-    lambda spark, d: spark.createDataFrame([("a", "numeric", "numeric", None), ("b", "numeric", "categorical", None), ("c", "categorical", "numeric", "numeric")], "c string, l string, r string, o string").select("c", reconcile.resolved_type(F.col("l"), F.col("r"), F.col("o")).alias("resolved"))
+
+
+@query("r_type_resolution", "SELECT column_name AS c, CASE WHEN column_name = 'o_custkey' THEN 'categorical' WHEN column_name = 'o_orderkey' THEN 'numeric' WHEN column_name = 'o_totalprice' THEN 'categorical' WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' ELSE 'categorical' END AS resolved FROM (DESCRIBE orders)")
+def r_type_resolution(spark, d):
+    """Types of orders against those of a copy with two columns as text; an override settles one of the two and one that agrees."""
+    orders = table(spark, d, "orders")
+    left, right = (profile.column_types(x) for x in (orders, orders.withColumns({c: F.col(c).cast("string") for c in ("o_totalprice", "o_orderkey")})))
+    overrides = {"o_orderkey": "numeric", "o_custkey": "categorical"}
+    rows = [(c, left[c], right[c], overrides.get(c)) for c in orders.columns]
+    return spark.createDataFrame(rows, "c string, l string, r string, o string").select("c", reconcile.resolved_type(F.col("l"), F.col("r"), F.col("o")).alias("resolved"))
+
+
+@query("r_pair_summary", f"WITH {_PROFILED} SELECT count(DISTINCT left_col) AS n_matched, count(DISTINCT left_col) FILTER (WHERE has_diff) AS n_diff, 'o_orderdate' AS left_only, 'extra,o_orderdate' AS right_only, 0 AS type_mismatches, count(DISTINCT dt) AS n_vintages FROM h")
+def r_pair_summary(spark, d):
+    left, right = sides(spark, d)
+    out = reconcile.pair_summary(compared_profiles(spark, d), left.columns, [*right.columns, "extra"])
+    return out.withColumns({c: F.array_join(c, ",") for c in ("left_only", "right_only")}).withColumn("type_mismatches", F.col("type_mismatches").cast("int"))
+
+
+query("r_pass_fail", f"WITH {_PROFILED} SELECT left_col, " + ", ".join(f"max(CASE WHEN dt = '1996-{m:02d}-01' THEN CASE WHEN has_diff THEN 'FAIL ' || worst ELSE 'PASS' END END) AS \"{n} 1996\"" for m, n in ((1, "Jan"), (7, "Jul"))) + " FROM h GROUP BY 1")(
+    lambda spark, d: reconcile.pass_fail(compared_profiles(spark, d)).select("left_col", "Jan 1996", "Jul 1996")
 )
 
 # --- record differences ---
@@ -252,6 +295,19 @@ query("r_keyed_diff_composite", "WITH r AS (SELECT * FROM lineitem WHERE l_order
 )
 query("r_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")(lambda spark, d: diff.repeated_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]))
 
+
+
+@query("r_keyed_diff_blank_keys", "SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 37 <> 0 AND o_orderkey % 10 <> 0) AS matched, (SELECT count(*) FROM orders WHERE o_orderkey % 37 = 0 OR o_orderkey % 10 = 0) AS only_left, (SELECT count(*) FROM orders WHERE o_orderkey % 37 <> 0 AND o_orderkey % 10 = 0) AS only_right, CAST(0 AS BIGINT) AS total_mismatches, CAST(0 AS BIGINT) AS cols_with_mismatches")
+def r_keyed_diff_blank_keys(spark, d):
+    """A tenth of the records of either side have no key: they match nothing."""
+    orders = table(spark, d, "orders").withColumn("k", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderkey")))
+    return diff.keyed_diff(orders, orders.where("o_orderkey % 37 <> 0"), ["k"], ["o_orderstatus"]).summary()
+
+
+query("r_keyed_diff_warnings", "WITH r AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) SELECT side, 'repeated key' AS kind, count(*) AS n FROM r, (VALUES ('left'), ('right')) s(side) GROUP BY 1")(
+    lambda spark, d: diff.keyed_diff(table(spark, d, "lineitem"), table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_returnflag"]).warnings()
+)
+
 # --- filters ---
 
 
@@ -263,7 +319,7 @@ _PICKED = ["1996-01-02", "1996-02-29", "1997-07-04", "2030-01-01"]
 _IN = ", ".join(f"DATE '{x}'" for x in _PICKED)
 filtered("f_where", "(o_totalprice > 1000 AND o_orderstatus = 'F')", lambda o: o.where(F.expr("(o_totalprice > 1000 AND o_orderstatus = 'F')")))
 filtered("f_date_bounds", "CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-03-31'", lambda o: o.where(P.between_dates(F.col("o_orderdate"), "1996-01-01", "1996-03-31")))
-filtered("f_between", "strftime(o_orderdate, '%Y%m%d') BETWEEN '19960101' AND '19960331'", lambda o: o.where(P.between_written(F.date_format("o_orderdate", "yyyyMMdd").cast("int"), "YYYYMMDD", "1996-01-01", "1996-03-31")))
+filtered("f_between", "strftime(o_orderdate, '%Y%m%d') BETWEEN '19960101' AND '19960331'", lambda o: o.where(P.between_written(F.date_format("o_orderdate", "yyyyMMdd").cast("int"), "YYYYMMDD", "1996-01-01", "1996-03-31", number=True)))
 filtered("f_date_in", f"CAST(o_orderdate AS DATE) IN ({_IN})", lambda o: P.in_dates(o, "o_orderdate", _PICKED))
 filtered("f_date_semi", f"CAST(o_orderdate AS DATE) IN ({_IN})", lambda o: P.in_dates(o, "o_orderdate", o.sparkSession.createDataFrame([(x,) for x in _PICKED], "dt string")))
 filtered("f_range_gaps", "CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-01-10' AND day(o_orderdate) NOT IN (3, 4, 7)", lambda o: P.plan_filter([f"1996-01-{i:02d}" for i in range(1, 11) if i not in (3, 4, 7)], "day").apply(o, "o_orderdate"))
@@ -277,6 +333,42 @@ def f_reconciled_where(spark, d):
     return P.in_dates(table(spark, d, "orders").where("o_totalprice > 500"), "o_orderdate", compared_rows(spark, d).where("status = 'match'").select("dt")).select("o_orderkey")
 
 
+# --- dates as they are stored: each type's column is written from the dates of orders ---
+
+# How DuckDB writes the dates of each type.
+_STORED = {"date": None, "timestamp": None, "string_compact": "%Y%m%d", "string_dash": "%Y-%m-%d", "string_mon": "%d%b%Y", "string_mon_dash": "%d-%b-%Y", "string_us": "%m/%d/%Y", "num": "%Y%m%d", "num_yyyymm": "%Y%m"}
+
+
+def stored(spark, d, kind: str) -> tuple[DataFrame, DateColumn]:
+    """orders with its date as a column `d` of the type."""
+    day = F.to_date("o_orderdate")
+    written = day if kind == "date" else F.col("o_orderdate") if kind == "timestamp" else D.write_date(day, D.DATE_TYPES[kind])
+    return table(spark, d, "orders").withColumn("d", written.cast("int") if kind.startswith("num") else written), DateColumn("d", kind)
+
+
+def _between_stored(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, d):
+        rows, dated = stored(spark, d, kind)
+        return rowcount.row_counts(rows.where(dated.between("1996-01-01", "1996-03-31")), dated)
+
+    return run
+
+
+def _days_stored(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, d):
+        rows, dated = stored(spark, d, kind)
+        picked = ["199601", "199702"] if dated.monthly else _PICKED
+        return rowcount.row_counts(dated.within(rows, picked), dated).withColumn("kept", F.lit(True)).unionByName(rowcount.row_counts(dated.without(rows, picked), dated, "year").withColumn("kept", F.lit(False)))
+
+    return run
+
+
+for _kind in _STORED:
+    _dt = "strftime(o_orderdate, '%Y%m')" if _kind == "num_yyyymm" else "strftime(o_orderdate, '%Y-%m-%d')"
+    _in = "strftime(o_orderdate, '%Y%m') IN ('199601', '199702')" if _kind == "num_yyyymm" else f"CAST(o_orderdate AS DATE) IN ({_IN})"
+    query(f"f_bounds_{_kind}", f"SELECT {_dt} AS dt, count(*) AS row_count FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' GROUP BY 1")(_between_stored(_kind))
+    query(f"f_days_{_kind}", f"SELECT {_dt} AS dt, count(*) AS row_count, TRUE AS kept FROM orders WHERE {_in} GROUP BY 1 UNION ALL SELECT {_trunc('o_orderdate', 'year')}, count(*), FALSE FROM orders WHERE NOT ({_in}) GROUP BY 1")(_days_stored(_kind))
+
 # --- sources ---
 
 query("s_processed_dedup", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")(lambda spark, d: rowcount.latest_per_key(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id"))
@@ -314,12 +406,15 @@ query("x_bucket", "SELECT strftime(day, '%Y-%m-%d') AS dt, " + ", ".join(f"{_tru
 query("x_vintage_label", f"SELECT strftime(day, '%Y-%m-%d') AS dt, strftime(day, '%b ') || day(day) || ', ' || year(day) AS l_day, isoyear(day) || '-W' || lpad(CAST(week(day) AS VARCHAR), 2, '0') AS l_week, strftime(day, '%b %Y') AS l_month, 'Q' || quarter(day) || ' ' || year(day) AS l_quarter, CAST(year(day) AS VARCHAR) AS l_year FROM {_DAYS}")(
     lambda spark, d: days(spark, d).withColumn("dt", F.date_format("day", "yyyy-MM-dd")).select("dt", *[D.vintage_label(F.col("dt"), v).alias(f"l_{v}") for v in D.VINTAGES])
 )
-query("x_bucket_spans", f"SELECT {_trunc('day', 'month')} AS key, strftime(min(day), '%Y-%m-%d') AS first, strftime(max(day), '%Y-%m-%d') AS last FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1996-01-10', TIMESTAMP '1996-05-20', INTERVAL 1 DAY)) AS DATE) AS day) GROUP BY 1")(
-    lambda spark, d: spark.range(1).select(F.explode(D.bucket_spans(F.lit("1996-01-10").cast("date"), F.lit("1996-05-20").cast("date"), "month")).alias("s")).select("s.key", F.date_format("s.start", "yyyy-MM-dd").alias("first"), F.date_format("s.end", "yyyy-MM-dd").alias("last"))
+query("x_bucket_spans", f"SELECT o_orderstatus, {_trunc('day', 'month')} AS key, strftime(min(day), '%Y-%m-%d') AS first, strftime(max(day), '%Y-%m-%d') AS last FROM (SELECT o_orderstatus, CAST(unnest(generate_series(min(o_orderdate) + INTERVAL 3 DAY, max(o_orderdate) - INTERVAL 4 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM orders GROUP BY 1) GROUP BY 1, 2")(
+    lambda spark, d: table(spark, d, "orders").groupBy("o_orderstatus").agg(F.date_add(F.min(F.to_date("o_orderdate")), 3).alias("a"), F.date_sub(F.max(F.to_date("o_orderdate")), 4).alias("z")).select("o_orderstatus", F.explode(D.bucket_spans(F.col("a"), F.col("z"), "month")).alias("s")).select("o_orderstatus", "s.key", F.date_format("s.start", "yyyy-MM-dd").alias("first"), F.date_format("s.end", "yyyy-MM-dd").alias("last"))
 )
 query("x_transform", "SELECT o_orderkey, strftime(o_orderdate, '%Y%m') AS v FROM orders")(lambda spark, d: table(spark, d, "orders").select("o_orderkey", S.apply_transform("date_format({col}, 'yyyyMM')", "o_orderdate").alias("v")))
+query("x_normalize_numbers", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_orderkey % 3 = 1 THEN o_orderkey || '.5' ELSE CAST(o_orderkey AS VARCHAR) END AS v FROM orders")(
+    lambda spark, d: table(spark, d, "orders").select("o_orderkey", S.normalize(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), "o_orderpriority")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.col("o_orderkey").cast("string"), F.lit(".5000"))).otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")))).alias("v"))
+)
 query("x_normalize", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE CAST(o_orderkey % 1000 AS VARCHAR) END AS v FROM orders")(
-    lambda spark, d: table(spark, d, "orders").select("o_orderkey", S.normalize(F.when(F.col("o_orderkey") % 3 == 0, F.upper(F.date_format("o_orderdate", "ddMMMyyyy:HH:mm:ss"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("  "), "o_orderpriority", F.lit(" "))).otherwise(F.concat((F.col("o_orderkey") % 1000).cast("string"), F.lit(".500").substr(1, 1), F.lit("000")))).alias("v"))
+    lambda spark, d: table(spark, d, "orders").select("o_orderkey", S.normalize(F.when(F.col("o_orderkey") % 3 == 0, F.upper(F.date_format("o_orderdate", "ddMMMyyyy:HH:mm:ss"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("  "), "o_orderpriority", F.lit(" "))).otherwise(F.concat((F.col("o_orderkey") % 1000).cast("string"), F.lit(".500").substr(1, 1), F.lit("000"))), dates=True).alias("v"))
 )
 query("x_match_key", "SELECT c_custkey, 'm_' || printf('%.4f', round(c_acctbal, 4)) AS number_key, 'mn_' || c_mktsegment || '=1' AS text_key FROM customer")(lambda spark, d: table(spark, d, "customer").select("c_custkey", S.match_key(F.col("c_acctbal").cast("string"), "m").alias("number_key"), S.match_key(F.concat("c_mktsegment", F.lit("=1")), "mn").alias("text_key")))
 _TOP = categorical_sql("orders", ["o_orderpriority"], _MONTH)
@@ -331,16 +426,27 @@ query("x_top10_json", "SELECT o_orderpriority AS key, count(*) AS value FROM ord
 # --- mapping and metadata ---
 
 
-@query("m_match_columns", "SELECT * FROM (VALUES ('O_ORDERKEY', 'o_orderkey', 'matched'), ('O_TOTALPRICE', 'o_totalprice', 'matched'), ('EXTRA', NULL, 'left_only'), (NULL, 'o_custkey', 'right_only'), (NULL, 'o_orderstatus', 'right_only'), (NULL, 'o_orderdate', 'right_only'), (NULL, 'o_orderpriority', 'right_only')) t(left_col, right_col, status)")
+
+
+@query("m_match_columns", "WITH l AS (SELECT upper(column_name) AS c FROM (DESCRIBE orders) UNION ALL SELECT column_name FROM (DESCRIBE nation)), r AS (SELECT column_name AS c FROM (DESCRIBE orders) UNION ALL SELECT column_name FROM (DESCRIBE region)) SELECT l.c AS left_col, r.c AS right_col, CASE WHEN r.c IS NULL THEN 'left_only' WHEN l.c IS NULL THEN 'right_only' ELSE 'matched' END AS status FROM l FULL JOIN r ON lower(l.c) = lower(r.c)")
 def m_match_columns(spark, d):
     names = lambda xs: spark.createDataFrame([(x,) for x in xs], "column_name string")
-    return mapping.match_frames(names(["O_ORDERKEY", "O_TOTALPRICE", "EXTRA"]), names(table(spark, d, "orders").columns))
+    of = lambda t: table(spark, d, t).columns
+    return mapping.match_frames(names([*map(str.upper, of("orders")), *of("nation")]), names([*of("orders"), *of("region")]))
+
+
+query("m_col_filter", "SELECT column_name FROM (DESCRIBE orders) WHERE starts_with(column_name, 'o_order') AND NOT ends_with(column_name, 'status')")(lambda spark, d: spark.createDataFrame([(c,) for c in mapping.filter_columns(table(spark, d, "orders").columns, ["O_ORDER*"], ["*status"])], "column_name string"))
+
+
+@query("m_mapping_export", "SELECT column_name AS left_col, CASE WHEN starts_with(column_name, 'l_ship') THEN 'sent_' || substr(column_name, 7) WHEN regexp_full_match(column_name, 'l_[a-z]*key') THEN regexp_extract(column_name, 'l_([a-z]*)key', 1) || '_id' END AS right_col, CASE WHEN starts_with(column_name, 'l_ship') THEN 'rule 0' WHEN regexp_full_match(column_name, 'l_[a-z]*key') THEN 'rule 1' ELSE 'left only' END AS status FROM (DESCRIBE lineitem)")
+def m_mapping_export(spark, d):
+    """Columns of lineitem by rules to the names of a copy, of which those that no rule leads to are left alone."""
+    left = table(spark, d, "lineitem").columns
+    right = ["sent_date", "order_id", "part_id", "supp_id", "other"]
+    found = mapping.apply_rules([mapping.Rule("L_SHIP*", "sent_*"), mapping.Rule(r"l_([a-z]*)key", r"\1_id", "regex")], left, right)
+    return spark.createDataFrame([(c, *((found[c][0], f"rule {found[c][1]}") if c in found else (None, "left only"))) for c in left], "left_col string, right_col string, status string")
 
 
-query("m_col_filter", "SELECT * FROM (VALUES ('o_orderdate'), ('o_orderkey'), ('o_orderpriority')) t(column_name)")(lambda spark, d: spark.createDataFrame([(c,) for c in mapping.filter_columns(table(spark, d, "orders").columns, ["O_ORDER*"], ["*status"])], "column_name string"))
-query("m_mapping_export", "SELECT * FROM (VALUES ('AMT_TOTAL', 'amount_TOTAL', 'rule 0'), ('Key', 'key', 'matched'), ('x1', 'y1', 'rule 1'), ('zz', NULL, 'left only')) t(left_col, right_col, status)")(
-    lambda spark, d: spark.createDataFrame([(a, *({"Key": ("key", "matched")} | {k: (v, f"rule {n}") for k, (v, n) in mapping.apply_rules([mapping.Rule("amt_*", "amount_*"), mapping.Rule(r"x(\d)", r"y\1", "regex")], ["AMT_TOTAL", "x1", "zz"], ["amount_TOTAL", "y1"]).items()}).get(a, (None, "left only"))) for a in ("AMT_TOTAL", "Key", "x1", "zz")], "left_col string, right_col string, status string")
-)
 query("m_column_meta", "SELECT 'parquet_nation' AS source_table, column_name, CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' ELSE 'string' END AS data_type, 'parquet' AS source FROM (DESCRIBE nation)")(lambda spark, d: readers.column_meta(table(spark, d, "nation"), readers.Side("nation", "parquet", "nation")))
 query("m_status", f"WITH {_COMPARED} SELECT 'left' AS source_table, count(*) AS n_dates, min(dt) AS first, max(dt) AS last, CAST(sum(row_count) AS BIGINT) AS total FROM l UNION ALL SELECT 'right', count(*), min(dt), max(dt), CAST(sum(row_count) AS BIGINT) FROM r")(
     lambda spark, d: reconcile.pair_status(rowcount.row_counts(sides(spark, d)[0], "o_orderdate").withColumn("source_table", F.lit("left")).unionByName(rowcount.row_counts(sides(spark, d)[1], "o_orderdate").withColumn("source_table", F.lit("right"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +71,7 @@ def read_side(spark: SparkSession, side: Side) -> DataFrame:
         raise ValueError(f"unknown source {side.source!r} of {side.name}")
     rows = _READERS[side.source](spark, side)
     if side.processed:
-        rows = spark.sql(side.processed, source=rows) if "{source}" in side.processed else _over_view(spark, side, rows)
+        rows = _derived(spark, side, rows)
     if side.where:
         rows = rows.where(F.expr(side.where))
     if side.columns:
@@ -79,9 +80,12 @@ def read_side(spark: SparkSession, side: Side) -> DataFrame:
     return rows
 
 
-def _over_view(spark: SparkSession, side: Side, rows: DataFrame) -> DataFrame:
+def _derived(spark: SparkSession, side: Side, rows: DataFrame) -> DataFrame:
+    """`processed` over the side's rows, which are {source} in it, or the view cte_<name>."""
+    if "{source}" in side.processed:
+        return spark.sql(side.processed, source=rows)
     rows.createOrReplaceTempView(f"cte_{side.name}")
-    return spark.sql(side.processed.replace("source", f"cte_{side.name}", 1) if f"cte_{side.name}" not in side.processed else side.processed)
+    return spark.sql(side.processed)
 
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -131,15 +135,26 @@ def parse_sql_file(text: str) -> dict[str, str]:
     return {k: "\n".join(v).strip().rstrip(";").rstrip() for k, v in blocks.items() if "".join(v).strip()}
 
 
-def unreadable_partitions(rows: DataFrame, column: str) -> list[tuple[object, str]]:
-    """Partitions (values of a partition column) of which no row can be read, with the error. Reads one row of each."""
-    out = []
-    for r in rows.select(column).distinct().toLocalIterator():
+def unreadable_partitions(rows: DataFrame, column: str, at_once: int = 8) -> list[tuple[object, str]]:
+    """Partitions (values of a partition column) of which no row can be read, with the error. Reads one row of each, at_once of them side by side."""
+
+    def probe(value: object) -> tuple[object, str] | None:
         try:
-            rows.where(F.col(column).eqNullSafe(F.lit(r[0]))).limit(1).collect()
+            rows.where(F.col(column).eqNullSafe(F.lit(value))).limit(1).collect()
         except Exception as e:  # noqa: BLE001  any failure of the source is the finding
-            out.append((r[0], str(e).splitlines()[0]))
-    return out
+            return value, str(e).splitlines()[0]
+        return None
+
+    values = [r[0] for r in rows.select(column).distinct().collect()]
+    with ThreadPoolExecutor(at_once) as pool:
+        return [found for found in pool.map(probe, values) if found]
+
+
+def fill_meta(meta: DataFrame, more: DataFrame) -> DataFrame:
+    """Column metadata with the types that it lacks taken from more(source_table, column_name, data_type), and the columns that only more has."""
+    keys = ["source_table", "column_name"]
+    other = more.select(*keys, F.col("data_type").alias("__type"))
+    return meta.join(other, keys, "full_outer").withColumn("data_type", F.coalesce(F.when(F.length(F.trim("data_type")) > 0, F.col("data_type")), "__type")).drop("__type")
 
 
 def partitions(rows: DataFrame, column: str) -> DataFrame:
