@@ -281,7 +281,7 @@ def fitted(docs: DataFrame, learn_from: Column, shape: Shape = Shape()) -> Fitte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, row = vocabulary.value, TaskContext.get().partitionId() << 33
         tail_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             out: dict = {n: [] for n in ("row", "n_tokens", "n_known", "base", "inside", "tail", "cls")}
             for text in b.column("text"):
                 at, c, tail = v.lookup(text.as_py())
