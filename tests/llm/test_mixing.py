@@ -63,7 +63,7 @@ def test_projection_and_brute_force(spark):
         before, size = size, max(abs(sum(x * t * p[j] for x, (t, p) in zip(r, data, strict=True)) - targets[j]) for j in range(2))
         assert before is None or size <= before * (1 + 1e-9) + 1e-9
     assert [x[0] for x in frame.select(rate(steps)).collect()] == pytest.approx(r)
-    assert min(r) == 0.0
+    assert min(r) < 1e-9
 
 
 def test_what_cannot_be_met_is_said(spark):
