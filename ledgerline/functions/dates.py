@@ -60,16 +60,13 @@ DATE_TYPES = {
 VINTAGES = ("day", "week", "month", "quarter", "year")
 
 
+#: A colon between two digits of seconds and a fraction of three or more at the end.
+_FRACTION = r"(?<=:[0-9]{2}):(?=[0-9]{3,}$)"
+
+
 def _clean(value: Column) -> Column:
-    """Trimmed, upper-cased, without a trailing Z. Four parts after the last blank or first colon of a day are a time whose fraction is set off by a colon: it is set off by a point."""
-    bare = F.rtrim(F.upper(F.trim(value)), F.lit("Z"))
-    parts = F.split(bare, ":")
-    n = F.size(parts)
-    fraction = F.element_at(parts, -1)
-    # day:hh:mm:ss:fff has five parts, day hh:mm:ss:fff four of which the first holds a blank
-    timed = (n == 5) | ((n == 4) & (F.instr(F.get(parts, F.lit(0)), " ") > 0))
-    whole = F.array_join(F.slice(parts, F.lit(1), n - 1), ":")
-    return F.when(timed & (F.length(fraction) >= 3) & F.translate(fraction, "0123456789", "").eqNullSafe(""), F.concat(whole, F.lit("."), fraction)).otherwise(bare)
+    """Trimmed, upper-cased, without a trailing Z; a fraction of a second is set off by a point."""
+    return F.regexp_replace(F.rtrim(F.upper(F.trim(value)), F.lit("Z")), _FRACTION, ".")
 
 
 def _as_timestamp(whole: Column, pattern: str) -> Column:
