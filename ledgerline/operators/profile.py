@@ -1,7 +1,7 @@
 """Column profiles per calendar bucket: totals, missing, distinct, mean, deviation, extremes, most frequent values.
 
-All columns of a table are profiled from one scan. Numeric columns are aggregated where they lie; categorical columns
-are unpivoted into one table of frequencies, ranked by windows over it, and reduced by one more aggregation: no joins.
+Numeric columns are unpivoted and grouped; categorical columns are unpivoted into one table of frequencies, which is sorted by ranges of values for
+the ranks and extremes, and cut down to the most frequent values. Nothing is joined, and no task holds all values of a column.
 """
 
 from __future__ import annotations
@@ -37,17 +37,18 @@ def _dated(df: DataFrame, date_column: str | None, vintage: str) -> DataFrame:
     return df.withColumn("__dt", F.lit("all") if date_column is None else bucket(F.col(date_column), vintage))
 
 
-def numeric_profile(df: DataFrame, columns: list[str], date_column: str | None = None, vintage: str = "all") -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str], date_column: str | None = None, vintage: str = "all", exact: bool = True) -> DataFrame:
     """Profiles of numeric columns; NaN counts as missing; the deviation is the sample's, null for one value.
 
-    Columns are unpivoted, so that one grouping with a single distinct count does for all of them, without copying rows for each."""
+    Columns are unpivoted, so that one grouping with a single distinct count does for all of them, without copying rows for each.
+    exact=False estimates the distinct count (2 % off, as a rule), and then no values are shuffled."""
     rows = _dated(df, date_column, vintage).select("__dt", *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
     long = reduce(DataFrame.unionByName, [rows.unpivot(["__dt"], columns[at : at + WIDTH], "column_name", "v") for at in range(0, len(columns), WIDTH)])
     return long.groupBy("column_name", F.col("__dt").alias("dt")).agg(
         F.lit("numeric").alias("col_type"),
         F.count("*").alias("n_total"),
         (F.count("*") - F.count("v")).alias("n_missing"),
-        F.count_distinct("v").alias("n_unique"),
+        (F.count_distinct("v") if exact else F.approx_count_distinct("v", 0.02)).alias("n_unique"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
         F.min("v").cast("string").alias("min_val"),
@@ -67,38 +68,68 @@ def _present(value: Column, blank_is_missing: bool) -> Column:
     return value.isNotNull() & (F.length(F.trim(value)) > 0) if blank_is_missing else value.isNotNull()
 
 
-def ranked(freq: DataFrame, blank_is_missing: bool = True) -> DataFrame:
-    """freq with present, alpha (rank of present values by upper case, then value) and place (by frequency, then value)."""
+def _placed(freq: DataFrame, top: int, blank_is_missing: bool = True) -> DataFrame:
+    """The most frequent present values of each column and bucket with their place (by frequency, then value). A task passes on no more than top rows of each."""
     rows = freq.withColumn("present", _present(F.col("value"), blank_is_missing))
-    own = Window.partitionBy("dt", "column_name", "present")
-    return rows.withColumns({"alpha": F.row_number().over(own.orderBy(F.upper("value"), "value")), "place": F.row_number().over(own.orderBy(F.desc("n"), "value"))})
+    place = F.row_number().over(Window.partitionBy("dt", "column_name").orderBy(F.desc("present"), F.desc("n"), "value"))
+    return rows.withColumn("place", place).where((F.col("place") <= top) & F.col("present"))
+
+
+def _ranked_ranges(freq: DataFrame, blank_is_missing: bool) -> DataFrame:
+    """Counts, sums over alphabetical ranks and extremes of each column, bucket and range of values: values are sorted by ranges over all tasks, so none holds all of a bucket.
+
+    Within a range a value's number is its place in the task; numbers become ranks by the values in the ranges before it. Sums are whole numbers, so that shifting them loses nothing.
+    """
+    order = ["column_name", "dt", F.desc("present"), "upper", "value"]
+    rows = freq.withColumns({"present": _present(F.col("value"), blank_is_missing), "upper": F.upper("value")})
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    rows = rows.withColumns({"range": F.shiftright("id", 33), "k": F.col("id").bitwiseAND((1 << 33) - 1).cast("decimal(10,0)")})
+    n, k = (F.when(F.col("present"), c) for c in (F.col("n").cast("decimal(18,0)"), F.col("k")))
+    shown = F.concat("value", F.lit("="), F.col("n").cast("string"))
+    parts = rows.groupBy("column_name", "dt", "range").agg(
+        F.sum("n").alias("n_total"),
+        F.sum(F.when(~F.col("present"), F.col("n"))).alias("n_missing"),
+        F.count(k).alias("n_unique"),
+        F.min(k).alias("k0"),
+        F.sum(n).alias("s0"),
+        F.sum(n * k).alias("s1"),
+        F.sum(n * k * k).alias("s2"),
+        F.min_by(shown, k).alias("min_val"),
+        F.max_by(shown, k).alias("max_val"),
+    )
+    before = Window.partitionBy("column_name", "dt").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n_unique").over(before), F.lit(0)).cast("decimal(18,0)") + 1 - F.col("k0")
+    return parts.withColumn("by", shift).withColumns({"r1": F.expr("s1 + by * s0"), "r2": F.expr("s2 + 2 * by * s1 + by * by * s0")})
 
 
 def categorical_profile(df: DataFrame, columns: list[str], date_column: str | None = None, vintage: str = "all", top: int = 10, blank_is_missing: bool = True) -> DataFrame:
-    """Profiles of categorical columns: mean and deviation (the population's) are those of the values' alphabetical ranks, weighted by frequency;
-    extremes are the first and the last value with their counts."""
-    rows = ranked(frequencies(df, columns, date_column, vintage), blank_is_missing)
-    present, n, alpha = F.col("present"), F.col("n"), F.col("alpha").cast("double")
-    count, mean = F.sum(F.when(present, n)), F.sum(F.when(present, n * alpha)) / F.sum(F.when(present, n))
-    square = F.sum(F.when(present, n * alpha * alpha)) / count
-    shown = F.concat("value", F.lit("="), n.cast("string"))
-    entries = F.array_sort(F.collect_list(F.when(present & (F.col("place") <= top), F.struct("place", F.concat("value", F.lit("("), n.cast("string"), F.lit(")")).alias("text")))))
-    return rows.groupBy("column_name", "dt").agg(
-        F.lit("categorical").alias("col_type"),
-        F.sum(n).alias("n_total"),
-        F.coalesce(F.sum(F.when(~present, n)), F.lit(0)).alias("n_missing"),
-        F.count(F.when(present, 1)).alias("n_unique"),
+    """Profiles of categorical columns: mean and deviation (the population's) are those of the values' alphabetical ranks (by upper case, then value), weighted by frequency;
+    extremes are the first and the last value with their counts. However many values a column has in a bucket, no task holds them all."""
+    freq = frequencies(df, columns, date_column, vintage)
+    count = F.sum("s0").cast("double")
+    mean = F.sum("r1").cast("double") / count
+    square = F.sum("r2").cast("double") / count
+    present = F.when(F.col("n_unique") > 0, F.col("range"))
+    stats = _ranked_ranges(freq, blank_is_missing).groupBy("column_name", "dt").agg(
+        F.sum("n_total").alias("n_total"),
+        F.coalesce(F.sum("n_missing"), F.lit(0)).alias("n_missing"),
+        F.sum("n_unique").alias("n_unique"),
         mean.alias("mean"),
         F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("std"),
-        F.min_by(F.when(present, shown), F.when(present, F.col("alpha"))).alias("min_val"),
-        F.max_by(F.when(present, shown), F.when(present, F.col("alpha"))).alias("max_val"),
-        F.nullif(F.array_join(F.transform(entries, lambda e: e["text"]), "; "), F.lit("")).alias("top_10"),
+        F.min_by("min_val", present).alias("min_val"),
+        F.max_by("max_val", present).alias("max_val"),
     )
+    entry = F.struct("place", F.concat("value", F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("text"))
+    tops = _placed(freq, top, blank_is_missing).groupBy("column_name", "dt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), "; ").alias("top_10"))
+    both = stats.unionByName(tops, allowMissingColumns=True)
+    # one row of each kind, also where dt is null
+    whole = both.groupBy("column_name", "dt").agg(*[F.max(c).alias(c) for c in both.columns if c not in ("column_name", "dt")])
+    return whole.withColumn("col_type", F.lit("categorical")).select(*[c.split()[0] for c in STATS.split(", ")])
 
 
 def top_values(df: DataFrame, columns: list[str], date_column: str | None = None, vintage: str = "all", top: int = 10) -> DataFrame:
     """(dt, column_name, value, n, place): the most frequent values as rows."""
-    return ranked(frequencies(df, columns, date_column, vintage)).where(F.col("present") & (F.col("place") <= top)).select("dt", "column_name", "value", "n", F.col("place").cast("int").alias("place"))
+    return _placed(frequencies(df, columns, date_column, vintage), top).select("dt", "column_name", "value", "n", F.col("place").cast("int").alias("place"))
 
 
 def frequency_moments(df: DataFrame, columns: list[str], date_column: str | None = None, vintage: str = "all") -> DataFrame:

@@ -94,6 +94,46 @@ def test_profiles(spark):
     assert numeric_profile(df.limit(1), ["x"]).first().std is None
 
 
+def test_ranks_over_many_ranges(spark):
+    """Ranks, extremes and top values of columns whose values lie in several tasks equal a plain count; null dates and blanks included."""
+    rows = [(None if i % 50 == 0 else f"1995-0{i % 3 + 1}-01", None if i % 17 == 0 else " " if i % 19 == 0 else f"{'vV'[i % 2]}{i * 7919 % 997}", f"c{i % 3}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "day string, v string, w string").withColumn("day", F.to_date("day"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {(r.column_name, r.dt): r for r in categorical_profile(df, ["v", "w"], "day", "month").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want: dict = {}
+    for day, *values in rows:
+        for name, x in zip(["v", "w"], values, strict=True):
+            want.setdefault((name, day), []).append(x)
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        there = [x for x in values if x is not None and x.strip()]
+        counts = {x: there.count(x) for x in set(there)}
+        rank = {x: i + 1 for i, x in enumerate(sorted(counts, key=lambda x: (x.upper(), x)))}
+        mean = sum(rank[x] for x in there) / len(there)
+        r = got[key]
+        assert (r.n_total, r.n_missing, r.n_unique) == (len(values), len(values) - len(there), len(counts))
+        assert abs(r.mean - mean) < 1e-9 and abs(r.std - (sum((rank[x] - mean) ** 2 for x in there) / len(there)) ** 0.5) < 1e-6
+        first, last = min(rank, key=rank.get), max(rank, key=rank.get)
+        assert (r.min_val, r.max_val) == (f"{first}={counts[first]}", f"{last}={counts[last]}")
+        assert r.top_10 == "; ".join(f"{x}({counts[x]})" for x in sorted(counts, key=lambda x: (-counts[x], x))[:10])
+
+
+def test_no_window_holds_all_values(spark):
+    """The frequencies are shuffled once for both uses; the only window over values is cut down to the top before its shuffle."""
+    df = spark.createDataFrame([("a",)], "v string")
+    plan = categorical_profile(df, ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("rangepartitioning") == 1 and "Join" not in plan
+
+
+def test_distinct_counts_can_be_estimated(spark):
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("v"))
+    exact, near = (numeric_profile(df, ["v"], exact=e).first().n_unique for e in (True, False))
+    assert exact == 5000 and abs(near - exact) < 500
+
+
 def test_profiles_depend_on_frequencies_only(spark):
     rows = [(random.Random(i).choice("abc"), float(i % 7)) for i in range(50)]
     of = lambda r: sorted(map(tuple, profile(spark.createDataFrame(r, "c string, x double")).select("column_name", "n_unique", F.round("mean", 9), F.round("std", 9), "min_val", "top_10").collect()))
