@@ -34,9 +34,14 @@ def match_frames(left: DataFrame, right: DataFrame) -> DataFrame:
     return lhs.join(rhs, "k", "full_outer").select("left_col", "right_col", status.alias("status"))
 
 
+_EITHER = re.compile(r"\([^()|]*(?:\|[^()|]*)+\)")
+_WILD = re.compile(rf"(\*|{_EITHER.pattern})")
+
+
 @dataclass(frozen=True)
 class Rule:
-    """wildcard: `*` on the left stands for any text, what the first one held replaces every `*` on the right; regex: groups."""
+    """wildcard: `*` on the left stands for any text, what the first one held replaces every `*` on the right; `(a|b)` on the left stands for either,
+    and the `(A|B)` at the same place on the right gives the partner of the one found. regex: groups."""
 
     left: str
     right: str
@@ -49,10 +54,22 @@ class Rule:
                 return m.expand(self.right) if m else None
             except (re.error, IndexError):
                 return None
-        if "*" not in self.left:
+        if "*" not in self.left and not _EITHER.search(self.left):
             return self.right if name == self.left else None
-        m = re.fullmatch("(.*)".join(map(re.escape, self.left.split("*"))), name, re.IGNORECASE)
-        return self.right.replace("*", m[1]) if m else None
+        parts = _WILD.split(self.left)  # texts and wildcards by turns
+        m = re.fullmatch("".join(f"({'.*' if p == '*' else '|'.join(map(re.escape, p[1:-1].split('|')))})" if i % 2 else re.escape(p) for i, p in enumerate(parts)), name, re.IGNORECASE)
+        return self._written(parts[1::2], list(m.groups())) if m else None
+
+    def _written(self, wild: list[str], held: list[str]) -> str | None:
+        """The right side for what each wildcard of the left held; None where the two sides' alternatives don't pair."""
+        star = next((h for w, h in zip(wild, held, strict=True) if w == "*"), "*")
+        found = [[x.lower() for x in w[1:-1].split("|")].index(h.lower()) for w, h in zip(wild, held, strict=True) if w != "*"]
+        places = [(len(w.split("|")), at) for w, at in zip((w for w in wild if w != "*"), found, strict=True)]
+        own = _EITHER.findall(self.right)
+        if own and [len(o.split("|")) for o in own] != [n for n, _ in places]:
+            return None
+        picks = iter([at for _, at in places])
+        return _WILD.sub(lambda m: star if m[0] == "*" else m[0][1:-1].split("|")[next(picks)], self.right)
 
 
 def apply_rules(rules: list[Rule], left: list[str], right: list[str]) -> dict[str, tuple[str, int]]:

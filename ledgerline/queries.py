@@ -154,6 +154,13 @@ def p_profile_raw(spark, d):
     return numeric_out(profile.numeric_profile(rows, ["o_totalprice"], "day", "month")).select("column_name", "dt", "n_total", "n_missing", "n_unique", "mean")
 
 
+@query("s_raw_buckets", "SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS dt, count(*) AS n, count(DISTINCT o_orderpriority) AS n_priorities FROM orders WHERE date_trunc('month', o_orderdate) BETWEEN DATE '1996-03-01' AND DATE '1996-07-01' GROUP BY 1")
+def s_raw_buckets(spark, d):
+    """Dates as text, bucketed by month; the range holds for the bucket, so July is there whole."""
+    raw = table(spark, d, "orders").select(D.write_date(F.col("o_orderdate").cast("date"), "DDMONYYYY").alias("day"), "o_orderpriority")
+    return readers.in_buckets(raw, "day", ["o_orderpriority"], "month", "1996-03-01", "1996-07-01").groupBy("dt").agg(F.count("*").alias("n"), F.count_distinct("o_orderpriority").alias("n_priorities"))
+
+
 query("p_inferred_types", "SELECT CASE WHEN avg(CASE WHEN try_cast(CAST(o_totalprice AS VARCHAR) AS DOUBLE) IS NULL THEN 0.0 ELSE 1.0 END) > 0.9 THEN 'numeric' ELSE 'categorical' END AS o_totalprice, CASE WHEN avg(CASE WHEN try_cast(o_orderpriority AS DOUBLE) IS NULL THEN 0.0 ELSE 1.0 END) > 0.9 THEN 'numeric' ELSE 'categorical' END AS o_orderpriority, CASE WHEN avg(CASE WHEN o_orderkey % 11 = 0 THEN 0.0 ELSE 1.0 END) > 0.9 THEN 'numeric' ELSE 'categorical' END AS mostly FROM orders")(
     lambda spark, d: table(spark, d, "orders").select(F.col("o_totalprice").cast("string").alias("o_totalprice"), "o_orderpriority", F.when(F.col("o_orderkey") % 11 == 0, "n/a").otherwise(F.col("o_orderkey").cast("string")).alias("mostly")).agg(*[profile.inferred_type(F.col(c)).alias(c) for c in ("o_totalprice", "o_orderpriority", "mostly")])
 )

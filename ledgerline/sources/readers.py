@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.dates import bucket_text, parse_date
+from ledgerline.functions.predicates import canonical_range
 from ledgerline.operators.rowcount import summed
 
 # Header names by which date and count columns are known.
@@ -105,6 +107,18 @@ def read_row_counts(spark: SparkSession, path: str, date: str | None = None, cou
     return summed(raw, date or pick_header(raw.columns, DATE_NAMES, 0), count or pick_header(raw.columns, COUNT_NAMES, 1))
 
 
+def in_buckets(raw: DataFrame, date: str, columns: list[str], vintage: str = "day", first: str | None = None, last: str | None = None) -> DataFrame:
+    """(dt, columns) of rows whose dates are text in any spelling: dt is the bucket, to which the range applies. Dates that can't be read have no bucket, and go where a range is asked for."""
+    dt = bucket_text(parse_date(F.col(f"`{date}`").cast("string")), vintage)
+    return raw.select(dt.alias("dt"), *[F.col(f"`{c}`") for c in columns]).where(canonical_range(F.col("dt"), first, last))
+
+
+def read_columns(spark: SparkSession, path: str, date: str, columns: list[str] | None = None, vintage: str = "day", first: str | None = None, last: str | None = None) -> DataFrame:
+    """in_buckets() of a CSV file or of all in a folder; columns: all but the date's."""
+    raw = spark.read.option("header", True).csv(path)
+    return in_buckets(raw, date, columns if columns is not None else [c for c in raw.columns if c not in (date, "dt")], vintage, first, last)
+
+
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """A profile that was computed elsewhere, under any of the known header names."""
     raw = spark.read.option("header", True).csv(path)

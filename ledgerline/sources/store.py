@@ -192,3 +192,12 @@ class Store:
 def write_csv(rows: DataFrame, path: str, order: list[str]) -> None:
     """A report-sized result as one CSV file with a header, sorted."""
     rows.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+# The columns of a profile's file.
+PROFILE_COLUMNS = ["column_name", "dt", "col_type", "n_total", "n_missing", "n_unique", "mean", "std", "min_val", "max_val", "top_10"]
+
+
+def write_profile_csv(profile: DataFrame, path: str) -> None:
+    """A profile as one CSV file of eleven columns, sorted by column and bucket; what the profile lacks is empty, what it has besides is left out."""
+    write_csv(profile.select(*[c if c in profile.columns else F.lit(None).cast("string").alias(c) for c in PROFILE_COLUMNS]), path, ["column_name", "dt"])
