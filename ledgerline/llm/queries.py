@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.bpe import decode_ids, encode_texts
 from ledgerline.llm.common import in_fold, table
 from ledgerline.llm.decontaminate import digests, find_passages
 from ledgerline.llm.langid import identify
@@ -148,6 +149,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written_out("base"), 256).alias("base_sha256"), written_out("spans").alias("spans"))
 
 
+#: The tokenizer's file, of the installed package of public vocabularies.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(TOKENIZER)
+    out = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_topk": op2_topk,
@@ -159,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_bpe": op11_bpe,
 }
 
 ORACLES: dict[str, str] = {
