@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import decode_ids, encode_texts
+from ledgerline.llm.collocations import collocations
 from ledgerline.llm.common import in_fold, table
 from ledgerline.llm.decontaminate import digests, find_passages
 from ledgerline.llm.langid import identify
@@ -161,6 +162,34 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), max_n=4, least=30, covered=80, most=2000)
+
+
+OP12_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY lang),
+gram AS (
+  SELECT lang, size, phrase, count(*) AS f
+  FROM (SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM piece, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size))
+  GROUP BY ALL),
+cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM gram WHERE size > 1 AND f >= 30),
+cut AS (SELECT *, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, size), ' ') AS tail FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, h.f AS l, t.f AS r, k, CAST((CAST(a AS HUGEINT) * 2000000) // (CAST(h.f AS HUGEINT) + t.f) AS BIGINT) AS score
+  FROM cut JOIN gram h ON h.lang = cut.lang AND h.phrase = head JOIN gram t ON t.lang = cut.lang AND t.phrase = tail),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored) WHERE o = 1),
+gone AS (
+  SELECT DISTINCT c.lang, c.phrase FROM cand c JOIN
+    (SELECT lang, a, array_to_string(list_slice(w, i, i + len - 1), ' ') AS phrase FROM (SELECT *, unnest(range(1, size - len + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS len FROM cand WHERE size > 2))) b
+  ON b.lang = c.lang AND b.phrase = c.phrase AND 100 * CAST(b.a AS HUGEINT) >= 80 * CAST(c.a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_topk": op2_topk,
@@ -173,6 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
     "op11_bpe": op11_bpe,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -180,4 +210,5 @@ ORACLES: dict[str, str] = {
     "op2_topk": OP2_SQL,
     "op5_decontaminate": OP5_SQL,
     "op8_url_filter": OP8_SQL,
+    "op12_collocations": OP12_SQL,
 }
