@@ -15,6 +15,7 @@ from ledgerline.llm.langid import identify
 from ledgerline.llm.lm import score_texts
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.pii import find_pii, written_out
+from ledgerline.llm.ranked import ranked_documents
 from ledgerline.llm.simhash import near_duplicates
 from ledgerline.llm.topk import quantised, top_k
 from ledgerline.llm.toxicity import score_toxicity
@@ -190,6 +191,28 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang)
 """
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP13_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+own AS (SELECT row_no, doc_id, len(w) AS n FROM doc WHERE len(w) > 0),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_all FROM own),
+tf AS (SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(w) AS term FROM doc) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), whole),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, row_no, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_all)))) AS BIGINT) AS score
+  FROM item JOIN tf USING (term) JOIN weight USING (term) JOIN own USING (row_no), whole GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_topk": op2_topk,
@@ -203,6 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_bpe": op11_bpe,
     "op12_collocations": op12_collocations,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -211,4 +235,5 @@ ORACLES: dict[str, str] = {
     "op5_decontaminate": OP5_SQL,
     "op8_url_filter": OP8_SQL,
     "op12_collocations": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
