@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import LOWER, UPPER, written
 
-#: A task adds up the phrases of so many words at a time.
-TOGETHER = 1 << 22
+#: A task adds up the phrases of so many words at a time, and parts so many bytes of texts into words at a time.
+TOGETHER, BYTES = 1 << 21, 1 << 20
 #: The bitmap of frequent pairs has 2**BITS bits: 8 MB.
 BITS = 26
 #: Rows that are passed on at a time.
@@ -42,18 +42,17 @@ class _Share:
     """A language's words since they were last added up."""
 
     def __init__(self) -> None:
-        self.ids, self.parts, self.words = _Ids({b"\n": 0}), [], 0
+        self.ids, self.parts = _Ids({b"\n": 0}), []
 
     def add(self, texts: list[bytes]) -> int:
         pieces = b"\n".join(texts).translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
-        found = np.fromiter(map(self.ids.__getitem__, filter(None, pieces)), np.int64)
-        self.parts.append(np.append(found, 0))
-        self.words += (more := np.count_nonzero(found))
-        return more
+        found = np.fromiter(map(self.ids.__getitem__, filter(None, pieces)), np.int32)
+        self.parts.append(np.append(found, np.int32(0)))
+        return np.count_nonzero(found)
 
     def phrases(self, low: int, high: int, frequent: Frequent | None, lang: str) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """(phrases, how often each occurs) for each number of words; the empty phrase stands for every word."""
-        run = np.concatenate([*self.parts, np.zeros(high, np.int64)])
+        run = np.concatenate([*self.parts, np.zeros(high, np.int32)])
         names = pa.array(list(self.ids), pa.binary()).cast(pa.string())
         at = np.flatnonzero(run)
         if low == 1:
@@ -63,7 +62,7 @@ class _Share:
             there = np.flatnonzero(counts)
             yield names.take(pa.array(there)), counts[there]
         good = frequent.pairs(list(self.ids), lang, run) if frequent else None
-        columns, number = [np.arange(len(self.ids))], run[at]
+        columns, number = [np.arange(len(self.ids))], run[at].astype(np.int64)
         for n in range(2, high + 1):
             on = run[at + n - 1] > 0
             if good is not None:
@@ -128,14 +127,19 @@ def phrase_counts(docs: DataFrame, low: int, high: int, frequent: Frequent | Non
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(counts[at : at + ROWS], pa.int64())], ["lang", "phrase", "f"])
 
         for b in batches:
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                texts.setdefault(lang, []).append(text)
-            for lang, own in texts.items():
-                words += shares.setdefault(lang, _Share()).add(own)
-            if words >= TOGETHER:
-                yield from counted()
-                shares, words = {}, 0
+            langs, size = b.column(0).to_pylist(), np.cumsum(pc.binary_length(b.column(1)).to_numpy())
+            at = 0
+            while at < len(langs):
+                to = max(at + 1, int(np.searchsorted(size, BYTES + (size[at - 1] if at else 0), "right")))
+                texts: dict[str, list[bytes]] = {}
+                for lang, text in zip(langs[at:to], b.column(1).slice(at, to - at).to_pylist(), strict=True):
+                    texts.setdefault(lang, []).append(text)
+                for lang, own in texts.items():
+                    words += shares.setdefault(lang, _Share()).add(own)
+                at = to
+                if words >= TOGETHER:
+                    yield from counted()
+                    shares, words = {}, 0
         yield from counted()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
