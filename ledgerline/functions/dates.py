@@ -133,7 +133,7 @@ def bucket(date: Column, vintage: str) -> Column:
         return F.lit("all")
     if vintage not in VINTAGES:
         raise ValueError(f"unknown vintage {vintage!r}")
-    return F.date_format(date.cast("date") if vintage == "day" else F.trunc(date.cast("date"), vintage), "yyyy-MM-dd")
+    return (date.cast("date") if vintage == "day" else F.trunc(date.cast("date"), vintage)).cast("string")
 
 
 def bucket_text(dt: Column, vintage: str) -> Column:

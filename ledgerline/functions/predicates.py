@@ -11,8 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: More dates than this are joined instead of listed.
-LISTED = 1000
+from ledgerline.functions.intervals import DaySet
 
 
 def _day(text: str) -> Column:
@@ -38,23 +37,17 @@ def between_written(column: Column, label: str, first: str, last: str, number: b
 
 
 def in_dates(rows: DataFrame, column: str, dates: list[str] | DataFrame) -> DataFrame:
-    """Rows whose day is in dates: a short list becomes ranges and a list for the scan, a DataFrame (dt) or a long list a semi-join."""
-    day = F.col(column).cast("date")
-    if isinstance(dates, list) and len(dates) <= LISTED:
-        if not dates:
-            return rows.where(F.lit(False))
-        return rows.where(between_dates(F.col(column), min(dates), max(dates)) & day.isin([date.fromisoformat(d) for d in dates]))
-    listed = dates if isinstance(dates, DataFrame) else rows.sparkSession.createDataFrame([(d,) for d in dates], "dt string")
-    return rows.join(listed.select(F.try_to_date("dt", "yyyy-MM-dd").alias("__day")).distinct(), day == F.col("__day"), "left_semi")
+    """Rows whose day is in dates: a list becomes ranges for the scan, a DataFrame (dt) a semi-join."""
+    from ledgerline.functions.datetypes import DateColumn
+
+    return DateColumn(column).within(rows, dates)
 
 
 def except_dates(rows: DataFrame, column: str, dates: list[str]) -> DataFrame:
-    """Rows whose day is not in dates, by a list or, for a long one, an anti-join; rows without a day stay."""
-    day = F.col(column).cast("date")
-    if len(dates) <= LISTED:
-        return rows.where(~F.coalesce(day.isin([date.fromisoformat(d) for d in dates]), F.lit(False))) if dates else rows
-    listed = rows.sparkSession.createDataFrame([(date.fromisoformat(d),) for d in dates], "__day date").distinct()
-    return rows.join(listed, day == F.col("__day"), "left_anti")
+    """Rows whose day is not in dates; rows without a day stay."""
+    from ledgerline.functions.datetypes import DateColumn
+
+    return DateColumn(column).without(rows, dates)
 
 
 def canonical_range(dt: Column, first: str | None = None, last: str | None = None) -> Column:
@@ -105,27 +98,25 @@ class DateFilter:
     """Which days a profile covers: none (all), between (with gaps), or in_list."""
 
     kind: str = "none"
-    dates: list[str] = field(default_factory=list)
-    excluded: list[str] = field(default_factory=list)
+    days: DaySet = field(default_factory=DaySet)
+
+    @property
+    def excluded(self) -> DaySet:
+        """The gaps between the first and the last day."""
+        return DaySet(((self.days.runs[0][0], self.days.runs[-1][1]),)) - self.days if self.days else DaySet()
 
     def apply(self, rows: DataFrame, column) -> DataFrame:
         """column: a name, of dates or timestamps, or a DateColumn."""
         from ledgerline.functions.datetypes import DateColumn
 
         column = DateColumn(column) if isinstance(column, str) else column
-        if self.kind == "in_list":
-            return column.within(rows, self.dates)
-        if self.kind == "between" and self.dates:
-            rows = rows.where(column.between(min(self.dates), max(self.dates)))
-        return column.without(rows, self.excluded)
+        return rows if self.kind == "none" else column.within(rows, self.days)
 
 
 def plan_filter(matching: list[str], vintage: str, sample: list[str] | None = None) -> DateFilter:
-    """A sample is listed; matching days are a range without its gaps; no matching days, no filter."""
+    """A sample is listed; matching days (or months) are a range without its gaps; no matching days, no filter."""
     if sample is not None:
-        return DateFilter("in_list", sorted(sample))
+        return DateFilter("in_list", DaySet.of(sample))
     if not matching or vintage == "all":
         return DateFilter()
-    first, last = date.fromisoformat(min(matching)), date.fromisoformat(max(matching))
-    every = {(first + timedelta(days=i)).isoformat() for i in range((last - first).days + 1)}
-    return DateFilter("between", sorted(matching), sorted(every - set(matching)))
+    return DateFilter("between", DaySet.of(matching))

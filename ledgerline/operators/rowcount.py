@@ -19,6 +19,14 @@ def row_counts(rows: DataFrame, date_column: str | DateColumn | None, vintage: s
     return rows.groupBy(dt.alias("dt")).agg(F.count("*").alias("row_count"))
 
 
+def daily_series(rows: DataFrame, dated: DateColumn | None) -> DataFrame:
+    """(dt, row_count, with_date): row_counts() by day (or month), and how many of the rows have anything in their date column. Under null are the rows without a date and those whose date can't be read."""
+    if dated is None:
+        return row_counts(rows, None).withColumn("with_date", F.col("row_count"))
+    there = F.length(F.trim(F.col(dated.name).cast("string"))) > 0
+    return rows.groupBy(dated.bucket("day").alias("dt")).agg(F.count("*").alias("row_count"), F.count(F.when(there, 1)).alias("with_date"))
+
+
 def summed(raw: DataFrame, date: str, count: str) -> DataFrame:
     """(dt, row_count) of text columns: counts that aren't whole numbers are dropped, repeated raw dates summed."""
     n = F.trim(F.col(count).cast("string"))
@@ -52,6 +60,6 @@ def latest_snapshot(rows: DataFrame, column: str) -> DataFrame:
 
 
 def sample_dates(series: DataFrame, n: int, seed: int = 2025) -> list[str]:
-    """n of a series' days: those whose hash with the seed is least, whatever the order of rows; in order."""
-    days = series.select("dt").where("length(dt) = 10").distinct()
+    """n of a series' days (or months): those whose hash with the seed is least, whatever the order of rows; in order."""
+    days = series.select("dt").where("length(dt) in (6, 10)").distinct()
     return sorted(r.dt for r in days.orderBy(F.md5(F.concat(F.lit(f"{seed} "), "dt").cast("binary")), "dt").limit(n).collect())

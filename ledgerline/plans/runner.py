@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.dates import bucket, vintage_label
-from ledgerline.functions.datetypes import DateColumn
+from ledgerline.functions.dates import vintage_label
+from ledgerline.functions.intervals import DaySet, bucket_label
 from ledgerline.functions.predicates import plan_filter
-from ledgerline.operators.mapping import filter_columns, match_columns
-from ledgerline.operators.profile import missing_buckets, profile
+from ledgerline.operators.mapping import apply_rules, filter_columns, match_columns, pick_mapping
+from ledgerline.operators.profile import profile
 from ledgerline.operators.reconcile import compare_profiles, compare_rows
-from ledgerline.operators.rowcount import row_counts, sample_dates
+from ledgerline.operators.rowcount import daily_series, sample_dates
 from ledgerline.plans.spec import Pair, Project
 from ledgerline.sources.readers import Side, read_side
 from ledgerline.sources.store import Store
@@ -23,7 +25,8 @@ from ledgerline.sources.store import Store
 
 @dataclass(frozen=True)
 class Outcome:
-    """rows and columns: the comparisons; matching: days on which both sides agree; release() frees what the comparisons hold in memory."""
+    """rows and columns: the comparisons; matching: days (or months) on which both sides agree; undated: of each side the rows without a date and those whose date can't be read; mapping: left column -> right column.
+    release() frees what the comparisons hold in memory."""
 
     pair: Pair
     rows: DataFrame
@@ -32,60 +35,102 @@ class Outcome:
     right_profile: DataFrame | None
     seconds: dict[str, float]
     matching: list[str] = field(default_factory=list)
+    undated: dict[str, tuple[int, int]] = field(default_factory=dict)
+    mapping: dict[str, str] = field(default_factory=dict)
 
     def release(self) -> None:
         self.rows.unpersist()
 
-
-def _dated(side: Side) -> DateColumn | None:
-    return DateColumn(side.date_col, side.date_type) if side.date_col else None
+    def warnings(self) -> list[str]:
+        """What a reader of the comparisons should know."""
+        out = [f"{self.pair.name}: {n} rows on the {side} have a date that can't be read as {s.date_type}" for side, s in (("left", self.pair.left), ("right", self.pair.right)) if (n := self.undated[side][1])]
+        return out + ([] if self.matching else [f"{self.pair.name}: no day matches"])
 
 
 def bounded(rows: DataFrame, side: Side, pair: Pair) -> DataFrame:
     """A side's rows within the pair's days, filtered in the spelling that its dates are stored in."""
-    dated = _dated(side)
-    return rows.where(dated.between(pair.first, pair.last)) if dated and (pair.first or pair.last) else rows
+    return rows.where(side.dated.between(pair.first, pair.last)) if side.dated and (pair.first or pair.last) else rows
 
 
-def run_pair(spark: SparkSession, pair: Pair, seed: int = 2025, store: Store | None = None, tables: dict[tuple[str, str], DataFrame] | None = None) -> Outcome:
+def run_pair(spark: SparkSession, pair: Pair, seed: int = 2025, store: Store | None = None, tables: dict[str, DataFrame] | None = None, exact: bool = True) -> Outcome:
     """Both comparisons of a pair. Days that don't match, or are in exclude_dates or ignore_rows, are left out of the profiles; sample@N profiles N matching days together.
 
-    store: where series, profiles, matching days and samples go; a sample that is there already is used again, and only buckets without a stored profile are profiled. tables: what has been read already.
+    A date that can't be read counts for no day: such rows are counted (Outcome.undated). Months (YYYYMM) are compared as they are, and profiled in buckets of their days.
+    Columns are mapped by the pair's own mapping, else by the stored one of the two tables (either way round) and by name, and what is left by the pair's rules.
+    store: where series, profiles, matching days, mappings and samples go; a sample that is there already is used again, and only buckets are profiled whose stored profile is of other filters, days or counts
+    (all, with the mode `full`). tables: what has been read already, by Side.rows_key. exact: whether distinct counts of numbers are exact.
     """
     took, began = {}, time.monotonic()
-    sides = (pair.left, pair.right)
-    read = lambda s: tables[s.source, s.name] if tables and (s.source, s.name) in tables else read_side(spark, s)
-    left, right = (bounded(read(s), s, pair) for s in sides)
-    daily = [row_counts(rows, _dated(s)) for rows, s in ((left, pair.left), (right, pair.right))]
+    read = lambda s: tables[s.rows_key] if tables and s.rows_key in tables else read_side(spark, s)
+    left, right = (bounded(read(s), s, pair) for s in (pair.left, pair.right))
+    daily = [daily_series(rows, s.dated).persist() for rows, s in ((left, pair.left), (right, pair.right))]
     compared = compare_rows(*daily).persist()
-    ignored = {*pair.exclude_dates, *pair.ignore_rows}
-    matching = sorted(r.dt for r in compared.where("status = 'match'").select("dt").collect() if r.dt not in ignored)
-    took["rows"] = time.monotonic() - began
+    try:
+        undated = {n: tuple(d.where("dt is null").agg(F.coalesce(F.sum(F.col("row_count") - F.col("with_date")), F.lit(0)), F.coalesce(F.sum("with_date"), F.lit(0))).first()) for n, d in zip(("left", "right"), daily, strict=True)}
+        ignored = {*pair.exclude_dates, *pair.ignore_rows}
+        agreed = {r.dt: r.left_count for r in compared.where("status = 'match'").select("dt", "left_count").collect() if r.dt not in ignored}
+        matching = sorted(agreed)
+        took["rows"] = time.monotonic() - began
+        if store:
+            _keep_rows(store, pair, compared, ignored)
+        mapping = _mapping(pair, left.columns, right.columns, store)
+        picked = [c for c in filter_columns(list(mapping), pair.include, pair.exclude) if c not in pair.ignore_columns and c != pair.left.date_col]
+        out = Outcome(pair, compared, None, None, None, took, matching, undated, {c: mapping[c] for c in picked})
+        if not picked:
+            return out
+        profiles = _profiles(pair, (left, right), out.mapping, agreed, compared, seed, store, exact)
+        took["columns"] = time.monotonic() - began - took["rows"]
+        vintage = "all" if pair.vintage.startswith("sample@") else pair.vintage
+        return replace(out, columns=compare_profiles(*profiles, out.mapping, vintage, None, pair.overrides), left_profile=profiles[0], right_profile=profiles[1])
+    except BaseException:
+        compared.unpersist()
+        raise
+    finally:
+        for d in daily:
+            d.unpersist()
+
+
+def _keep_rows(store: Store, pair: Pair, compared: DataFrame, ignored: set[str]) -> None:
+    for s, n in ((pair.left, "left"), (pair.right, "right")):
+        own = compared.where(F.col(f"{n}_count").isNotNull()).select(F.lit(s.qualified).alias("source_table"), "dt", F.col(f"{n}_count").alias("row_count"))
+        store.replace("row_counts", s.qualified, own)
+    state = F.when(F.col("dt").isin(sorted(ignored)), "excluded").otherwise(F.col("status"))
+    store.replace("matching", pair.name, compared.where(F.col("dt").isNotNull()).select(F.lit(pair.name).alias("source_table"), "dt", state.alias("state")))
+
+
+def _mapping(pair: Pair, left: list[str], right: list[str], store: Store | None) -> dict[str, str]:
+    """The pair's mapping as it is, or what is stored for the two tables, what names and rules add to it, which is stored in turn."""
+    if pair.col_map:
+        return pair.col_map
+    here = (pair.left.qualified, pair.right.qualified)
+    stored: dict[tuple[str, str], dict[str, str]] = {}
     if store:
-        for s, n in ((pair.left, "left"), (pair.right, "right")):
-            own = compared.where(F.col(f"{n}_count").isNotNull()).select(F.lit(s.qualified).alias("source_table"), "dt", F.col(f"{n}_count").alias("row_count"))
-            store.replace("row_counts", s.qualified, own)
-        store.replace("matching", pair.name, compared.where(F.col("dt").isNotNull()).select(F.lit(pair.name).alias("source_table"), "dt", F.when(F.col("dt").isin(sorted(ignored)), "excluded").otherwise(F.col("status")).alias("state")))
-    mapping = pair.col_map or match_columns(left.columns, right.columns).mapping
-    picked = [c for c in filter_columns(list(mapping), pair.include, pair.exclude) if c not in pair.ignore_columns and c != pair.left.date_col]
-    if not picked:
-        return Outcome(pair, compared, None, None, None, took, matching)
+        for r in store.read("mappings").where(F.col("source_table").isin(*here) & F.col("right_table").isin(*here)).collect():
+            stored.setdefault((r.source_table, r.right_table), {})[r.left_col] = r.right_col
+    own = pick_mapping(here, stored)
+    found = match_columns(left, right, own)
+    by_rule = apply_rules(list(pair.rules), found.left_only, found.right_only)
+    mapping = found.mapping | {c: to for c, (to, _) in by_rule.items()}
+    if store and mapping != stored.get(here):
+        rows = [(*here, c, to, "stored" if own.get(c) == to else f"rule {by_rule[c][1]}" if c in by_rule else "name") for c, to in sorted(mapping.items())]
+        store.upsert("mappings", store.spark.createDataFrame(rows, "source_table string, right_table string, left_col string, right_col string, state string"))
+    return mapping
+
+
+def _profiles(pair: Pair, sides: tuple[DataFrame, DataFrame], mapping: dict[str, str], agreed: dict[str, int], compared: DataFrame, seed: int, store: Store | None, exact: bool) -> list[DataFrame]:
     sampled, n = pair.vintage.startswith("sample@"), int(pair.vintage.partition("@")[2] or 0)
     vintage = "all" if sampled else pair.vintage
-    sample = _sample(compared.where(F.col("dt").isin(matching)), n, seed, pair, store) if sampled else None
-    chosen = plan_filter(matching, vintage, sample)
-    profiles = []
-    for rows, side, columns in ((left, pair.left, picked), (right, pair.right, [mapping[c] for c in picked])):
-        dated = _dated(side)
-        rows = chosen.apply(rows, dated) if dated else rows
-        by = dated is not None and vintage != "all"
-        rows = rows.select(*columns, *([dated.day().alias("__day")] if by else []))
-        if store and by:
-            profiles.append(_resumed(store, rows, side, columns, vintage, pair))
+    sample = _sample(compared.where(F.col("dt").isin(sorted(agreed))), n, seed, pair, store) if sampled else None
+    chosen = plan_filter(sorted(agreed), vintage, sample)
+    out = []
+    for rows, side, columns in ((sides[0], pair.left, list(mapping)), (sides[1], pair.right, list(mapping.values()))):
+        overrides = pair.overrides if side is pair.left else {to: pair.overrides[c] for c, to in mapping.items() if c in pair.overrides}
+        by = side.dated if side.dated and vintage != "all" else None
+        if store and by and not side.bucketed:
+            out.append(_resumed(store, rows, side, columns, vintage, pair, overrides, agreed, exact))
         else:
-            profiles.append(profile(rows, "__day" if by else None, vintage, columns, pair.overrides))
-    took["columns"] = time.monotonic() - began - took["rows"]
-    return Outcome(pair, compared, compare_profiles(*profiles, {c: mapping[c] for c in picked}, vintage, None, pair.overrides), *profiles, took, matching)
+            out.append(profile(chosen.apply(rows, side.dated) if side.dated else rows, by, vintage, columns, overrides, exact))
+    return out
 
 
 def _sample(days: DataFrame, n: int, seed: int, pair: Pair, store: Store | None) -> list[str]:
@@ -100,29 +145,59 @@ def _sample(days: DataFrame, n: int, seed: int, pair: Pair, store: Store | None)
     return sample
 
 
-def _resumed(store: Store, rows: DataFrame, side: Side, columns: list[str], vintage: str, pair: Pair) -> DataFrame:
-    """The side's profile, of which only the buckets that the store lacks for some column are computed."""
-    own = (F.col("source_table") == f"{side.qualified}/{vintage}") & F.col("column_name").isin(columns)
-    there = store.read("col_stats").where(own)
-    whole = there.groupBy("dt").agg(F.count_distinct("column_name").alias("n")).where(F.col("n") == len(columns)).select("dt")
-    new = profile(missing_buckets(rows, whole, "__day", vintage), "__day", vintage, columns, pair.overrides)
-    store.upsert("col_stats", new.withColumn("source_table", F.lit(f"{side.qualified}/{vintage}")).withColumn("vintage_label", vintage_label(F.col("dt"), vintage)))
-    dated = rows.select(bucket(F.col("__day"), vintage).alias("dt")).distinct()
-    return store.read("col_stats").where(own).join(dated, "dt", "left_semi").drop("source_table", "vintage_label").select(*new.columns)
+def _digest(*parts: object) -> str:
+    return hashlib.md5(json.dumps(parts, sort_keys=True).encode()).hexdigest()
+
+
+def profile_key(side: Side, vintage: str) -> str:
+    """Under which name a side's profile is stored: pairs that filter or date the same table otherwise have profiles of their own."""
+    return f"{side.qualified}/{vintage}/{_digest(side.rows_key)[:12]}"
 
 
-def run_project(spark: SparkSession, project: Project, store: Store | None = None, seed: int = 2025) -> dict[str, Outcome]:
-    """All pairs but those to be skipped, by name. A table that several pairs share is read as one plan with the columns of all; steps and their seconds go to the store's timing."""
-    tables = {(s.source, s.name): read_side(spark, s) for s in project.sides()}
+def bucket_fingerprints(agreed: dict[str, int], vintage: str, *more: object) -> dict[str, str]:
+    """bucket -> a digest of the days that are in it with their counts, and of what else decides its profile."""
+    days: dict[str, list[tuple[str, int]]] = {}
+    for day, count in sorted(agreed.items()):
+        days.setdefault(bucket_label(day, vintage), []).append((day, count))
+    return {b: _digest(own, *more) for b, own in days.items()}
+
+
+def _resumed(store: Store, rows: DataFrame, side: Side, columns: list[str], vintage: str, pair: Pair, overrides: dict[str, str], agreed: dict[str, int], exact: bool) -> DataFrame:
+    """The side's profile by buckets of the days in `agreed`. Computed, and read from the source, are only the buckets that the store lacks for some column, or has for other days, counts, types or bounds."""
+    spark = rows.sparkSession
+    wanted = bucket_fingerprints(agreed, vintage, exact, sorted((c, k) for c, k in overrides.items() if c in columns))
+    key = profile_key(side, vintage)
+    prints = spark.createDataFrame(list(wanted.items()), "dt string, fingerprint string")
+    stored = lambda: store.read("col_stats").where((F.col("source_table") == key) & F.col("column_name").isin(columns)).join(F.broadcast(prints), ["dt", "fingerprint"], "left_semi")  # noqa: E731  a row for each bucket of the calendar
+    whole = set() if pair.mode == "full" else {r.dt for r in stored().groupBy("dt").agg(F.count_distinct("column_name").alias("n")).where(F.col("n") == len(columns)).select("dt").collect()}
+    missing = DaySet.of(d for d in agreed if bucket_label(d, vintage) not in whole)
+    new = profile(side.dated.within(rows, missing), side.dated, vintage, columns, overrides, exact)
+    if missing:
+        store.upsert("col_stats", new.join(F.broadcast(prints), "dt", "left").withColumn("source_table", F.lit(key)).withColumn("vintage_label", vintage_label(F.col("dt"), vintage)))
+    return stored().select(*new.columns)
+
+
+def run_project(spark: SparkSession, project: Project, store: Store | None = None, seed: int | None = None) -> dict[str, Outcome]:
+    """All pairs but those to be skipped, by name. Sides that pairs share, filters and dates included, are read as one plan with the columns of all; steps and their seconds go to the store's timing, those of a pair that fails too."""
+    tables = {s.rows_key: read_side(spark, s) for s in project.sides()}
+    seed = project.settings.get("seed", 2025) if seed is None else seed
     out: dict[str, Outcome] = {}
     for pair in project.pairs:
         if pair.skip:
             continue
-        began = datetime.now(UTC)
-        out[pair.name] = run_pair(spark, pair, seed, store, tables)
-        if store:
-            rows = [(pair.name, step, began.replace(tzinfo=None), seconds, "ok") for step, seconds in out[pair.name].seconds.items()]
-            store.append("timing", spark.createDataFrame(rows, "source_table string, step string, start timestamp, elapsed_sec double, status string"))
+        began, steps, status = datetime.now(UTC), {}, "ok"
+        try:
+            out[pair.name] = run_pair(spark, pair, seed, store, tables, project.settings.get("exact", True))
+            steps = out[pair.name].seconds
+        except Exception as e:
+            steps, status = {"failed": (datetime.now(UTC) - began).total_seconds()}, f"error: {str(e).splitlines()[0]}"
+            for done in out.values():
+                done.release()
+            raise
+        finally:
+            if store and steps:
+                rows = [(pair.name, step, began.replace(tzinfo=None), seconds, status) for step, seconds in steps.items()]
+                store.append("timing", spark.createDataFrame(rows, "source_table string, step string, start timestamp, elapsed_sec double, status string"))
     return out
 
 

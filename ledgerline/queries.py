@@ -5,7 +5,9 @@ Left is orders; right is a replica with known differences: some rows and the fir
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +16,13 @@ from ledgerline.functions import dates as D
 from ledgerline.functions import predicates as P
 from ledgerline.functions import scalars as S
 from ledgerline.functions.datetypes import DateColumn
+from ledgerline.functions.intervals import DaySet
 from ledgerline.operators import diff, mapping, profile, reconcile, rowcount
+from ledgerline.plans.runner import Outcome, run_project
+from ledgerline.plans.spec import Project
+from ledgerline.session import new_folder
 from ledgerline.sources import readers
+from ledgerline.sources.store import Store
 from ledgerline.streaming.increments import daily_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -376,6 +383,122 @@ for _kind in _STORED:
     query(f"f_bounds_{_kind}", f"SELECT {_dt} AS dt, count(*) AS row_count FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' GROUP BY 1")(_between_stored(_kind))
     query(f"f_days_{_kind}", f"SELECT {_dt} AS dt, count(*) AS row_count, TRUE AS kept FROM orders WHERE {_in} GROUP BY 1 UNION ALL SELECT {_trunc('o_orderdate', 'year')}, count(*), FALSE FROM orders WHERE NOT ({_in}) GROUP BY 1")(_days_stored(_kind))
 
+def _gaps_stored(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, d):
+        rows, dated = stored(spark, d, kind)
+        days = DaySet.between("1992-01-01", "1999-12-31").days()
+        chosen = DaySet.between("1995-02-10", "1998-11-20") - DaySet.of(x.isoformat() for x in days if x.day % 2 == 0 and x.month not in (4, 9))
+        return rowcount.row_counts(rows.where(dated.inside(chosen)), dated)
+
+    return run
+
+
+for _kind in _STORED:
+    _dt = "strftime(o_orderdate, '%Y%m')" if _kind == "num_yyyymm" else "strftime(o_orderdate, '%Y-%m-%d')"
+    _in = "strftime(o_orderdate, '%Y%m') BETWEEN '199502' AND '199811'" if _kind == "num_yyyymm" else "CAST(o_orderdate AS DATE) BETWEEN DATE '1995-02-10' AND DATE '1998-11-20' AND (day(o_orderdate) % 2 = 1 OR month(o_orderdate) IN (4, 9))"
+    query(f"f_gaps_{_kind}", f"SELECT {_dt} AS dt, count(*) AS row_count FROM orders WHERE {_in} GROUP BY 1")(_gaps_stored(_kind))
+
+# --- whole projects: both comparisons of pairs, from their configuration ---
+
+
+def outcome_rows(out: Outcome) -> DataFrame:
+    """(part, dt, what, left_n, right_n): the days with their counts, and the distinct values of each column and bucket."""
+    rows = out.rows.select(F.lit("rows").alias("part"), "dt", F.col("status").alias("what"), F.col("left_count").alias("left_n"), F.col("right_count").alias("right_n"))
+    return rows.unionByName(out.columns.select(F.lit("columns").alias("part"), "dt", F.col("left_col").alias("what"), F.col("n_unique_left").alias("left_n"), F.col("n_unique_right").alias("right_n")))
+
+
+def outcome_sql(left: str, right: str, bucket: str) -> str:
+    """left and right: selects of dt, o_custkey and o_orderpriority."""
+    distinct = " UNION ALL ".join(f"SELECT '{s}' AS side, {bucket} AS dt, count(DISTINCT o_custkey) AS u, count(DISTINCT o_orderpriority) AS v FROM {s} WHERE dt IN (SELECT dt FROM c WHERE what = 'match') GROUP BY 2" for s in "lr")
+    return f"""
+WITH l AS ({left}), r AS ({right}), lc AS (SELECT dt, count(*) AS n FROM l GROUP BY 1), rc AS (SELECT dt, count(*) AS n FROM r GROUP BY 1),
+c AS (SELECT coalesce(lc.dt, rc.dt) AS dt, CASE WHEN lc.n IS NULL THEN 'right_only' WHEN rc.n IS NULL THEN 'left_only' WHEN lc.n = rc.n THEN 'match' ELSE 'mismatch' END AS what, lc.n AS left_n, rc.n AS right_n FROM lc FULL JOIN rc ON lc.dt = rc.dt),
+p AS ({distinct})
+SELECT 'rows' AS part, dt, what, left_n, right_n FROM c
+UNION ALL SELECT 'columns', a.dt, 'o_custkey', a.u, b.u FROM p a JOIN p b ON a.dt = b.dt AND a.side = 'l' AND b.side = 'r'
+UNION ALL SELECT 'columns', a.dt, 'o_orderpriority', a.v, b.v FROM p a JOIN p b ON a.dt = b.dt AND a.side = 'l' AND b.side = 'r'"""
+
+
+def project_of(d: str, pairs: dict[str, tuple[dict, dict, dict]], **more) -> Project:
+    """name -> (left, right, options); a side's `day` is the expression of its date over orders, `rows` what its rows are."""
+
+    def side(name: str, x: dict) -> dict:
+        columns = f"o_orderkey, o_custkey, o_orderpriority, {x['day']} AS d"
+        return {"name": name, "source": "parquet", "table": f"{d}/orders.parquet", "date_col": "d", "processed": f"SELECT {columns} FROM {x.get('rows', '{source}')}"} | {k: v for k, v in x.items() if k not in ("day", "rows")}
+
+    config = {"pairs": {n: {"left": side("orders", a), "right": side("replica", b), "col_filter": {"include": ["o_custkey", "o_orderpriority"]}} | options for n, (a, b, options) in pairs.items()}} | more
+    return Project.from_json(json.dumps(config))
+
+
+_DAY = "CAST(o_orderdate AS DATE)"
+_SIDE = "SELECT {dt} AS dt, o_custkey, o_orderpriority FROM {source}"
+#: name -> (left, right, options, SQL of the left rows, of the right rows, of the bucket of a day dt).
+_PROJECTS = {
+    # a timestamp against text YYYY-MM-DD, within bounds
+    "text": (
+        {"day": "o_orderdate", "date_type": "timestamp"}, {"day": "date_format(o_orderdate, 'yyyy-MM-dd')", "date_type": "string_dash", "where": "o_orderkey % 400 <> 0"}, {"vintage": "month", "fromDate": "1995-06-10", "toDate": "1996-12-24"},
+        _SIDE.format(dt="strftime(o_orderdate, '%Y-%m-%d')", source="orders WHERE o_orderdate >= TIMESTAMP '1995-06-10' AND o_orderdate < TIMESTAMP '1996-12-25'"),
+        _SIDE.format(dt="strftime(o_orderdate, '%Y-%m-%d')", source="orders WHERE o_orderdate >= TIMESTAMP '1995-06-10' AND o_orderdate < TIMESTAMP '1996-12-25' AND o_orderkey % 400 <> 0"), _trunc("CAST(dt AS DATE)", "month"),
+    ),
+    # a date against a timestamp of which the last row of each customer is taken
+    "latest": (
+        {"day": _DAY, "date_type": "date", "where": "o_orderkey % 3 <> 1"}, {"day": "o_orderdate", "date_type": "timestamp", "rows": "(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM {source}) WHERE n <= 6"}, {"vintage": "quarter"},
+        _SIDE.format(dt="strftime(o_orderdate, '%Y-%m-%d')", source="orders WHERE o_orderkey % 3 <> 1"),
+        _SIDE.format(dt="strftime(o_orderdate, '%Y-%m-%d')", source="(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 6"), _trunc("CAST(dt AS DATE)", "quarter"),
+    ),
+    # a timestamp without the first days against text YYYYMMDD
+    "compact": (
+        {"day": "o_orderdate", "date_type": "datetime", "where": "d >= TIMESTAMP_NTZ'1995-01-15 00:00:00'"}, {"day": "date_format(o_orderdate, 'yyyyMMdd')", "date_type": "string_compact"}, {"vintage": "week"},
+        _SIDE.format(dt="strftime(o_orderdate, '%Y-%m-%d')", source="orders WHERE o_orderdate >= TIMESTAMP '1995-01-15'"), _SIDE.format(dt="strftime(o_orderdate, '%Y-%m-%d')", source="orders"), _trunc("CAST(dt AS DATE)", "week"),
+    ),
+    # a date against a number YYYYMMDD, up to a day
+    "number": (
+        {"day": _DAY, "date_type": "date"}, {"day": "CAST(date_format(o_orderdate, 'yyyyMMdd') AS INT)", "date_type": "num", "where": "o_orderkey % 97 <> 0"}, {"vintage": "year", "toDate": "1997-03-31"},
+        _SIDE.format(dt="strftime(o_orderdate, '%Y-%m-%d')", source="orders WHERE o_orderdate < TIMESTAMP '1997-04-01'"), _SIDE.format(dt="strftime(o_orderdate, '%Y-%m-%d')", source="orders WHERE o_orderdate < TIMESTAMP '1997-04-01' AND o_orderkey % 97 <> 0"), _trunc("CAST(dt AS DATE)", "year"),
+    ),
+    # months as numbers on both sides, one month missing and one with other counts on the right
+    "months": (
+        {"day": "CAST(date_format(o_orderdate, 'yyyyMM') AS INT)", "date_type": "num"}, {"day": "CAST(date_format(o_orderdate, 'yyyyMM') AS INT)", "date_type": "num_yyyymm", "where": "d <> 199603 AND NOT (d = 199604 AND o_orderkey % 9 = 0)"}, {"vintage": "day", "toDate": "1998-02-10"},
+        _SIDE.format(dt="strftime(o_orderdate, '%Y%m')", source="orders WHERE strftime(o_orderdate, '%Y%m') <= '199802'"),
+        _SIDE.format(dt="strftime(o_orderdate, '%Y%m')", source="orders WHERE strftime(o_orderdate, '%Y%m') <= '199802' AND strftime(o_orderdate, '%Y%m') <> '199603' AND NOT (strftime(o_orderdate, '%Y%m') = '199604' AND o_orderkey % 9 = 0)"), "dt",
+    ),
+    # a date transform: what is text on one side counts a day later on both
+    "transform": (
+        {"day": "o_orderdate", "date_type": "timestamp", "date_transform": "date_add({col}, 1)"}, {"day": "upper(date_format(date_add(o_orderdate, 1), 'ddMMMyyyy'))", "date_type": "string_mon", "where": "o_orderkey % 211 <> 0"}, {"vintage": "month", "fromDate": "1996-01-01", "toDate": "1996-06-30"},
+        _SIDE.format(dt="strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d')", source="orders WHERE CAST(o_orderdate AS DATE) + 1 BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'"),
+        _SIDE.format(dt="strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d')", source="orders WHERE CAST(o_orderdate AS DATE) + 1 BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' AND o_orderkey % 211 <> 0"), _trunc("CAST(dt AS DATE)", "month"),
+    ),
+}
+
+
+def _run_stored(name: str, stored: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, d):
+        left, right, options, *_ = _PROJECTS[name]
+        project = project_of(d, {name: (left, right, options)})
+        if not stored:
+            return outcome_rows(run_project(spark, project)[name])
+        store = Store(spark, new_folder(spark, "store"))
+        run_project(spark, project, store)[name].release()
+        return outcome_rows(run_project(spark, project, store)[name])
+
+    return run
+
+
+for _name, (_, _, _, _l, _r, _b) in _PROJECTS.items():
+    for _with in (False, True) if _name in ("text", "months") else (False,):
+        query(f"g_project_{_name}{'_stored' if _with else ''}", outcome_sql(_l, _r, _b))(_run_stored(_name, _with))
+
+
+@query("g_project_shared", " UNION ALL ".join(f"SELECT '{n}' AS pair, * FROM ({outcome_sql(_SIDE.format(dt=_b, source='orders WHERE ' + w), _SIDE.format(dt=_b, source='orders WHERE ' + w + ' AND o_orderkey % 53 <> 0'), _trunc('CAST(dt AS DATE)', 'quarter'))})" for n, w, _b in (("low", "o_orderkey % 2 = 0", "strftime(o_orderdate, '%Y-%m-%d')"), ("high", "o_orderkey % 5 = 0", "strftime(o_orderdate, '%Y-%m-%d')"), ("later", "o_orderkey % 5 = 0", "strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d')"))))
+def g_project_shared(spark, d):
+    """Three pairs over one table, with different filters and dates."""
+    pairs = {}
+    for name, where, day in (("low", "o_orderkey % 2 = 0", _DAY), ("high", "o_orderkey % 5 = 0", _DAY), ("later", "o_orderkey % 5 = 0", f"date_add({_DAY}, 40)")):
+        pairs[name] = ({"day": day, "where": where}, {"day": day, "where": f"{where} AND o_orderkey % 53 <> 0"}, {"vintage": "quarter"})
+    found = run_project(spark, project_of(d, pairs))
+    return reduce(DataFrame.unionByName, [outcome_rows(out).select(F.lit(n).alias("pair"), "*") for n, out in found.items()])
+
+
 # --- sources ---
 
 query("s_processed_dedup", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")(lambda spark, d: rowcount.latest_per_key(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id"))

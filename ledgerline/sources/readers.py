@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import bucket_text, parse_date
+from ledgerline.functions.datetypes import DateColumn
 from ledgerline.functions.predicates import canonical_range
 from ledgerline.operators.rowcount import summed
 
@@ -31,13 +33,16 @@ STAT_NAMES = {
 
 @dataclass(frozen=True)
 class Side:
-    """One side of a pair. source: parquet, csv, table, sql, jdbc, or a registered name; processed: SQL over the view `source`."""
+    """One side of a pair. source: parquet, csv, table, sql, sqlfile, jdbc, or a registered name; processed: SQL over the view `source`; transform and bucketed: expressions of the date and of its bucket."""
 
     name: str
     source: str = "parquet"
     table: str = ""
     date_col: str | None = None
     date_type: str = "date"
+    transform: str = ""
+    bucketed: str = ""
+    vintage: str = ""
     where: str = ""
     processed: str = ""
     columns: list[str] = field(default_factory=list)
@@ -47,17 +52,36 @@ class Side:
     def qualified(self) -> str:
         return f"{self.source}_{self.name}"
 
+    @property
+    def dated(self) -> DateColumn | None:
+        return DateColumn(self.date_col, self.date_type, self.transform, self.bucketed) if self.date_col else None
+
+    @property
+    def rows_key(self) -> str:
+        """What decides which rows the side has, and how they are dated: all but the choice of columns and the vintage. Sides with the same key can share a scan."""
+        return json.dumps([v for k, v in asdict(self).items() if k not in ("columns", "vintage")], sort_keys=True)
+
 
 def _jdbc(spark: SparkSession, side: Side) -> DataFrame:
     """Partitioned reads where options name partitionColumn, lowerBound, upperBound and numPartitions."""
     return spark.read.format("jdbc").options(**{"fetchsize": "5000", "dbtable": side.table} | side.options).load()
 
 
+def _block(spark: SparkSession, side: Side) -> str:
+    """The block of the SQL file `table` that is named by the option `block`, or like the side."""
+    blocks = parse_sql_file("\n".join(r.value for r in spark.read.text(side.table).collect()))
+    name = side.options.get("block", side.name)
+    if name not in blocks:
+        raise ValueError(f"{side.table} has no block {name!r}; it has {', '.join(blocks)}")
+    return blocks[name]
+
+
 _READERS: dict[str, Callable[[SparkSession, Side], DataFrame]] = {
     "parquet": lambda spark, side: spark.read.options(**side.options).parquet(side.table),
     "csv": lambda spark, side: read_text_csv(spark, side.table),
     "table": lambda spark, side: spark.table(side.table),
     "sql": lambda spark, side: spark.sql(side.table),
+    "sqlfile": lambda spark, side: spark.sql(_block(spark, side)),
     "jdbc": _jdbc,
 }
 

@@ -19,7 +19,7 @@ from ledgerline.operators.rowcount import keep_last
 # Schemas and keys of the stored tables.
 TABLES = {
     "row_counts": ("source_table string, dt string, row_count bigint", ["source_table", "dt"]),
-    "col_stats": ("source_table string, column_name string, dt string, col_type string, n_total bigint, n_missing bigint, n_unique bigint, mean double, std double, min_val string, max_val string, top_10 string, vintage_label string", ["source_table", "column_name", "dt"]),
+    "col_stats": ("source_table string, column_name string, dt string, col_type string, n_total bigint, n_missing bigint, n_unique bigint, mean double, std double, min_val string, max_val string, top_10 string, vintage_label string, fingerprint string", ["source_table", "column_name", "dt"]),
     "column_meta": ("source_table string, column_name string, data_type string, source string", ["source_table", "column_name"]),
     "metadata": ("source_table string, source string, date_var string, date_format string, vintage string, row_count_total bigint, min_date_loaded string, max_date_loaded string", ["source_table"]),
     "history": ("id bigint, sql string, seconds double, rows bigint, status string, note string, engine string, conn string, error string, at timestamp", ["id"]),
