@@ -17,7 +17,8 @@ from ledgerline.functions import predicates as P
 from ledgerline.functions import scalars as S
 from ledgerline.functions.datetypes import DateColumn
 from ledgerline.functions.intervals import DaySet
-from ledgerline.operators import diff, mapping, profile, reconcile, rowcount
+from ledgerline.operators import diff, mapping, profile, reconcile, rowcount, states
+from ledgerline.operators.digests import digest_diff
 from ledgerline.plans.runner import Outcome, run_project
 from ledgerline.plans.spec import Project
 from ledgerline.session import new_folder
@@ -172,6 +173,48 @@ query("p_inferred_types", "SELECT CASE WHEN avg(CASE WHEN try_cast(CAST(o_totalp
     lambda spark, d: table(spark, d, "orders").select(F.col("o_totalprice").cast("string").alias("o_totalprice"), "o_orderpriority", F.when(F.col("o_orderkey") % 11 == 0, "n/a").otherwise(F.col("o_orderkey").cast("string")).alias("mostly")).agg(*[profile.inferred_type(F.col(c)).alias(c) for c in ("o_totalprice", "o_orderpriority", "mostly")])
 )
 
+# --- profiles that add up ---
+
+
+def state_out(merged: DataFrame) -> DataFrame:
+    """What is exact in the statistics of states: means and deviations as sums in cents and rounded."""
+    p = states.stats_of(merged)
+    return p.select("column_name", "dt", "n_total", "n_missing", F.round(F.col("mean") * (F.col("n_total") - F.col("n_missing")), 2).alias("total"), F.round("std", 4).alias("std"), *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("min_val", "max_val")])
+
+
+def state_sql(source: str, columns: list[str], dt: str) -> str:
+    one = "SELECT '{c}' AS column_name, {dt} AS dt, count(*) AS n_total, count(*) - count({c}) AS n_missing, round(sum(CAST({c} AS DOUBLE)), 2) AS total, round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min_val, round(CAST(max({c}) AS DOUBLE), 4) AS max_val FROM {source} GROUP BY ALL"
+    return " UNION ALL ".join(one.format(c=c, dt=dt, source=source) for c in columns)
+
+
+_SUMMABLE = ["o_totalprice", "o_custkey"]
+
+
+def day_states(spark, d) -> DataFrame:
+    return states.profile_states(gaps(table(spark, d, "orders")), "o_orderdate", "day", _SUMMABLE)
+
+
+for _v in ("month", "quarter", "all"):
+    query(f"p_states_{_v}", state_sql(GAPS, _SUMMABLE, _trunc("o_orderdate", _v)))(lambda spark, d, v=_v: state_out(states.merged_states(day_states(spark, d), v)))
+
+
+@query("p_states_increment", state_sql(GAPS, _SUMMABLE, _trunc("o_orderdate", "month")))
+def p_states_increment(spark, d):
+    """Months from three increments of the table, each profiled by itself."""
+    orders = gaps(table(spark, d, "orders"))
+    parts = [states.profile_states(orders.where(F.col("o_orderkey") % 3 == i), "o_orderdate", "month", _SUMMABLE) for i in range(3)]
+    return state_out(states.merged_states(reduce(DataFrame.unionByName, parts), "month"))
+
+
+@query("p_states_distinct", f"SELECT column_name, dt, TRUE AS close FROM ({numeric_sql(GAPS, _SUMMABLE, _trunc('o_orderdate', 'year'))}) UNION ALL SELECT 'o_orderpriority', {_trunc('o_orderdate', 'year')}, TRUE FROM orders GROUP BY 2")
+def p_states_distinct(spark, d):
+    """Whether distinct counts of merged day states are within five standard errors of the exact ones."""
+    orders, columns = gaps(table(spark, d, "orders")), [*_SUMMABLE, "o_orderpriority"]
+    estimated = states.stats_of(states.merged_states(states.profile_states(orders, "o_orderdate", "day", columns), "year")).select("column_name", "dt", F.col("n_unique").alias("estimate"))
+    exact = profile.profile(orders.select("o_orderdate", *columns), "o_orderdate", "year").select("column_name", "dt", "n_unique")
+    return estimated.join(exact, ["column_name", "dt"]).select("column_name", "dt", (F.abs(F.col("estimate") - F.col("n_unique")) <= 0.08 * F.col("n_unique")).alias("close"))
+
+
 # --- row reconciliation ---
 
 _COMPARED = f"""
@@ -307,6 +350,9 @@ query("r_keyed_examples", f"WITH {_KEYED} SELECT * FROM (SELECT 'o_orderpriority
 query("r_keyed_diff_composite", "WITH r AS (SELECT * FROM lineitem WHERE l_orderkey % 41 <> 0) SELECT count(*) FILTER (WHERE r.l_orderkey IS NOT NULL AND l.l_orderkey IS NOT NULL) AS matched, count(*) FILTER (WHERE r.l_orderkey IS NULL) AS only_left, count(*) FILTER (WHERE l.l_orderkey IS NULL) AS only_right, count(*) FILTER (WHERE l.l_returnflag <> r.l_returnflag) AS total_mismatches, CAST((count(*) FILTER (WHERE l.l_returnflag <> r.l_returnflag) > 0) AS BIGINT) AS cols_with_mismatches FROM lineitem l FULL JOIN r ON l.l_orderkey = r.l_orderkey AND l.l_linenumber = r.l_linenumber")(
     lambda spark, d: diff.keyed_diff(table(spark, d, "lineitem"), table(spark, d, "lineitem").where("l_orderkey % 41 <> 0"), ["l_orderkey", "l_linenumber"], ["l_returnflag"]).summary()
 )
+_DIGESTED = "SELECT count(*) FILTER (WHERE lk IS NOT NULL AND rk IS NOT NULL) AS matched, count(*) FILTER (WHERE rk IS NULL) AS only_left, count(*) FILTER (WHERE lk IS NULL) AS only_right, count(*) FILTER (WHERE lp <> rp) + count(*) FILTER (WHERE lt <> rt) AS total_mismatches, CAST((count(*) FILTER (WHERE lp <> rp) > 0) AS BIGINT) + CAST((count(*) FILTER (WHERE lt <> rt) > 0) AS BIGINT) AS cols_with_mismatches FROM j"
+query("r_digest_diff", f"WITH {_KEYED} {_DIGESTED}")(lambda spark, d: digest_diff(*sides(spark, d), ["o_orderkey"], ["o_orderpriority", "o_totalprice", "absent"]).summary())
+query("r_digest_columns", f"WITH {_KEYED} SELECT 'o_orderpriority' AS column_name, count(*) FILTER (WHERE lp <> rp) AS mismatches FROM j UNION ALL SELECT 'o_totalprice', count(*) FILTER (WHERE lt <> rt) FROM j")(lambda spark, d: digest_diff(*sides(spark, d), ["o_orderkey"], ["o_orderpriority", "o_totalprice"]).by_column())
 query("r_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")(lambda spark, d: diff.repeated_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]))
 
 

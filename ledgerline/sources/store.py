@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.rowcount import keep_last
+from ledgerline.operators.states import STATE, merged_states
 
 # Schemas and keys of the stored tables.
 TABLES = {
     "row_counts": ("source_table string, dt string, row_count bigint", ["source_table", "dt"]),
     "col_stats": ("source_table string, column_name string, dt string, col_type string, n_total bigint, n_missing bigint, n_unique bigint, mean double, std double, min_val string, max_val string, top_10 string, vintage_label string, fingerprint string", ["source_table", "column_name", "dt"]),
+    "profile_states": (f"source_table string, {STATE}", ["source_table", "column_name", "dt"]),
     "column_meta": ("source_table string, column_name string, data_type string, source string", ["source_table", "column_name"]),
     "metadata": ("source_table string, source string, date_var string, date_format string, vintage string, row_count_total bigint, min_date_loaded string, max_date_loaded string", ["source_table"]),
     "history": ("id bigint, sql string, seconds double, rows bigint, status string, note string, engine string, conn string, error string, at timestamp", ["id"]),
@@ -154,6 +156,11 @@ class Store:
         self._put(table, there.where(~gone), None, number, folders)
         return True
 
+    def add_states(self, source_table: str, states: DataFrame, vintage: str = "day") -> None:
+        """Add the states of further rows to those of a source table: buckets that are there already are merged, none is computed from rows again."""
+        there = self.read("profile_states").where(F.col("source_table") == source_table).drop("source_table")
+        self.replace("profile_states", source_table, merged_states(there.unionByName(states), vintage).withColumn("source_table", F.lit(source_table)))
+
     def patch(self, source_table: str, **values: object) -> None:
         """Set the named fields of a table's metadata; others stay."""
         rows = self.read("metadata")
