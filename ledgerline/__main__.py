@@ -1,4 +1,4 @@
-"""python -m ledgerline: profile, compare-row, compare-col, diff, run. Results go to the screen, or with --out to a folder as CSV."""
+"""python -m ledgerline: profile, compare-row, compare-col, diff, run; load-row, load-col, sql and history on a store. Results go to the screen, or with --out to a folder as CSV."""
 
 from __future__ import annotations
 
@@ -6,16 +6,18 @@ import argparse
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerline.functions.datetypes import DateColumn
 from ledgerline.operators.diff import keyed_diff
 from ledgerline.operators.profile import profile
-from ledgerline.operators.reconcile import compare_profiles, compare_rows, pass_fail
-from ledgerline.operators.rowcount import row_counts
-from ledgerline.plans.runner import run_project
+from ledgerline.operators.reconcile import compare_profiles, compare_rows, pass_fail, pass_fail_rows
+from ledgerline.operators.rowcount import canonical, row_counts
+from ledgerline.plans.report import top_lines
+from ledgerline.plans.runner import run_project, store_sql
 from ledgerline.plans.spec import Project
 from ledgerline.session import session
-from ledgerline.sources.readers import Side, read_side
+from ledgerline.sources.readers import Side, read_profile, read_row_counts, read_side
 from ledgerline.sources.store import Store
 
 
@@ -37,9 +39,35 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("project")
     run.add_argument("--store")
     run.add_argument("--out")
+    for name in ("load-row", "load-col"):
+        p = commands.add_parser(name)
+        p.add_argument("store")
+        p.add_argument("name")
+        p.add_argument("path")
+    p = commands.add_parser("sql")
+    p.add_argument("store")
+    p.add_argument("query")
+    p.add_argument("--limit", type=int, default=200)
+    p = commands.add_parser("history")
+    p.add_argument("store")
+    p.add_argument("--limit", type=int, default=50)
     return top
 
 
+def _on_store(args: argparse.Namespace, store: Store) -> None:
+    """Commands on a store: series and profiles from CSV files go in, queries over its tables come out."""
+    if args.command == "load-row":
+        store.upsert("row_counts", canonical(read_row_counts(store.spark, args.path)).withColumn("source_table", F.lit(args.name)))
+        store.backfill()
+    elif args.command == "load-col":
+        store.upsert("col_stats", read_profile(store.spark, args.path).withColumn("source_table", F.lit(args.name)))
+    elif args.command == "history":
+        store.history(args.limit).show(args.limit, truncate=60)
+    else:
+        for row in store_sql(store, args.query, args.limit):
+            print("\t".join("" if v is None else str(v) for v in row))
+
+
 def _show(rows: DataFrame, out: str | None, name: str) -> None:
     if out:
         rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
@@ -50,12 +78,20 @@ def _show(rows: DataFrame, out: str | None, name: str) -> None:
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = session()
+    if args.command in ("load-row", "load-col", "sql", "history"):
+        _on_store(args, Store(spark, args.store))
+        return
     if args.command == "run":
         project = Project.from_json(Path(args.project).read_text())
         for name, outcome in run_project(spark, project, Store(spark, args.store) if args.store else None).items():
             _show(outcome.rows.where("status <> 'match'").orderBy("dt"), args.out, f"{name}-rows")
+            for warning in outcome.warnings():
+                print(f"WARNING {warning}")
             if outcome.columns is not None:
-                _show(pass_fail(outcome.columns), args.out, f"{name}-columns")
+                daily = outcome.pair.vintage in ("day", "week")
+                _show((pass_fail_rows if daily else pass_fail)(outcome.columns), args.out, f"{name}-columns")
+                for line in top_lines(outcome.columns):
+                    print(line)
             outcome.release()
         return
     names = [c for c in args.columns.split(",") if c]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import bucket_text, vintage_label
-from ledgerline.functions.scalars import match_key
+from ledgerline.functions.scalars import match_key, parse_top
 
 COUNTS = ["n_total", "n_missing", "n_unique"]
 MATCHED = {"mean": "m", "std": "s", "min_val": "mn", "max_val": "mx"}
@@ -93,7 +93,7 @@ def compare_profiles(left: DataFrame, right: DataFrame, mapping: dict[str, str]
     """Two profiles side by side, by (mapped) column and bucket: counts with differences, the other statistics with whether they match.
 
     mapping: left column -> right column (default: same name). matched: days (dt) to which the comparison is kept, by their buckets.
-    A statistic that one side lacks matches neither way (null).
+    A statistic that one side lacks matches neither way (null). top_10_match: whether the most frequent values agree, with their counts, in whatever order and spelling of the list; it is shown, and has no part in has_diff.
     """
     spark = left.sparkSession
     stats = [*COUNTS, *MATCHED, "top_10", "col_type"]
@@ -110,7 +110,8 @@ def compare_profiles(left: DataFrame, right: DataFrame, mapping: dict[str, str]
     override = F.get(F.transform(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in (overrides or {"": ""}).items()]), lambda o: o["k"] == F.col("left_col")), lambda o: o["v"]), 0)
     keys = {c: (match_key(F.col(f"{c}_left").cast("string"), p), match_key(F.col(f"{c}_right").cast("string"), p)) for c, p in MATCHED.items()}
     both = both.withColumns({"vintage_label": vintage_label(F.col("dt"), vintage), "col_type": resolved_type(F.col("col_type_left"), F.col("col_type_right"), override)} | {f"{c}_diff": F.col(f"{c}_right") - F.col(f"{c}_left") for c in COUNTS} | {f"{c.removesuffix('_val')}_match": a == b for c, (a, b) in keys.items()})
-    return both.withColumns({"has_diff": has_diff(), "worst": worst_stat()})
+    tops = [F.array_sort(F.map_entries(parse_top(F.col(f"top_10_{x}")))) for x in ("left", "right")]
+    return both.withColumns({"has_diff": has_diff(), "worst": worst_stat(), "top_10_match": tops[0] == tops[1]})
 
 
 def has_diff() -> Column:
@@ -155,9 +156,16 @@ def pair_summary(compared: DataFrame, left_columns: list[str], right_columns: li
     return out.crossJoin(compared.agg(F.count_distinct("dt").alias("n_vintages")))  # one row each
 
 
-def pass_fail(compared: DataFrame) -> DataFrame:
-    """One row per column, one field per vintage: PASS, or the worst statistic of what differs; buckets in order of time."""
-    labels = [r.vintage_label for r in compared.groupBy("vintage_label").agg(F.min("dt").alias("dt")).orderBy("dt").collect()]
+def pass_fail_rows(compared: DataFrame) -> DataFrame:
+    """(left_col, vintage_label, result): PASS, or FAIL and the worst statistic of what differs, however many buckets there are."""
+    return compared.select("left_col", "vintage_label", F.when(F.col("has_diff"), F.concat(F.lit("FAIL "), "worst")).otherwise("PASS").alias("result"))
+
+
+def pass_fail(compared: DataFrame, most: int = 500) -> DataFrame:
+    """One row per column, one field per vintage: PASS, or the worst statistic of what differs; buckets in order of time. More than `most` buckets are an error: pass_fail_rows() has them as rows."""
+    labels = [r.vintage_label for r in compared.groupBy("vintage_label").agg(F.min("dt").alias("dt")).orderBy("dt").limit(most + 1).collect()]
+    if len(labels) > most:
+        raise ValueError(f"more than {most} buckets make too wide a table; take a coarser vintage or pass_fail_rows()")
     cell = F.first(F.when(F.col("has_diff"), F.concat(F.lit("FAIL "), "worst")).otherwise("PASS"))
     return compared.groupBy("left_col").pivot("vintage_label", labels).agg(cell)
 

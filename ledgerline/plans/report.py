@@ -5,7 +5,9 @@ from __future__ import annotations
 from html import escape
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ledgerline.functions.scalars import parse_top
 from ledgerline.operators.reconcile import row_summary
 
 
@@ -49,6 +51,17 @@ def column_html(compared: DataFrame, title: str, vintages: int = 3) -> str:
     return f"<section><h2>{escape(title)}</h2><p class='{'diff' if found else 'ok'}'>{f'{len(found)} columns differ' if found else 'all columns match'}</p><ul>{items}</ul></section>"
 
 
+def top_lines(compared: DataFrame, shown: int = 10) -> list[str]:
+    """The most frequent values of the columns and buckets in which they don't agree, both sides in one line each: value: left count, right count. In order of the larger count."""
+    rows = compared.where("not top_10_match").select("left_col", "dt", "vintage_label", parse_top(F.col("top_10_left")).alias("l"), parse_top(F.col("top_10_right")).alias("r")).orderBy("left_col", "dt").collect()
+    out = []
+    for r in rows:
+        out.append(f"TOP   {r.left_col} {r.vintage_label}")
+        both = sorted({*r.l, *r.r}, key=lambda v: (-max(r.l.get(v, 0), r.r.get(v, 0)), v))
+        out += [f"      {v}: {r.l.get(v, '-')}, {r.r.get(v, '-')}" for v in both[:shown]]
+    return out
+
+
 def log_lines(compared: DataFrame) -> list[str]:
     """MATCH or DIFF per column and bucket."""
     rows = compared.select("left_col", "right_col", "dt", "vintage_label", "has_diff", "worst").orderBy("left_col", "dt").collect()

@@ -221,3 +221,16 @@ def timed_sql(spark: SparkSession, sql: str, limit: int = 200) -> tuple[list, fl
         raise ValueError("only queries that read are run")
     began = time.monotonic()
     return spark.sql(sql).limit(limit).collect(), time.monotonic() - began
+
+
+def store_sql(store: Store, sql: str, limit: int = 200, note: str = "") -> list:
+    """Rows of a query over the store's tables, which are views of their names in it; the query, its time and, if it fails, its error are added to the store's history."""
+    store.views()
+    began = time.monotonic()
+    try:
+        rows, seconds = timed_sql(store.spark, sql, limit)
+    except Exception as e:
+        store.note(sql, time.monotonic() - began, None, "error", note, error=str(e).splitlines()[0] if str(e) else type(e).__name__)
+        raise
+    store.note(sql, seconds, len(rows), "ok", note)
+    return rows

@@ -599,6 +599,10 @@ query("x_top10_json", "SELECT o_orderpriority AS key, count(*) AS value FROM ord
     lambda spark, d: table(spark, d, "orders").groupBy("o_orderpriority").count().agg(F.to_json(F.collect_list(F.array("o_orderpriority", F.col("count").cast("string")))).alias("j")).select(F.explode(S.parse_top(F.col("j")))).select("key", "value")
 )
 
+query("x_top10_compare", f"WITH a AS ({categorical_sql('orders', ['o_orderpriority'], _MONTH)}), b AS ({categorical_sql(RIGHT, ['o_orderpriority'], _MONTH)}) SELECT a.dt, a.top_10 = b.top_10 AS same FROM a JOIN b USING (dt)")(
+    lambda spark, d: reconcile.compare_profiles(*[profile.categorical_profile(s, ["o_orderpriority"], "o_orderdate", "month") for s in sides(spark, d)], vintage="month").select("dt", F.col("top_10_match").alias("same"))
+)
+
 # --- mapping and metadata ---
 
 

@@ -2,7 +2,7 @@
 
 A table is a folder of data folders and of numbered commits; the last commit lists the data folders that make it up, and which source tables of each are alive. A write puts
 new rows into a new data folder and then creates the next commit, which only one writer can; until then readers see the table as it was. Writes touch the
-source tables they are about, and no others.
+source tables they are about, and no others: a writer that comes second follows the first, if that one wrote about other source tables, and else gives up (Conflict). Earlier commits can be read until vacuum() deletes them.
 """
 
 from __future__ import annotations
@@ -47,13 +47,21 @@ class Store:
     def _at(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
+    def _numbers(self, table: str) -> list[int]:
+        folder = self._at(table, "commits")
+        return [int(f.getPath().getName()) for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+
+    def _folders(self, table: str, number: int) -> dict[str, list[str] | None]:
+        return json.loads("".join(r.value for r in self.spark.read.text(str(self._at(table, "commits", f"{number:012d}"))).collect()))
+
     def _last(self, table: str) -> tuple[int, dict[str, list[str] | None]]:
         """The last commit: its number, and data folder -> the source tables of it that are alive (None: all)."""
-        folder = self._at(table, "commits")
-        numbers = [int(f.getPath().getName()) for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        if not numbers:
-            return 0, {}
-        return max(numbers), json.loads("".join(r.value for r in self.spark.read.text(str(self._at(table, "commits", f"{max(numbers):012d}"))).collect()))
+        number = max(self._numbers(table), default=0)
+        return number, self._folders(table, number) if number else {}
+
+    def versions(self, table: str) -> list[int]:
+        """The numbers of the commits that can be read."""
+        return sorted(self._numbers(table))
 
     def _commit(self, table: str, number: int, folders: dict[str, list[str] | None]) -> None:
         try:
@@ -71,8 +79,29 @@ class Store:
             parts.append(rows if alive is None else rows.where(F.col("source_table").isin(alive)))
         return reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], schema)
 
-    def read(self, table: str) -> DataFrame:
-        return self._read(table, self._last(table)[1])
+    def read(self, table: str, at: int | None = None) -> DataFrame:
+        """A table as it is, or as it was after the commit `at` (0: before the first); a commit that isn't there (any more) is an error."""
+        if at is not None and at and at not in self._numbers(table):
+            raise ValueError(f"{table} has no commit {at}")
+        return self._read(table, self._last(table)[1] if at is None else self._folders(table, at) if at else {})
+
+    def views(self) -> None:
+        """All tables as temporary views of their names, as they are now."""
+        for table in TABLES:
+            self.read(table).createOrReplaceTempView(table)
+
+    @staticmethod
+    def _changed(before: dict[str, list[str] | None], after: dict[str, list[str] | None]) -> set[str] | None:
+        """The source tables in which two commits differ; None: this can't be told."""
+        out: set[str] = set()
+        for folder in {*before, *after}:
+            a, z = before.get(folder, []), after.get(folder, [])
+            if a == z:
+                continue
+            if a is None or z is None:
+                return None
+            out |= set(a) ^ set(z)
+        return out
 
     def _put(self, table: str, rows: DataFrame, instead_of: list[str] | None, number: int, folders: dict[str, list[str] | None]) -> None:
         """Add rows in place of all rows of the given source tables (None: of all)."""
@@ -81,8 +110,17 @@ class Store:
         names = None
         if "source_table" in rows.columns:
             names = [r[0] for r in self.spark.read.schema(TABLES[table][0]).parquet(str(self._at(table, new))).select("source_table").distinct().collect()]
-        left = {} if instead_of is None else {f: rest for f, alive in folders.items() if (rest := alive and [x for x in alive if x not in instead_of])}
-        self._commit(table, number, left | {new: names})
+        while True:
+            left = {} if instead_of is None else {f: rest for f, alive in folders.items() if (rest := alive and [x for x in alive if x not in instead_of])}
+            try:
+                return self._commit(table, number, left | {new: names})
+            except Conflict:
+                # another was first: where it wrote about other source tables, this write follows it
+                number, now = self._last(table)
+                changed = self._changed(folders, now)
+                if instead_of is None or names is None or changed is None or changed & {*instead_of, *names}:
+                    raise
+                folders = now
 
     def _touch(self, table: str, rows: DataFrame, change) -> None:
         """Put change(rows there are) in place of the rows of those source tables that rows are about."""
