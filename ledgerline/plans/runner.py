@@ -19,7 +19,8 @@ from ledgerline.operators.profile import profile
 from ledgerline.operators.reconcile import compare_profiles, compare_rows
 from ledgerline.operators.rowcount import daily_series, sample_dates
 from ledgerline.plans.spec import Pair, Project
-from ledgerline.sources.readers import Side, read_side
+from ledgerline.sources.readers import Side, read_side, shaped
+from ledgerline.sources.shares import read_shares
 from ledgerline.sources.store import Store
 
 
@@ -179,7 +180,7 @@ def _resumed(store: Store, rows: DataFrame, side: Side, columns: list[str], vint
 
 def run_project(spark: SparkSession, project: Project, store: Store | None = None, seed: int | None = None) -> dict[str, Outcome]:
     """All pairs but those to be skipped, by name. Sides that pairs share, filters and dates included, are read as one plan with the columns of all; steps and their seconds go to the store's timing, those of a pair that fails too."""
-    tables = {s.rows_key: read_side(spark, s) for s in project.sides()}
+    tables = {s.rows_key: _read(spark, s, store) for s in project.sides()}
     seed = project.settings.get("seed", 2025) if seed is None else seed
     out: dict[str, Outcome] = {}
     for pair in project.pairs:
@@ -201,6 +202,15 @@ def run_project(spark: SparkSession, project: Project, store: Store | None = Non
     return out
 
 
+def _read(spark: SparkSession, side: Side, store: Store | None) -> DataFrame:
+    """A side's rows. A database's table with the option `shares` is read in so many partitions of equal rows, once the store has its daily counts."""
+    if side.source == "jdbc" and side.options.get("shares") and store and side.date_col:
+        series = store.read("row_counts").where(F.col("source_table") == side.qualified)
+        if not series.isEmpty():
+            return shaped(spark, side, read_shares(spark, side, series, int(side.options["shares"])))
+    return read_side(spark, side)
+
+
 def only_reads(spark: SparkSession, sql: str) -> bool:
     """Whether a query's parsed plan holds no command and no statement that writes; those that show or describe are allowed."""
     kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{n}") for n in ("Command", "ParsedStatement")]

@@ -64,7 +64,7 @@ class Side:
 
 def _jdbc(spark: SparkSession, side: Side) -> DataFrame:
     """Partitioned reads where options name partitionColumn, lowerBound, upperBound and numPartitions."""
-    return spark.read.format("jdbc").options(**{"fetchsize": "5000", "dbtable": side.table} | side.options).load()
+    return spark.read.format("jdbc").options(**{"fetchsize": "5000", "dbtable": side.table} | {k: v for k, v in side.options.items() if k != "shares"}).load()
 
 
 def _block(spark: SparkSession, side: Side) -> str:
@@ -95,7 +95,11 @@ def read_side(spark: SparkSession, side: Side) -> DataFrame:
     """A side's rows: read, derived by `processed`, filtered by `where`, projected to its columns (and the date)."""
     if side.source not in _READERS:
         raise ValueError(f"unknown source {side.source!r} of {side.name}")
-    rows = _READERS[side.source](spark, side)
+    return shaped(spark, side, _READERS[side.source](spark, side))
+
+
+def shaped(spark: SparkSession, side: Side, rows: DataFrame) -> DataFrame:
+    """Rows of a side's source, derived, filtered and projected as the side has it."""
     if side.processed:
         rows = _derived(spark, side, rows)
     if side.where:
