@@ -21,12 +21,10 @@ def format_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, label, n, first_over, second_over): how many values each spelling has; under the spellings of two numbers and a year, and a sign between, how many have a first, and a second number over 12.
     label is null for what can't be read; null and blank values have the label `blank`. Counts of several tables add up."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column_name", "value")
-    v = _clean(F.col("value"))
-    part = lambda i: F.regexp_extract(v, _NUMBERED, i)
-    numbered = v.rlike(_NUMBERED)
-    label = F.when(F.coalesce(F.length(v), F.lit(0)) == 0, "blank").when(numbered, F.concat(F.lit("numbered "), part(2))).otherwise(detect_format(F.col("value")))
-    over = lambda i: F.count(F.when(numbered & (part(i).try_cast("int") > 12), 1))
-    return long.withColumn("label", label).groupBy("column_name", "label").agg(F.count("*").alias("n"), over(1).alias("first_over"), over(3).alias("second_over"))
+    rows = long.withColumn("v", _clean(F.col("value"))).withColumn("parts", F.when(F.col("v").rlike(_NUMBERED), F.split("v", "[/.-]")))
+    label = F.when(F.coalesce(F.length("v"), F.lit(0)) == 0, "blank").when(F.col("parts").isNotNull(), F.concat(F.lit("numbered "), F.regexp_extract("v", "([/.-])", 1))).otherwise(detect_format(F.col("v")))
+    over = lambda i: F.count(F.when(F.get("parts", F.lit(i)).try_cast("int") > 12, 1))
+    return rows.withColumn("label", label).groupBy("column_name", "label").agg(F.count("*").alias("n"), over(0).alias("first_over"), over(1).alias("second_over"))
 
 
 @dataclass(frozen=True)
@@ -43,9 +41,9 @@ class Learned:
     def day(self, value: Column) -> Column:
         """The date of a value of the column, read in the order that was learnt; where both orders occur, only values that allow one order."""
         v = _clean(value)
-        a, b, year = (F.regexp_extract(v, _NUMBERED, i).try_cast("int") for i in (1, 3, 4))
-        day_first = F.lit(self.day_first) if self.day_first is not None else F.when(a > 12, F.lit(True)).when(b > 12, F.lit(False))
-        number = F.when(day_first, F.format_string("%04d-%02d-%02d", year, b, a)).when(~day_first, F.format_string("%04d-%02d-%02d", year, a, b))
+        a, b, year = (F.lpad(F.regexp_extract(v, _NUMBERED, i), n, "0") for i, n in ((1, 2), (3, 2), (4, 4)))
+        day_first = F.lit(self.day_first) if self.day_first is not None else F.when(a > "12", F.lit(True)).when(b > "12", F.lit(False))
+        number = F.when(day_first, F.concat_ws("-", year, b, a)).when(~day_first, F.concat_ws("-", year, a, b))
         return F.when(v.rlike(_NUMBERED), F.try_to_date(number, "yyyy-MM-dd")).otherwise(F.try_to_date(parse_date(value), "yyyy-MM-dd"))
 
     def written(self, day: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates as D
+from ledgerline.functions import learning
 from ledgerline.functions import predicates as P
 from ledgerline.functions import scalars as S
 from ledgerline.functions.datetypes import DateColumn
@@ -603,6 +604,32 @@ query("x_top10_compare", f"WITH a AS ({categorical_sql('orders', ['o_orderpriori
     lambda spark, d: reconcile.compare_profiles(*[profile.categorical_profile(s, ["o_orderpriority"], "o_orderdate", "month") for s in sides(spark, d)], vintage="month").select("dt", F.col("top_10_match").alias("same"))
 )
 
+
+
+def written_columns(spark, d) -> DataFrame:
+    """The days of orders in columns whose spelling only the whole column tells; in one of them every tenth value is no date."""
+    day = F.to_date("o_orderdate")
+    us, eu = F.date_format(day, "MM/dd/yyyy"), F.date_format(day, "dd/MM/yyyy")
+    return table(spark, d, "orders").select(us.alias("us"), eu.alias("eu"), F.when(F.col("o_orderkey") % 10 == 0, "n/a").otherwise(D.write_date(day, "DDMONYYYY")).alias("mon"), F.when(F.col("o_orderkey") % 2 == 0, us).otherwise(eu).alias("both"))
+
+
+@query("x_learn_formats", "SELECT 'us' AS column_name, 'MM/DD/YYYY' AS label, count(*) AS n, CAST(0 AS BIGINT) AS unread FROM orders UNION ALL SELECT 'eu', 'DD/MM/YYYY', count(*), 0 FROM orders UNION ALL SELECT 'mon', 'DDMONYYYY', count(*) FILTER (WHERE o_orderkey % 10 <> 0), count(*) FILTER (WHERE o_orderkey % 10 = 0) FROM orders UNION ALL SELECT 'both', 'mixed order', count(*), 0 FROM orders")
+def x_learn_formats(spark, d):
+    rows = written_columns(spark, d)
+    found = learning.learn_formats(learning.format_counts(rows, rows.columns))
+    return spark.createDataFrame([(c, label, n, x.unread) for c, x in found.items() for label, n in x.shares.items()], "column_name string, label string, n bigint, unread bigint")
+
+
+@query("x_learned_dates", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS dt, count(*) AS n, count(*) AS eu, count(*) FILTER (WHERE o_orderkey % 10 <> 0) AS mon, count(*) AS back FROM orders GROUP BY 1")
+def x_learned_dates(spark, d):
+    """Dates read as their column is spelled, and written back: of each day how many rows agree."""
+    rows = written_columns(spark, d)
+    found = learning.learn_formats(learning.format_counts(rows, rows.columns))
+    us = found["us"].day(F.col("us"))
+    same = lambda c: F.count(F.when(found[c].day(F.col(c)) == us, 1)).alias(c)
+    return rows.groupBy(us.cast("string").alias("dt")).agg(F.count("*").alias("n"), same("eu"), same("mon"), F.count(F.when(found["eu"].written(us) == F.col("eu"), 1)).alias("back"))
+
+
 # --- mapping and metadata ---
 
 
