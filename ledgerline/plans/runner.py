@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
@@ -53,18 +54,51 @@ def bounded(rows: DataFrame, side: Side, pair: Pair) -> DataFrame:
     return rows.where(side.dated.between(pair.first, pair.last)) if side.dated and (pair.first or pair.last) else rows
 
 
-def run_pair(spark: SparkSession, pair: Pair, seed: int = 2025, store: Store | None = None, tables: dict[str, DataFrame] | None = None, exact: bool = True) -> Outcome:
+class Shared:
+    """What the pairs of a project have in common: tables by Side.rows_key, daily counts by side and bounds, and profiles by side, days and vintage with the columns of all pairs, each made once."""
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        self.tables = tables
+        self.columns: dict[str, dict[str, str | None]] = {}
+        self._kept: dict[tuple, DataFrame] = {}
+
+    def ask(self, side: Side, columns: list[str], overrides: dict[str, str]) -> None:
+        """Note that a pair profiles columns of a side. Where pairs give one column different types, each keeps to its own columns."""
+        own = self.columns.setdefault(side.rows_key, {})
+        for c in columns:
+            own[c] = overrides.get(c) if own.get(c, overrides.get(c)) == overrides.get(c) else "both"
+
+    def columns_of(self, side: Side, columns: list[str], overrides: dict[str, str]) -> tuple[list[str], dict[str, str]]:
+        """The columns to profile, and their types, for a pair that needs the given ones."""
+        asked = self.columns.get(side.rows_key, {})
+        if "both" in asked.values():
+            return columns, overrides
+        every = sorted({*columns, *asked})
+        return every, {c: k for c, k in asked.items() if k} | {c: overrides[c] for c in columns if c in overrides}
+
+    def once(self, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self._kept:
+            self._kept[key] = make().persist()
+        return self._kept[key]
+
+    def release(self) -> None:
+        for df in self._kept.values():
+            df.unpersist()
+
+
+def run_pair(spark: SparkSession, pair: Pair, seed: int = 2025, store: Store | None = None, shared: Shared | None = None, exact: bool = True) -> Outcome:
     """Both comparisons of a pair. Days that don't match, or are in exclude_dates or ignore_rows, are left out of the profiles; sample@N profiles N matching days together.
 
     A date that can't be read counts for no day: such rows are counted (Outcome.undated). Months (YYYYMM) are compared as they are, and profiled in buckets of their days.
     Columns are mapped by the pair's own mapping, else by the stored one of the two tables (either way round) and by name, and what is left by the pair's rules.
     store: where series, profiles, matching days, mappings and samples go; a sample that is there already is used again, and only buckets are profiled whose stored profile is of other filters, days or counts
-    (all, with the mode `full`). tables: what has been read already, by Side.rows_key. exact: whether distinct counts of numbers are exact.
+    (all, with the mode `full`). shared: what the pairs of a project have in common. exact: whether distinct counts of numbers are exact.
     """
     took, began = {}, time.monotonic()
-    read = lambda s: tables[s.rows_key] if tables and s.rows_key in tables else read_side(spark, s)
-    left, right = (bounded(read(s), s, pair) for s in (pair.left, pair.right))
-    daily = [daily_series(rows, s.dated).persist() for rows, s in ((left, pair.left), (right, pair.right))]
+    alone = shared is None
+    shared = shared or Shared({s.rows_key: read_side(spark, s) for s in (pair.left, pair.right)})
+    left, right = (bounded(shared.tables[s.rows_key], s, pair) for s in (pair.left, pair.right))
+    daily = [shared.once((s.rows_key, pair.first, pair.last), lambda rows=rows, s=s: daily_series(rows, s.dated)) for rows, s in ((left, pair.left), (right, pair.right))]
     compared = compare_rows(*daily).persist()
     try:
         undated = {n: tuple(d.where("dt is null").agg(F.coalesce(F.sum(F.col("row_count") - F.col("with_date")), F.lit(0)), F.coalesce(F.sum("with_date"), F.lit(0))).first()) for n, d in zip(("left", "right"), daily, strict=True)}
@@ -74,12 +108,10 @@ def run_pair(spark: SparkSession, pair: Pair, seed: int = 2025, store: Store | N
         took["rows"] = time.monotonic() - began
         if store:
             _keep_rows(store, pair, compared, ignored)
-        mapping = _mapping(pair, left.columns, right.columns, store)
-        picked = [c for c in filter_columns(list(mapping), pair.include, pair.exclude) if c not in pair.ignore_columns and c != pair.left.date_col]
-        out = Outcome(pair, compared, None, None, None, took, matching, undated, {c: mapping[c] for c in picked})
-        if not picked:
+        out = Outcome(pair, compared, None, None, None, took, matching, undated, _picked(pair, left.columns, right.columns, store))
+        if not out.mapping:
             return out
-        profiles = _profiles(pair, (left, right), out.mapping, agreed, compared, seed, store, exact)
+        profiles = _profiles(pair, (left, right), out.mapping, agreed, compared, seed, store, shared, exact)
         took["columns"] = time.monotonic() - began - took["rows"]
         vintage = "all" if pair.vintage.startswith("sample@") else pair.vintage
         return replace(out, columns=compare_profiles(*profiles, out.mapping, vintage, None, pair.overrides), left_profile=profiles[0], right_profile=profiles[1])
@@ -87,8 +119,8 @@ def run_pair(spark: SparkSession, pair: Pair, seed: int = 2025, store: Store | N
         compared.unpersist()
         raise
     finally:
-        for d in daily:
-            d.unpersist()
+        if alone:
+            shared.release()
 
 
 def _keep_rows(store: Store, pair: Pair, compared: DataFrame, ignored: set[str]) -> None:
@@ -118,19 +150,32 @@ def _mapping(pair: Pair, left: list[str], right: list[str], store: Store | None)
     return mapping
 
 
-def _profiles(pair: Pair, sides: tuple[DataFrame, DataFrame], mapping: dict[str, str], agreed: dict[str, int], compared: DataFrame, seed: int, store: Store | None, exact: bool) -> list[DataFrame]:
+def _picked(pair: Pair, left: list[str], right: list[str], store: Store | None) -> dict[str, str]:
+    """The columns that are profiled, left -> right."""
+    mapping = _mapping(pair, left, right, store)
+    return {c: mapping[c] for c in filter_columns(list(mapping), pair.include, pair.exclude) if c not in pair.ignore_columns and c != pair.left.date_col}
+
+
+def _types(pair: Pair, mapping: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """The types that a pair gives columns, by their names on either side."""
+    return {c: k for c, k in pair.overrides.items() if c in mapping}, {to: pair.overrides[c] for c, to in mapping.items() if c in pair.overrides}
+
+
+def _profiles(pair: Pair, sides: tuple[DataFrame, DataFrame], mapping: dict[str, str], agreed: dict[str, int], compared: DataFrame, seed: int, store: Store | None, shared: Shared, exact: bool) -> list[DataFrame]:
     sampled, n = pair.vintage.startswith("sample@"), int(pair.vintage.partition("@")[2] or 0)
     vintage = "all" if sampled else pair.vintage
     sample = _sample(compared.where(F.col("dt").isin(sorted(agreed))), n, seed, pair, store) if sampled else None
     chosen = plan_filter(sorted(agreed), vintage, sample)
     out = []
-    for rows, side, columns in ((sides[0], pair.left, list(mapping)), (sides[1], pair.right, list(mapping.values()))):
-        overrides = pair.overrides if side is pair.left else {to: pair.overrides[c] for c, to in mapping.items() if c in pair.overrides}
+    for rows, side, own, types in zip(sides, (pair.left, pair.right), (list(mapping), list(mapping.values())), _types(pair, mapping), strict=True):
         by = side.dated if side.dated and vintage != "all" else None
+        columns, overrides = shared.columns_of(side, own, types)
         if store and by and not side.bucketed:
-            out.append(_resumed(store, rows, side, columns, vintage, pair, overrides, agreed, exact))
+            found = _resumed(store, rows, side, columns, vintage, pair, overrides, agreed, exact)
         else:
-            out.append(profile(chosen.apply(rows, side.dated) if side.dated else rows, by, vintage, columns, overrides, exact))
+            key = (side.rows_key, pair.first, pair.last, chosen, vintage, exact, tuple(columns), tuple(sorted(overrides.items())))
+            found = shared.once(key, lambda rows=rows, side=side, by=by, columns=columns, overrides=overrides: profile(chosen.apply(rows, side.dated) if side.dated else rows, by, vintage, columns, overrides, exact))
+        out.append(found.where(F.col("column_name").isin(own)) if columns != own else found)
     return out
 
 
@@ -179,8 +224,14 @@ def _resumed(store: Store, rows: DataFrame, side: Side, columns: list[str], vint
 
 
 def run_project(spark: SparkSession, project: Project, store: Store | None = None, seed: int | None = None) -> dict[str, Outcome]:
-    """All pairs but those to be skipped, by name. Sides that pairs share, filters and dates included, are read as one plan with the columns of all; steps and their seconds go to the store's timing, those of a pair that fails too."""
-    tables = {s.rows_key: _read(spark, s, store) for s in project.sides()}
+    """All pairs but those to be skipped, by name. Sides that pairs share, filters and dates included, are counted once and, for the same days, profiled once with the columns of all; these small results stay in memory while the outcomes are
+    used, and release() of any outcome's frames leaves them to Spark. Steps and their seconds go to the store's timing, those of a pair that fails too."""
+    shared = Shared({s.rows_key: _read(spark, s, store) for s in project.sides()})
+    for pair in project.pairs:
+        if not pair.skip:
+            mapping = _picked(pair, *(shared.tables[s.rows_key].columns for s in (pair.left, pair.right)), store)
+            for side, columns, types in zip((pair.left, pair.right), (list(mapping), list(mapping.values())), _types(pair, mapping), strict=True):
+                shared.ask(side, columns, types)
     seed = project.settings.get("seed", 2025) if seed is None else seed
     out: dict[str, Outcome] = {}
     for pair in project.pairs:
@@ -188,7 +239,7 @@ def run_project(spark: SparkSession, project: Project, store: Store | None = Non
             continue
         began, steps, status = datetime.now(UTC), {}, "ok"
         try:
-            out[pair.name] = run_pair(spark, pair, seed, store, tables, project.settings.get("exact", True))
+            out[pair.name] = run_pair(spark, pair, seed, store, shared, project.settings.get("exact", True))
             steps = out[pair.name].seconds
         except Exception as e:
             steps, status = {"failed": (datetime.now(UTC) - began).total_seconds()}, f"error: {str(e).splitlines()[0]}"

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.plans import runner
 from ledgerline.plans.runner import run_pair, run_project
 from ledgerline.plans.spec import Project
 from ledgerline.sources.store import Store
@@ -123,3 +124,24 @@ def test_sql_file_sources(spark, folder):
     assert {r.status for r in out.rows.collect()} == {"match"} and out.left_profile.count() == 2
     with pytest.raises(ValueError, match="no block 'nope'"):
         run_pair(spark, Project.from_json(json.dumps({"pairs": {"p": {"left": s | {"options": {"block": "nope"}}, "right": side(folder)}}})).pairs[0])
+
+
+def test_a_shared_table_is_read_once(spark, folder, monkeypatch):
+    """Three pairs that need different columns of one table: one count and one profile are made of it."""
+    made = []
+
+    class Counted(runner.Shared):
+        def __init__(self, tables):
+            super().__init__(tables)
+            made.append(self._kept)
+
+    monkeypatch.setattr(runner, "Shared", Counted)
+
+    def run(*pairs) -> int:
+        out = run_project(spark, project(folder, **{n: (side(folder), side(folder), {"col_filter": {"include": cs}} | more) for n, cs, more in pairs}))
+        assert [sorted(r.left_col for r in o.columns.select("left_col").distinct().collect()) for o in out.values()] == [cs for _, cs, _ in pairs]
+        return len(made[-1])
+
+    assert run(("a", ["k"], {}), ("b", ["id"], {}), ("c", ["k", "v"], {})) == 2
+    assert run(("a", ["k"], {}), ("b", ["v"], {"excludeDates": ["2024-02-01"]})) == 3  # other days
+    assert run(("a", ["k"], {}), ("b", ["k"], {"col_type_overrides": {"k": "categorical"}})) == 3  # other types
