@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 
+from ledgerline.llm import near
 from ledgerline.llm.near import Cell, near_texts, one_of_each
+from ledgerline.llm.simhash import links
 
 
 def shingles(text, k=5):
@@ -117,3 +120,22 @@ def test_rows_of_one_id_are_told_apart(spark):
     docs = spark.createDataFrame([(1, one), (1, two), (2, two + " end"), (3, three), (3, three), (3, three + " end"), (None, "a b"), (None, "c d")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.text) for r in near_copies(spark, docs, "").collect())
     assert len(got) == 5 and got[:2] == sorted([("1", one), ("1", two)]) and got[2][1].startswith(three) and [t for _, t in got[3:]] == ["a b", "c d"]
+
+
+@pytest.mark.parametrize("hot", [None, 1])
+def test_recall_on_documents(spark, monkeypatch, hot):
+    """Documents whose id is divisible by 20 against all: of the pairs at 0.8 or above by brute force at least 0.9 share a component, also where every variant that two share counts as crowded."""
+    if hot is not None:
+        monkeypatch.setattr(near, "links", lambda *args: links(*args, hot=hot))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: set(near.shingle_set(r.text.encode(), 5).tolist()) for r in docs.collect()}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    pairs = [(i, j) for i in sets if i % 20 == 0 for j in sets if i != j and sets[i] and alike(sets[i], sets[j])]
+    component = {r.doc_id: r.component_id for r in near.near_texts(docs).select("kept.doc_id", "component_id").collect()}
+    assert len(pairs) >= 5 and sum(component[i] == component[j] for i, j in pairs) >= 0.9 * len(pairs)
+    # and no component holds two that no chain of links joins: every member has a link within it
+    members: dict[int, list[int]] = {}
+    for i, c in component.items():
+        members.setdefault(c, []).append(i)
+    for own in members.values():
+        assert len(own) == 1 or all(any(i != j and (alike(sets[i], sets[j]) or not sets[i] and not sets[j]) for j in own) for i in own)
