@@ -11,12 +11,15 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ledgerline.llm.common import drop_written, written
 
+#: Rows that are searched and passed on at a time.
+ROWS = 500
 #: A-Z to a-z, other ASCII but a-z and 0-9 to a space; bytes of non-ASCII characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -113,9 +116,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
     def pass_over(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             search = shared.value
-            for b in batches:
+            for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
                 counts, hits, found = [], [], []
-                for text, old_hits, old_items in zip(b.column("text"), b.column("hits"), b.column("items"), strict=True):
+                texts = pc.struct_field(b.column("kept"), "text").cast(pa.binary()) if within else b.column("text")
+                for text, old_hits, old_items in zip(texts, b.column("hits"), b.column("items"), strict=True):
                     words = word_list(text.as_py())
                     spans, own = search.find(words)
                     if len(old_hits):
@@ -129,10 +133,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
 
         return run
 
-    at = docs.select(F.struct(*(columns or ["doc_id"])).alias("kept"), F.col("text").cast("binary").alias("text"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    within = "text" in (columns or [])  # then the texts go to Python once, not twice
+    own_text = [] if within else [F.col("text").cast("binary").alias("text")]
+    at = docs.select(F.struct(*(columns or ["doc_id"])).alias("kept"), *own_text, F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
     for i in range(parts):
         last = i == parts - 1
-        kept = ["kept"] if last else ["kept", "text"]
+        kept = ["kept"] if last or within else ["kept", "text"]
         own = strings.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == i)
         shared = spark.sparkContext.broadcast(Searcher({tuple(bytes(r.words).split(b" ")): set(r.items) for r in own.collect()}))
         now = at.mapInArrow(pass_over(shared), StructType([*at.select(*kept).schema.fields, *_FOUND.fields]))
