@@ -114,9 +114,9 @@ class DateFilter:
 
 
 def plan_filter(matching: list[str], vintage: str, sample: list[str] | None = None) -> DateFilter:
-    """A sample is listed; matching days (or months) are a range without its gaps; no matching days, no filter."""
+    """A sample is listed; matching days (or months) are a range without its gaps, and where no day matches, no row is kept. The vintage `all` has no filter."""
     if sample is not None:
         return DateFilter("in_list", DaySet.of(sample))
-    if not matching or vintage == "all":
+    if vintage == "all":
         return DateFilter()
     return DateFilter("between", DaySet.of(matching))
