@@ -18,7 +18,7 @@ def orders(tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["g_project_latest", "g_project_number", "g_project_shared", "g_project_text"])
+@pytest.mark.parametrize("name", ["g_project_latest", "g_project_number", "g_project_shared", "g_project_text", "g_project_transform"])
 def test_nothing_is_profiled(spark, orders, name):
     got = QUERIES[name](spark, str(orders))
     duck = duckdb.connect()
