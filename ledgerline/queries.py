@@ -242,7 +242,7 @@ row_query("r_row_summary", "SELECT min(dt) FILTER (WHERE left_count IS NOT NULL)
 row_query("r_row_overlap", "SELECT a AS overlap_start, z AS overlap_end FROM o WHERE a <= z", reconcile.overlap)
 row_query("r_misload", "SELECT dt, status FROM c WHERE in_overlap AND status IN ('left_only', 'right_only')", lambda c: reconcile.misloads(c).select("dt", "status"))
 row_query("r_excluded_dates", f"SELECT dt, CASE WHEN status = 'mismatch' THEN 'mismatch' ELSE 'misload' END AS reason FROM c WHERE {_OUT}", reconcile.excluded_dates)
-row_query("r_matching_dates", f"SELECT string_agg(dt, ',' ORDER BY dt) FILTER (WHERE status = 'match' AND dt <> '1996-01-03') AS matching, string_agg(dt, ',' ORDER BY dt) FILTER (WHERE {_OUT} OR (status = 'match' AND dt = '1996-01-03')) AS excluded, string_agg(dt, ',' ORDER BY dt) FILTER (WHERE {_OUT}) AS non_matching FROM c", lambda c: reconcile.matching_dates(c, ["1996-01-03"]).select(*[F.array_join(n, ",").alias(n) for n in ("matching", "excluded", "non_matching")]))
+row_query("r_matching_dates", f"SELECT string_agg(dt, ',' ORDER BY dt) FILTER (WHERE status = 'match' AND dt <> '1996-01-03') AS matching, string_agg(dt, ',' ORDER BY dt) FILTER (WHERE {_OUT} OR (status = 'match' AND dt = '1996-01-03')) AS excluded, string_agg(dt, ',' ORDER BY dt) FILTER (WHERE {_OUT}) AS non_matching FROM c", lambda c: reconcile.matching_dates(c, ["1996-01-03"]).select(*[F.when(F.size(n) > 0, F.array_join(n, ",")).alias(n) for n in ("matching", "excluded", "non_matching")]))
 row_query("r_row_export", f"SELECT status AS category, in_overlap, {_OUT} AS excluded, dt AS date, coalesce(left_count, 0) AS left_count, coalesce(right_count, 0) AS right_count, coalesce(right_count, 0) - coalesce(left_count, 0) AS diff FROM c", reconcile.row_export)
 row_query("r_count_export", "SELECT dt, left_count AS row_count FROM c WHERE in_overlap AND left_count IS NOT NULL", lambda c: c.where("in_overlap and left_count is not null").select("dt", F.col("left_count").alias("row_count")))
 row_query("u_date_union", "SELECT DISTINCT dt FROM (SELECT dt FROM l UNION SELECT dt FROM r)", lambda c: c.select("dt").distinct())

@@ -26,3 +26,12 @@ def test_nothing_is_profiled(spark, orders, name):
     want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
     assert want and all("columns" not in r for r in want)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_lists_without_dates_are_null(spark, orders):
+    """Of r_matching_dates: no date matches, as string_agg over no rows is null."""
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{orders}/orders.parquet'")
+    got = QUERIES["r_matching_dates"](spark, str(orders))
+    want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['r_matching_dates']})").fetchall()
+    assert want[0][0] is None and [tuple(r) for r in got.collect()] == want
