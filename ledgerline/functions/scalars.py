@@ -24,11 +24,16 @@ def to_count(text: Column) -> Column:
     return F.coalesce(to_number(text).cast("long"), F.lit(0).cast("long"))
 
 
-def match_key(value: Column, prefix: str) -> Column:
-    """prefix_ and the number rounded, or the text itself where it is no number; null for null and blank."""
+def match_key(value: Column, prefix: str, printed: bool = False) -> Column:
+    """prefix_ and the number rounded, or the text itself where it is no number; null for null and blank. All zeros have one key.
+
+    printed: of a column of doubles, each number as printf writes it, where a negative zero has its sign and what isn't finite is nan, inf or -inf."""
     bare = F.trim(value.cast("string"))
     number = to_number(bare)
-    rounded = F.when(number.isNotNull(), F.format_string(f"%.{PLACES}f", F.round(number, PLACES) + F.lit(0.0)))
+    short = F.round(number, PLACES) + F.lit(0.0)
+    rounded = F.when(number.isNotNull(), F.format_string(f"%.{PLACES}f", short))
+    if printed:
+        rounded = F.when(bare.startswith("-") & (short == 0), F.concat(F.lit("-"), rounded)).when(bare == "NaN", "nan").when(bare == "Infinity", "inf").when(bare == "-Infinity", "-inf").otherwise(rounded)
     return F.when(F.length(bare) > 0, F.concat(F.lit(f"{prefix}_"), F.coalesce(rounded, bare)))
 
 

@@ -593,7 +593,7 @@ query("x_normalize_numbers", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 TH
 query("x_normalize", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE CAST(o_orderkey % 1000 AS VARCHAR) END AS v FROM orders")(
     lambda spark, d: table(spark, d, "orders").select("o_orderkey", S.normalize(F.when(F.col("o_orderkey") % 3 == 0, F.upper(F.date_format("o_orderdate", "ddMMMyyyy:HH:mm:ss"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("  "), "o_orderpriority", F.lit(" "))).otherwise(F.concat((F.col("o_orderkey") % 1000).cast("string"), F.lit(".500").substr(1, 1), F.lit("000"))), dates=True).alias("v"))
 )
-query("x_match_key", "SELECT c_custkey, 'm_' || printf('%.4f', round(c_acctbal, 4)) AS number_key, 'mn_' || c_mktsegment || '=1' AS text_key FROM customer")(lambda spark, d: table(spark, d, "customer").select("c_custkey", S.match_key(F.col("c_acctbal").cast("string"), "m").alias("number_key"), S.match_key(F.concat("c_mktsegment", F.lit("=1")), "mn").alias("text_key")))
+query("x_match_key", "SELECT c_custkey, 'm_' || printf('%.4f', round(c_acctbal, 4)) AS number_key, 'mn_' || c_mktsegment || '=1' AS text_key FROM customer")(lambda spark, d: table(spark, d, "customer").select("c_custkey", S.match_key(F.col("c_acctbal").cast("string"), "m", printed=True).alias("number_key"), S.match_key(F.concat("c_mktsegment", F.lit("=1")), "mn").alias("text_key")))
 _TOP = categorical_sql("orders", ["o_orderpriority"], _MONTH)
 query("x_top10_parse", f"WITH p AS ({_TOP}) SELECT dt, unnest(string_split(top_10, '; ')) AS entry FROM p")(lambda spark, d: profile.categorical_profile(table(spark, d, "orders"), ["o_orderpriority"], "o_orderdate", "month").select("dt", F.explode(S.parse_top(F.col("top_10")))).select("dt", F.concat("key", F.lit("("), F.col("value").cast("string"), F.lit(")")).alias("entry")))
 query("x_top10_json", "SELECT o_orderpriority AS key, count(*) AS value FROM orders GROUP BY 1")(

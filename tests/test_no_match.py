@@ -35,3 +35,13 @@ def test_lists_without_dates_are_null(spark, orders):
     got = QUERIES["r_matching_dates"](spark, str(orders))
     want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['r_matching_dates']})").fetchall()
     assert want[0][0] is None and [tuple(r) for r in got.collect()] == want
+
+
+def test_keys_of_odd_numbers(spark, tmp_path):
+    """Of x_match_key: a balance of negative zero, and those that are no finite number."""
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE customer AS SELECT row_number() OVER () AS c_custkey, CAST(v AS DOUBLE) AS c_acctbal, 'A' AS c_mktsegment FROM (VALUES ('-0.0'), ('0.0'), ('-0.00001'), ('0.00001'), ('-12.5'), ('nan'), ('inf'), ('-inf'), (NULL)) t(v)")
+    duck.execute(f"COPY customer TO '{tmp_path}/customer.parquet'")
+    got = QUERIES["x_match_key"](spark, str(tmp_path))
+    want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['x_match_key']})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
