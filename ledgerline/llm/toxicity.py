@@ -30,8 +30,8 @@ _SPELLED = re.compile(r"(?<![^\s])[^\W_](?:[ ._*-]+[^\W_]){2,}(?![^\s.,;:!?)\"']
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Signs that make a token suspicious beside letters, and those that do so only after a letter.
 _STRONG, _WEAK = frozenset("0123456789@$!|+€(*#"), frozenset("._-")
-#: Longer tokens are taken apart at such signs; a part that is still longer is data, of which the runs of letters are read.
-_LONGEST, _JOINTS = 128, re.compile(r"[._/\\,;:-]+")
+#: So many stages of searches are remembered at a time.
+_REMEMBERED = 8192
 
 
 def core_of(token: str) -> str:
@@ -90,6 +90,7 @@ class CharModel:
             self.two_before[t[0]] += n
         self.total = sum(self.one.values())
         self.logp = lru_cache(500_000)(self._logp)
+        self.stages: dict[tuple, Stage] = {}
 
     def _logp(self, a: str, b: str, c: str) -> float:
         p = (self.one[c] + 0.1) / (self.total + 0.1 * (len(self.one) + 1))
@@ -97,44 +98,74 @@ class CharModel:
         return log((self.three.get(a + b + c, 0) + 5 * p) / (self.before[a + b] + 5))
 
 
+class Stage:
+    """Where a search stands: the letter read last, and each state (two letters before) with its log-probability below that of the best."""
+
+    __slots__ = ("last", "states", "to")
+
+    def __init__(self, last: str, states: tuple):
+        self.last, self.states = last, states
+        #: what follows by the next sign: a stage, and for each of its states the place of the state before and the letter read
+        self.to: dict[str, tuple[Stage, tuple]] = {}
+
+
+def _stage(last: str, states: tuple, model: CharModel) -> Stage:
+    """One stage for the same state of affairs, so that what repeats itself, in a token or between tokens, is searched once."""
+    if len(model.stages) >= _REMEMBERED:
+        for s in model.stages.values():
+            s.to = {}
+        model.stages.clear()
+    found = model.stages.get((last, states))
+    if found is None:
+        found = model.stages[last, states] = Stage(last, states)
+    return found
+
+
+def _next(stage: Stage, ch: str, model: CharModel) -> tuple[Stage, tuple]:
+    if ch.isalpha():
+        options = [(ch, 0.0)] + ([("", _AGAIN)] if ch == stage.last else [])
+    elif ch.isspace():
+        options = [("", _NOISE), (" ", 0.0)]
+    else:
+        options = [(c, _SIGN) for c in SIGNS.get(ch, "")] + [("", _NOISE)]
+    new: dict = {}
+    for at, ((a, b), p) in enumerate(stage.states):
+        for c, cost in options:
+            if not c or c == b == " ":
+                to, q, letter = (a, b), p + cost, ""
+            else:
+                to, q, letter = (b, c), p + cost + model.logp(a, b, c), c
+            if to not in new or q > new[to][0]:
+                new[to] = (q, at, letter)
+    if len(new) == 1:
+        [(to, (_, at, letter))] = new.items()
+        return _stage(ch if ch.isalpha() else "", ((to, 0.0),), model), (at, letter)
+    best = max([q for q, _, _ in new.values()])
+    way = tuple([x for _, at, letter in new.values() for x in (at, letter)])
+    return _stage(ch if ch.isalpha() else "", tuple([(to, q - best) for to, (q, _, _) in new.items()]), model), way
+
+
 def restored(token: str, model: CharModel) -> list[str]:
-    """The likeliest words behind a lower-cased token. Spaces in it may be gaps within a word or ends of words."""
-    # (two letters before) -> (log-probability, letters so far as a linked list)
-    states: dict[tuple[str, str], tuple[float, tuple]] = {(" ", " "): (0.0, ())}
-    last = ""
+    """The likeliest words behind a lower-cased token, however long. Spaces in it may be gaps within a word or ends of words."""
+    stage = _stage("", (((" ", " "), 0.0),), model)
+    ways = []
     for ch in token:
-        if ch.isalpha():
-            options = [(ch, 0.0)] + ([("", _AGAIN)] if ch == last else [])
-        elif ch.isspace():
-            options = [("", _NOISE), (" ", 0.0)]
-        else:
-            options = [(c, _SIGN) for c in SIGNS.get(ch, "")] + [("", _NOISE)]
-        new: dict = {}
-        for (a, b), (p, way) in states.items():
-            for c, cost in options:
-                if not c or c == b == " ":
-                    to, q, w = (a, b), p + cost, way
-                else:
-                    to, q, w = (b, c), p + cost + model.logp(a, b, c), (c, way)
-                if to not in new or q > new[to][0]:
-                    new[to] = (q, w)
-        states, last = new, ch
-    ends = [(p + model.logp(a, b, " "), way) for (a, b), (p, way) in states.items()]
-    letters, way = [], max(ends, key=lambda x: x[0])[1]
-    while way:
-        letters.append(way[0])
-        way = way[1]
+        found = stage.to.get(ch)
+        if found is None:
+            found = stage.to[ch] = _next(stage, ch, model)
+        stage, way = found
+        ways.append(way)
+    ends = [p + model.logp(a, b, " ") for (a, b), p in stage.states]
+    letters, at = [], ends.index(max(ends))
+    for way in reversed(ways):
+        letters.append(way[2 * at + 1])
+        at = way[2 * at]
     return "".join(reversed(letters)).split()
 
 
 def words_of(token: str, model: CharModel) -> list[str]:
-    """The words of one token: its letters as they are, or restored where it is suspicious."""
+    """The words of one token, whatever its length: its letters as they are, or restored where it is suspicious."""
     core = core_of(token)
-    if len(core) > _LONGEST:
-        parts = [p for p in _JOINTS.split(core) if p]
-        if len(parts) > 1:
-            return [w for p in parts for w in words_of(p, model)]
-        return _LETTERS.findall(core)
     thrice = _THRICE.search(core)
     if core.isalpha() and not thrice:
         return [core]
@@ -161,7 +192,7 @@ class Reader:
         text = (text or "").lower()
         tokens = text.split()
         out: Counter = Counter()
-        spelled = [w for m in _SPELLED.finditer(text) for at in range(0, len(m[0]), _LONGEST) for w in restored(m[0][at : at + _LONGEST], self.model)]
+        spelled = [w for m in _SPELLED.finditer(text) for w in restored(m[0], self.model)]
         for token, n in Counter([*tokens, *spelled]).items():
             features = self.known.get(token)
             if features is None:

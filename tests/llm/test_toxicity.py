@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm.toxicity import SIGNS, CharModel, Vectors, char_counts, core_of, fit_logistic, mixed, restored, score_toxicity, words_of
+from ledgerline.llm.toxicity import SIGNS, CharModel, Reader, Vectors, char_counts, core_of, fit_logistic, mixed, restored, score_toxicity, words_of
 
 VOCABULARY = ["the", "idiot", "stupid", "house", "moron", "letter", "summer", "is", "blue", "nice", "worthless", "garden", "today", "and"]
 
@@ -72,6 +72,13 @@ def test_very_long_tokens_take_linear_time(model, token):
     assert time.monotonic() - began < 2
 
 
+@pytest.mark.parametrize("n", [20, 24, 28, 200])
+def test_tokens_of_any_length_are_read_alike(model, n):
+    for token in ("1d10t" * n, "m0r0n.st.up1d" * n, "stuuupid_" * n + "a"):
+        assert words_of(token, model) == restored(token, model)
+    assert Reader(model).counts("i d i o t " * n + "!")[0] == Counter(x for w in restored(("i d i o t " * n).strip(), model) for x in (f"={w}", *(w[:k] for k in (4, 5, 6) if len(w) >= k))) + Counter({"=i": 2 * n, "=d": n, "=o": n, "=t": n})
+
+
 def test_spelled_out_before_a_sign(spark):
     rows = [(i, f"the house is blue {'i d i o t!' if i % 4 == 3 else 'idiot' if i % 2 else 'nice'} today") for i in range(60)] + [(99, "nice, an idiot.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
