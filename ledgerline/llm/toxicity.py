@@ -8,8 +8,9 @@ the likeliest reading. A logistic model over words and word beginnings scores th
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import lru_cache
 from math import log
 
@@ -71,10 +72,41 @@ def mixed(core: str) -> bool:
     return False
 
 
+class Trigrams(Mapping):
+    """Counts of trigrams as two arrays in order of the trigrams, 16 bytes each, so that all that a corpus has can be sent to the tasks."""
+
+    def __init__(self, counts: Iterable[tuple[str, int]]):
+        codes, n = array("q"), array("q")
+        for t, k in counts:
+            codes.append(self._code(t))
+            n.append(k)
+        at = np.argsort(np.frombuffer(codes, np.int64))
+        self.codes, self.n = (np.frombuffer(x, np.int64)[at] for x in (codes, n))
+
+    @staticmethod
+    def _code(t: str) -> int:
+        return ord(t[0]) << 42 | ord(t[1]) << 21 | ord(t[2])
+
+    def __getitem__(self, t: str) -> int:
+        at = int(np.searchsorted(self.codes, code := self._code(t)))
+        if at == len(self.codes) or self.codes[at] != code:
+            raise KeyError(t)
+        return int(self.n[at])
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def __iter__(self) -> Iterator[str]:
+        return (chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF) for c in map(int, self.codes))
+
+    def items(self) -> Iterator[tuple[str, int]]:
+        return zip(self, map(int, self.n))
+
+
 class CharModel:
     """Interpolated trigram model of the letters in words; a space stands for either end."""
 
-    def __init__(self, counts: dict[str, int], letters: dict[str, int] | None = None):
+    def __init__(self, counts: Mapping[str, int], letters: dict[str, int] | None = None):
         """counts: of trigrams; letters: of single letters, where counts lacks rare trigrams."""
         self.three = counts
         self.two: Counter = Counter()
@@ -204,11 +236,11 @@ class Reader:
         return out, len(tokens)
 
 
-def char_counts(texts: DataFrame, most: int = 200_000) -> tuple[dict[str, int], dict[str, int]]:
+def char_counts(texts: DataFrame, most: int | None = None) -> tuple[Mapping[str, int], dict[str, int]]:
     """Counts of the letter trigrams of all words of all rows of texts(text), and of single letters, summed up in tasks first.
 
-    All letters are counted, whatever their script. Of trigrams, those that occur often enough for the table to have at most `most`; what is rarer is left to the shorter
-    contexts of the model. The least count is a power of two, found from a histogram."""
+    All letters and trigrams are counted, whatever their script and however many they are. With `most`, which no query gives, only those trigrams that occur often enough for the table to have at most
+    so many; what is rarer is left to the shorter contexts of the model. The least count is then a power of two, found from a histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,13 +256,16 @@ def char_counts(texts: DataFrame, most: int = 200_000) -> tuple[dict[str, int],
             yield pa.RecordBatch.from_pydict({"three": pa.array(out.keys(), pa.string()), "n": pa.array(out.values(), pa.int64())})
 
     sums = written(texts.select("text").mapInArrow(run, "three string, n long").groupBy("three").agg(F.sum("n").alias("n")), "toxic-trigrams")
-    sizes = {r.size: r.n for r in sums.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("n")).collect()}
-    least, total = max(sizes, default=0) + 1, 0
-    while least > 0 and total + sizes.get(least - 1, 0) <= most:
-        least -= 1
-        total += sizes.get(least, 0)
+    rows = sums
+    if most is not None:
+        sizes = {r.size: r.n for r in sums.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("n")).collect()}
+        least, total = max(sizes, default=0) + 1, 0
+        while least > 0 and total + sizes.get(least - 1, 0) <= most:
+            least -= 1
+            total += sizes.get(least, 0)
+        rows = sums.where(F.col("n") >= (1 << least))
     letters = {r.c: r.n for r in sums.groupBy(F.substring("three", 3, 1).alias("c")).agg(F.sum("n").alias("n")).collect()}
-    three = {r.three: r.n for r in sums.where(F.col("n") >= (1 << least)).toLocalIterator()}
+    three = Trigrams((r.three, r.n) for r in rows.toLocalIterator())
     drop_written(texts.sparkSession, sums)
     return three, letters
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm.toxicity import SIGNS, CharModel, Reader, Vectors, char_counts, core_of, fit_logistic, mixed, restored, score_toxicity, words_of
+from ledgerline.llm.toxicity import SIGNS, CharModel, Reader, Trigrams, Vectors, char_counts, core_of, fit_logistic, mixed, restored, score_toxicity, words_of
 
 VOCABULARY = ["the", "idiot", "stupid", "house", "moron", "letter", "summer", "is", "blue", "nice", "worthless", "garden", "today", "and"]
 
@@ -99,6 +99,17 @@ def test_letters_of_all_scripts_are_counted(spark):
     assert len(few) <= 40 and same == letters and all(want[t] == n for t, n in few.items()) and (not few or min(few.values()) > max(n for t, n in want.items() if t not in few) / 2)
 
 
+def test_all_trigrams_are_kept_however_many(spark):
+    """More than 200,000: letters of a script that has many, drawn at random."""
+    rng = random.Random(5)
+    words = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(6)) for _ in range(40_000)]
+    docs = spark.createDataFrame([(" ".join(words[i::20]),) for i in range(20)], "text string")
+    want = Counter(f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1))
+    three, _ = char_counts(docs)
+    assert len(want) > 200_000 and len(three) == len(want) and dict(three.items()) == want
+    assert all(three[t] == n for t, n in itertools.islice(want.items(), 100)) and three.get("abc", 0) == three.get("\U0010ffff" * 3, 0) == 0 and len(Trigrams([])) == 0 and "abc" not in Trigrams([])
+
+
 def test_logistic():
     rng = np.random.default_rng(3)
     rows = [({f: int(rng.integers(1, 4)) for f in range(4) if rng.random() < 0.5}, int(rng.integers(5, 50))) for _ in range(500)]
